@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,16 +27,24 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in taken])
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The session's `spark.checkpoint.dir`; only where none is set (tests on one machine), a
+    temporary folder."""
+    named = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
+    if not named:
+        named = tempfile.mkdtemp(prefix="spark-")
+        spark.sparkContext.setCheckpointDir(named)
+    return named
+
+
 def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared checkpoint folder.
+    """Cut the lineage: write `df` as a table in the shared folder and read it again.
 
-    The folder is the session's `spark.checkpoint.dir`; only where none is set (tests on one
-    machine) a temporary folder takes its place.
+    Lost executors then cost their own tasks only, and later reads take only the columns they need.
     """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", "") and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def partitions_for(spark: SparkSession) -> int:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxframe.llm import bpe, packing, quality_rules, secrets, sharding
+from boxframe.llm import bpe, line_dedup, packing, quality_rules, secrets, sharding
 from boxframe.llm.common import table
 
 
@@ -34,6 +34,12 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select(
+        "doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), "n_dropped"
+    )
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan_secrets(table(spark, sf_dir, "documents"))
     n = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
@@ -53,6 +59,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op3_sharding, op6_packing, op9_secrets, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_bpe, op3_sharding, op6_packing, op8_line_dedup, op9_secrets, op10_quality_rules)}
 
-ORACLE_SQL = {"op9_secrets": secrets.oracle(), "op10_quality_rules": quality_rules.ORACLE}
+ORACLE_SQL = {"op8_line_dedup": line_dedup.ORACLE, "op9_secrets": secrets.oracle(), "op10_quality_rules": quality_rules.ORACLE}
