@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxframe.llm import bpe, line_dedup, packing, quality_rules, secrets, sharding
+from boxframe.llm import bpe, hnsw, line_dedup, nbsvm, packing, quality_rules, secrets, sharding
 from boxframe.llm.common import table
 
 
@@ -29,11 +29,20 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.ring_shards(table(spark, sf_dir, "documents"), 16)
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.link_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = nbsvm.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select(
         "doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), "n_dropped"
@@ -59,6 +68,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op3_sharding, op6_packing, op8_line_dedup, op9_secrets, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_bpe, op3_sharding, op5_embedding_dedup, op6_packing, op7_quality_classifier, op8_line_dedup, op9_secrets, op10_quality_rules)}
 
 ORACLE_SQL = {"op8_line_dedup": line_dedup.ORACLE, "op9_secrets": secrets.oracle(), "op10_quality_rules": quality_rules.ORACLE}
