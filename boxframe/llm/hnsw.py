@@ -56,19 +56,23 @@ class Graph:
         return near
 
     def _connect(self, near: np.ndarray, nodes: np.ndarray, options: np.ndarray, degree: int) -> None:
-        """Links both ways; a node keeps its nearest, those first that are nearer to it than to
-        one already kept (so links lead in all directions)."""
-        back: dict[int, list[int]] = {}
+        """Links both ways: forward by `_choose`; a node that others chose keeps its nearest."""
         for node, row in zip(nodes.tolist(), options):
-            row = row[row >= 0]
-            near[node] = self._choose(node, row, degree)
-            for other in near[node][near[node] >= 0].tolist():
-                back.setdefault(other, []).append(node)
-        for other, more in back.items():
-            old = near[other][near[other] >= 0]
-            both = np.unique(np.concatenate([old, np.array(more, np.int32)]))
-            near[other] = -1
-            near[other, : min(degree, len(both))] = both if len(both) <= degree else self._choose(other, both, degree)[: min(degree, len(both))]
+            near[node] = self._choose(node, row[row >= 0], degree)
+        a, b = np.repeat(nodes, degree), near[nodes].ravel()
+        a, b = b[b >= 0].astype(np.int64), a[b >= 0].astype(np.int64)
+        held = np.unique(a)
+        old = near[held]
+        a = np.concatenate([a, np.repeat(held, (old >= 0).sum(1))])
+        b = np.concatenate([b, old[old >= 0].astype(np.int64)])
+        a, b = np.divmod(np.unique(a * len(near) + b), len(near))
+        sims = np.einsum("ij,ij->i", self.vectors[a], self.vectors[b])
+        order = np.lexsort((-sims, a))
+        a, b = a[order], b[order]
+        begins = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
+        rank = np.arange(len(a)) - np.repeat(begins, np.diff(np.append(begins, len(a))))
+        near[held] = -1
+        near[a[rank < degree], rank[rank < degree]] = b[rank < degree]
 
     def _choose(self, node: int, options: np.ndarray, degree: int) -> np.ndarray:
         out = np.full(degree, -1, np.int32)
@@ -146,6 +150,10 @@ class Graph:
             again = []
             for i in range(0, len(todo), 256):
                 part = todo[i : i + 256]
+                if 8 * width > len(self.vectors):  # a beam over all nodes is one product
+                    for j, s in zip(part, queries[part] @ self.vectors.T):
+                        out[j] = np.flatnonzero(s >= least)
+                    continue
                 ids, sims = self._beam(queries[part], self._entry_of(queries[part]), near, width)
                 for j, (a, s) in enumerate(zip(ids, sims)):
                     good = a[(s >= least) & (a >= 0)]
