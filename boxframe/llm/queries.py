@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxframe.llm import bpe, hnsw, line_dedup, nbsvm, packing, quality_rules, secrets, sharding
+from boxframe.llm import bpe, hnsw, line_dedup, minhash, nbsvm, packing, quality_rules, secrets, sharding
 from boxframe.llm.common import table
 
 
@@ -29,6 +29,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.ring_shards(table(spark, sf_dir, "documents"), 16)
 
 
+def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.link_embeddings(table(spark, sf_dir, "embeddings"))
 
@@ -68,6 +72,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op3_sharding, op5_embedding_dedup, op6_packing, op7_quality_classifier, op8_line_dedup, op9_secrets, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_bpe, op3_sharding, op4_minhash_dedup, op5_embedding_dedup, op6_packing, op7_quality_classifier, op8_line_dedup, op9_secrets, op10_quality_rules)}
 
 ORACLE_SQL = {"op8_line_dedup": line_dedup.ORACLE, "op9_secrets": secrets.oracle(), "op10_quality_rules": quality_rules.ORACLE}
