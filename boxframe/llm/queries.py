@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxframe.llm import bpe, hnsw, line_dedup, minhash, nbsvm, packing, quality_rules, secrets, sharding
+from boxframe.llm import bpe, hnsw, line_dedup, minhash, nbsvm, packing, pitman_yor, quality_rules, secrets, sharding
 from boxframe.llm.common import table
 
 
@@ -15,6 +15,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score_language(table(spark, sf_dir, "documents"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode_and_decode(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
     return coded.select(
@@ -72,6 +76,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op3_sharding, op4_minhash_dedup, op5_embedding_dedup, op6_packing, op7_quality_classifier, op8_line_dedup, op9_secrets, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_pitman_yor, op2_bpe, op3_sharding, op4_minhash_dedup, op5_embedding_dedup, op6_packing, op7_quality_classifier, op8_line_dedup, op9_secrets, op10_quality_rules)}
 
 ORACLE_SQL = {"op8_line_dedup": line_dedup.ORACLE, "op9_secrets": secrets.oracle(), "op10_quality_rules": quality_rules.ORACLE}
