@@ -407,7 +407,7 @@ def natural_sort(spark, sf):
 
 
 @query("""with r as (select event_id, event_type, cast(json_extract_string(props, '$.k') as bigint) k from events)
-select event_id, 'robot ' || event_type as label, 0.0 + k * 1.92 x1, round(k * 1.08, 6) y1 from (select event_id, event_type, k from r where event_id % 3 <> 0)""".replace("0.0 + k * 1.92 x1", "round(k * 1.92, 6) x1"))
+select event_id, 'robot ' || event_type as label, 0.0 + k * 1.92 x1, round(k * 1.08::double, 6) y1 from (select event_id, event_type, k from r where event_id % 3 <> 0)""".replace("0.0 + k * 1.92 x1", "round(k * 1.92::double, 6) x1"))
 def vlm_json_extract(spark, sf):
     """Replies of a grounding model, some cut short, turned into labelled pixel boxes."""
     k = F.get_json_object("props", "$.k").cast("long")
@@ -470,8 +470,8 @@ def action_prf(spark, sf):
     return evaluate.precision_recall(_overlaps(spark, sf)).select("tp", "fp", "fn", *rounded(["precision", "recall", "f1"]))
 
 
-@query(f"""with {ACTIONS}, x as (select video_id, track_id, start_f, end_f, unnest(actions[1:2]) as label from wl, (select 1) q(one), lateral (select list_distinct([a, b]) actions)),
-d as (select label, row_number() over (order by min(video_id * 1000000000 + track_id * 10000 + start_f)) label_id from x group by 1)
+@query(f"""with {ACTIONS}, x as (select video_id, track_id, start_f, end_f, unnest(actions[1:2]) as label, generate_subscripts(actions[1:2], 1) pos from wl, (select 1) q(one), lateral (select list_distinct([a, b]) actions)),
+d as (select label, row_number() over (order by min((video_id * 1000000000 + track_id * 10000 + start_f) * 10 + pos)) label_id from x group by 1)
 select x.video_id, printf('%.4f', round((start_f + (end_f - start_f) // 2) / 30, 4)) "timestamp", printf('%.4f', round(t.x1 / 1920, 4)) x1, printf('%.4f', round(t.y1 / 1080, 4)) y1, printf('%.4f', round(t.x2 / 1920, 4)) x2, printf('%.4f', round(t.y2 / 1080, 4)) y2, label_id action_id, x.track_id person_id
 from x join d using (label) join tracks t on t.video_id = x.video_id and t.track_id = x.track_id and t.frame_idx = start_f + (end_f - start_f) // 2 where t.x1 is not null""")
 def ava_rows(spark, sf):
@@ -479,8 +479,8 @@ def ava_rows(spark, sf):
     from boxframe.sources.writers import fixed
 
     t = tracks(spark, sf)
-    top = _actions(spark, sf).select(*KEYS, "start_f", "end_f", F.explode(F.slice("actions", 1, 2)).alias("label"))
-    ids = K.first_seen_ids(top, "label", ["video_id", "track_id", "start_f"])
+    top = _actions(spark, sf).select(*KEYS, "start_f", "end_f", F.posexplode(F.slice("actions", 1, 2)).alias("pos", "label"))
+    ids = K.first_seen_ids(top, "label", ["video_id", "track_id", "start_f", "pos"])
     mid = K.keyframe(F.col("start_f"), F.col("end_f"), F.col("end_f")).cast("long")
     rows = top.withColumn("frame_idx", mid).join(F.broadcast(ids), "label").join(t.where("x1 is not null").select(*KEYS, "frame_idx", *BOX), [*KEYS, "frame_idx"])
     b = G.normalised(G.box(), 1920, 1080)
