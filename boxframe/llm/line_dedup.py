@@ -116,8 +116,8 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 
 ORACLE = """
-with l as (select doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 pos,
-        trim(regexp_replace(lower(unnest(string_split(text, chr(10)))), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), ' ') line, unnest(string_split(text, chr(10))) raw from documents),
+with l as (select doc_id, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 pos,
+        trim(regexp_replace(lower(unnest(string_split(coalesce(text, ''), chr(10)))), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), ' ') line, unnest(string_split(coalesce(text, ''), chr(10))) raw from documents),
 c as (select * from l where length(line) - length(replace(line, ' ', '')) >= 4),
 d as (select line, length(line) n, min({'d': doc_id, 'p': pos}) f from c group by line),
 k as (select line, n, f, n m, substring(line, 1, n // 2) a, right(line, n - n // 2) b from d
