@@ -470,7 +470,7 @@ def action_prf(spark, sf):
     return evaluate.precision_recall(_overlaps(spark, sf)).select("tp", "fp", "fn", *rounded(["precision", "recall", "f1"]))
 
 
-@query(f"""with {ACTIONS}, x as (select video_id, track_id, start_f, end_f, unnest(actions[1:2]) as label, generate_subscripts(actions[1:2], 1) pos from wl, (select 1) q(one), lateral (select list_distinct([a, b]) actions)),
+@query(f"""with {ACTIONS}, x as (select video_id, track_id, start_f, end_f, unnest(actions[1:2]) as label, generate_subscripts(actions[1:2], 1) pos from wl, (select 1) q(one), lateral (select case when a = b then [a] else [a, b] end actions)),
 d as (select label, row_number() over (order by min((video_id * 1000000000 + track_id * 10000 + start_f) * 10 + pos)) label_id from x group by 1)
 select x.video_id, printf('%.4f', round((start_f + (end_f - start_f) // 2) / 30, 4)) "timestamp", printf('%.4f', round(t.x1 / 1920, 4)) x1, printf('%.4f', round(t.y1 / 1080, 4)) y1, printf('%.4f', round(t.x2 / 1920, 4)) x2, printf('%.4f', round(t.y2 / 1080, 4)) y2, label_id action_id, x.track_id person_id
 from x join d using (label) join tracks t on t.video_id = x.video_id and t.track_id = x.track_id and t.frame_idx = start_f + (end_f - start_f) // 2 where t.x1 is not null""")
