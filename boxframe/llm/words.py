@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 500_000
 
 
 class _Hashes(dict):
