@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from boxframe.llm.common import WORD_SEPARATORS, settle, text_of, without
 
 MIN_WORDS = 5
+#: At most so many lines (8 bytes and a place each) are broadcast.
+BROADCAST_LINES = 500_000
 
 
 def normal_line(line: Column) -> Column:
@@ -41,20 +43,33 @@ def deletion_variants(line: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), n), less)
 
 
-def near_lines(lines: DataFrame) -> DataFrame:
+def close_lines(lines: DataFrame, rows: DataFrame) -> DataFrame:
+    """(h, first, line) of the lines that share a half with another; the texts come from `rows`.
+
+    Up to `BROADCAST_LINES` such lines go to the rows, so texts are not shuffled; more meet them
+    by a shuffle.
+    """
+    keyed = lines.select("h", F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high").select("key")
+    wanted = settle(keyed.join(shared, "key", "left_semi").select("h").distinct().join(lines.select("h", "first"), "h"))
+    few = wanted.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES
+    texts = rows.select("doc", "pos", "h", "line").join(F.broadcast(wanted) if few else wanted, "h")
+    here = F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("pos") == F.col("first.pos"))
+    return settle(texts.where(here).select("h", "first", "line").dropDuplicates(["h"]))
+
+
+def near_lines(lines: DataFrame, rows: DataFrame) -> DataFrame:
     """(line, h, near): lines of which a line within one edit stands earlier, and that line.
 
-    `lines` has one row per different line: h, line, and its first place `first`. Only lines
+    `lines` has one row per different line: h, its half keys, and its first place `first`; `rows`
+    has all lines with their texts. Only lines
     that share a half with another line can be within one edit of it; these emit every variant
     with one deletion as a hashed key. Lines that delete to one variant at the same position
     differ in that character; a line that is itself a variant is one insertion away. So the
     earliest line of each (variant, position), and a variant's own line, stand for all partners.
     A group holds different lines that differ in one character, so none grows with the corpus.
     """
-    keyed = lines.select("h", F.explode(half_keys(F.col("line"))).alias("key"))
-    shared = keyed.groupBy("key").agg(F.count_distinct("h").alias("n")).where("n > 1").select("key")
-    close = keyed.join(shared, "key", "left_semi").select("h").distinct()
-    close = settle(lines.join(close, "h", "left_semi"))
+    close = close_lines(lines, rows)
     variants = close.select("h", "first", F.explode(deletion_variants(F.col("line"))).alias("d")).select("h", "first", "d.v", "d.p")
     place = F.struct("first", "h")
     by_variant = Window.partitionBy("v")
@@ -82,11 +97,13 @@ def line_rows(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> Da
 def dropped_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(doc, dropped): the numbers of each document's lines that repeat an earlier line."""
     rows = line_rows(docs, id_col, text_col, min_words).select("doc", "pos", F.xxhash64("line").alias("h"), "line")
+    narrow = settle(rows.select("doc", "pos", "h", half_keys(F.col("line")).alias("keys")))
     place = F.struct(F.col("doc").alias("doc"), F.col("pos").alias("pos"))
-    lines = settle(rows.groupBy("h").agg(F.min(place).alias("first"), F.min("line").alias("line"), F.count("*").alias("n")))
-    near = near_lines(lines)
+    first = narrow.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n"))
+    lines = settle(first.join(narrow, "h").where(F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("pos") == F.col("first.pos"))).select("h", "first", "n", "keys").dropDuplicates(["h"]))
+    near = near_lines(lines, rows)
     again = lines.select("h", "first", "n").join(near, "h", "left").where("n > 1 or near is not null").drop("n")
-    seen = rows.select("doc", "pos", "h").join(again, "h")
+    seen = narrow.select("doc", "pos", "h").join(again, "h")
     mine = F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("pos") == F.col("first.pos"))
     gone = seen.where(F.col("near").isNotNull() | ~mine)
     return gone.groupBy("doc").agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
