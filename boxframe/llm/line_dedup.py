@@ -12,9 +12,13 @@ MIN_WORDS = 5
 BROADCAST_LINES = 500_000
 
 
-def normal_line(line: Column) -> Column:
-    """Lower case, words one space apart."""
-    return F.trim(F.regexp_replace(F.lower(line), WORD_SEPARATORS, " "))
+def normal_line(lower: Column) -> Column:
+    """A line in lower case with words one space apart; most lines hold single spaces only and
+    need no pattern."""
+    other = F.lit(False)
+    for separator in ("  ", "\t", "\x0b", "\f", "\r"):
+        other = other | F.contains(lower, F.lit(separator))
+    return F.trim(F.when(other, F.regexp_replace(lower, WORD_SEPARATORS, " ")).otherwise(lower))
 
 
 def half_keys(line: Column) -> Column:
@@ -89,9 +93,11 @@ def near_lines(lines: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def line_rows(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    rows = docs.select(F.col(id_col).alias("doc"), F.posexplode(F.split(text_of(text_col), "\n")).alias("pos", "raw"))
-    rows = rows.select("doc", "pos", normal_line(F.col("raw")).alias("line"))
-    return rows.where(F.length("line") - F.length(F.translate("line", " ", "")) >= min_words - 1).where("line <> ''")
+    # Lines are made inside the array, so the condition on them does not make them again.
+    lines = F.transform(F.split(F.lower(text_of(text_col)), "\n"), normal_line)
+    rows = docs.select(F.col(id_col).alias("doc"), F.posexplode(lines).alias("pos", "line"))
+    spaces = F.octet_length("line") - F.octet_length(F.replace(F.col("line"), F.lit(" "), F.lit("")))
+    return rows.where("line <> ''").where(spaces >= min_words - 1)
 
 
 def dropped_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
