@@ -10,6 +10,8 @@ from boxframe.llm.common import WORD_SEPARATORS, settle, text_of, without
 MIN_WORDS = 5
 #: At most so many lines (8 bytes and a place each) are broadcast.
 BROADCAST_LINES = 500_000
+#: Parts of the second, finer test of lines that share a half.
+FINE_PARTS = 16
 
 
 def normal_line(lower: Column) -> Column:
@@ -21,19 +23,27 @@ def normal_line(lower: Column) -> Column:
     return F.trim(F.when(other, F.regexp_replace(lower, WORD_SEPARATORS, " ")).otherwise(lower))
 
 
-def half_keys(line: Column) -> Column:
-    """Keys of which two lines within one edit share at least one.
+def part_keys(line: Column, parts: int) -> Column:
+    """Keys of which two lines within one edit share at least one: a line less one of its parts.
 
-    Of lines of m and m or m + 1 characters with one edit between them, either the first m / 2
-    characters are equal or the last m - m / 2; a line takes part with m its own length and one less.
+    Of lines of m and m or m + 1 characters with one edit between them, the edit stands in one of
+    the equal parts of m; what lies before it is equal, and so is what lies after it. A line takes
+    part with m its own length and one less.
     """
     n = F.length(line)
 
-    def of(m: Column) -> list[Column]:
-        h = F.floor(m / 2).cast("int")
-        return [F.xxhash64(F.lit(1), m, F.substring(line, F.lit(1), h)), F.xxhash64(F.lit(2), m, F.substring(line, n - (m - h) + 1, m - h))]
+    def of(m: Column, i: int) -> Column:
+        start, end = (F.floor(m * j / parts).cast("int") for j in (i, i + 1))
+        before, after = F.substring(line, F.lit(1), start), F.substring(line, n - (m - end) + 1, m - end)
+        return F.xxhash64(F.lit(i), m, *([before] if i else []), *([after] if i < parts - 1 else []))
 
-    return F.array(*of(n), *of(n - 1))
+    return F.array(*[of(m, i) for m in (n, n - 1) for i in range(parts)])
+
+
+def sharing(keyed: DataFrame) -> DataFrame:
+    """The h of rows (h, key) that share a key with another h."""
+    shared = keyed.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high").select("key")
+    return keyed.join(shared, "key", "left_semi").select("h").distinct()
 
 
 def deletion_variants(line: Column) -> Column:
@@ -48,18 +58,20 @@ def deletion_variants(line: Column) -> Column:
 
 
 def close_lines(lines: DataFrame, rows: DataFrame) -> DataFrame:
-    """(h, first, line) of the lines that share a half with another; the texts come from `rows`.
+    """(h, first, line) of the lines that share a half with another, and then all but one of
+    `FINE_PARTS` parts; the texts come from `rows`.
 
     Up to `BROADCAST_LINES` such lines go to the rows, so texts are not shuffled; more meet them
     by a shuffle.
     """
     keyed = lines.select("h", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high").select("key")
-    wanted = settle(keyed.join(shared, "key", "left_semi").select("h").distinct().join(lines.select("h", "first"), "h"))
+    wanted = settle(sharing(keyed).join(lines.select("h", "first"), "h"))
     few = wanted.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES
     texts = rows.select("doc", "pos", "h", "line").join(F.broadcast(wanted) if few else wanted, "h")
     here = F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("pos") == F.col("first.pos"))
-    return settle(texts.where(here).select("h", "first", "line").dropDuplicates(["h"]))
+    halves = settle(texts.where(here).select("h", "first", "line").dropDuplicates(["h"]))
+    finer = halves.select("h", F.explode(part_keys(F.col("line"), FINE_PARTS)).alias("key"))
+    return settle(halves.join(sharing(finer), "h"))
 
 
 def near_lines(lines: DataFrame, rows: DataFrame) -> DataFrame:
@@ -67,7 +79,7 @@ def near_lines(lines: DataFrame, rows: DataFrame) -> DataFrame:
 
     `lines` has one row per different line: h, its half keys, and its first place `first`; `rows`
     has all lines with their texts. Only lines
-    that share a half with another line can be within one edit of it; these emit every variant
+    that share all but one part with another line can be within one edit of it; these emit every variant
     with one deletion as a hashed key. Lines that delete to one variant at the same position
     differ in that character; a line that is itself a variant is one insertion away. So the
     earliest line of each (variant, position), and a variant's own line, stand for all partners.
@@ -103,7 +115,7 @@ def line_rows(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> Da
 def dropped_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(doc, dropped): the numbers of each document's lines that repeat an earlier line."""
     rows = line_rows(docs, id_col, text_col, min_words).select("doc", "pos", F.xxhash64("line").alias("h"), "line")
-    narrow = settle(rows.select("doc", "pos", "h", half_keys(F.col("line")).alias("keys")))
+    narrow = settle(rows.select("doc", "pos", "h", part_keys(F.col("line"), 2).alias("keys")))
     place = F.struct(F.col("doc").alias("doc"), F.col("pos").alias("pos"))
     first = narrow.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n"))
     lines = settle(first.join(narrow, "h").where(F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("pos") == F.col("first.pos"))).select("h", "first", "n", "keys").dropDuplicates(["h"]))

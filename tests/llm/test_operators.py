@@ -167,6 +167,21 @@ def test_line_dedup(spark, odd, none, docs):
     assert line_dedup.dedup_lines(none).count() == 0
 
 
+def test_line_dedup_against_brute_force(spark):
+    rng = np.random.default_rng(3)
+    letters = lambda n: "".join(rng.choice(list("abé"), n))
+    base = [" ".join(letters(rng.integers(1, 5)) for _ in range(rng.integers(5, 10))) for _ in range(60)]
+
+    def edited(x):
+        k, way, c = rng.integers(len(x)), rng.integers(5), rng.choice(list("abz"))
+        return [x, x[:k] + x[k + 1 :], x[:k] + c + x[k:], x[:k] + c + x[k + 1 :]][way] if way < 4 else edited(edited(x))
+
+    rows = [(i, "\n".join(edited(base[rng.integers(60)]) for _ in range(3))) for i in range(150)]
+    rows += [(200, "Tab\there and  two\u000b words\f more"), (201, "tab here and two words more")]
+    found = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).where("n_dropped > 0").collect()
+    assert {r.doc_id: r.n_dropped for r in found} == {i: len(p) for i, p in brute_lines(rows).items()}
+
+
 def test_minhash_against_brute_force(spark, odd, none):
     base = [f"w{i}" for i in range(60)]
     rows = [(100, " ".join(base)), (101, " ".join(base)), (102, " ".join([*base[:59], "z"])), (103, " ".join(base[30:] + base[:30])), (104, " ".join(f"q{i}" for i in range(60)))]
