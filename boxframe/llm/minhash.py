@@ -25,7 +25,10 @@ SKETCH_SIZE = SKETCH_ROWS << SKETCH_BITS
 #: copies in a large group must not make each other's shingles worthless.
 IDF_SHARE, IDF_STEPS, IDF_RANGE = 0.25, 8, 500.0
 PLACES = 13
+#: Rounds that merge components cheaply before the rest of each bucket is compared in full.
 MAX_ROUNDS = 8
+#: Documents of one bucket are compared in blocks of about so many against so many.
+BLOCK_ROWS, BLOCK_COLUMNS = 512, 8192
 
 
 def sketch_cells(x: np.ndarray) -> np.ndarray:
@@ -180,14 +183,115 @@ def verified(pairs: DataFrame, texts: DataFrame, sketch: Broadcast, n_docs: int,
     return both.mapInArrow(verify, "src long, dst long")
 
 
+def overlaps(left: list[tuple], right: list[tuple]) -> np.ndarray:
+    """Sum of the lesser weights for each pair of weighted sets, as products of matrices with one
+    column per shingle and step of weight."""
+
+    def entries(sets: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return np.repeat(np.arange(len(sets)), [len(x) for x, _ in sets]), np.concatenate([x for x, _ in sets]), np.concatenate([w for _, w in sets])
+
+    (i, x, v), (j, y, w) = entries(left), entries(right)
+    common = np.intersect1d(x, y)
+    held, other = np.isin(x, common), np.isin(y, common)
+    i, v, x = i[held], v[held], np.searchsorted(common, x[held])
+    j, w, y = j[other], w[other], np.searchsorted(common, y[other])
+    # A column per (shingle, weight that occurs): it holds the step up from the next lesser weight.
+    steps = np.unique(np.stack([np.concatenate([x, y]).astype(np.float64), np.concatenate([v, w])]), axis=1)
+    begins = np.searchsorted(steps[0], np.arange(len(common) + 1))
+    gain = np.diff(steps[1], prepend=0)
+    gain[begins[:-1]] = steps[1, begins[:-1]]
+    out = np.zeros((len(left), len(right)))
+
+    def columns(row: np.ndarray, at: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and columns of the steps that each entry reaches."""
+        most = begins[at + 1] - begins[at]
+        of = np.repeat(np.arange(len(at)), most)
+        column = begins[at][of] + np.arange(len(of)) - np.repeat(np.cumsum(most) - most, most)
+        reached = steps[1, column] <= weight[of]
+        order = np.argsort(column[reached], kind="stable")
+        return row[of[reached]][order], column[reached][order]
+
+    (i, a), (j, b) = columns(i, x, v), columns(j, y, w)
+    for low in range(0, steps.shape[1], BLOCK_COLUMNS):
+        width = min(BLOCK_COLUMNS, steps.shape[1] - low)
+        one, two = np.zeros((len(left), width)), np.zeros((len(right), width))
+        at, to = (slice(*np.searchsorted(c, [low, low + width])) for c in (a, b))
+        one[i[at], a[at] - low] = gain[a[at]]
+        two[j[to], b[to] - low] = 1
+        out += one @ two.T
+    return out
+
+
+def linking_pairs(left: list[tuple], right: list[tuple], least: float) -> Iterator[tuple[int, int]]:
+    """Of documents (id, component, shingles, weights), pairs of different components that are
+    `least` or more similar; pairs that earlier ones already join are left out."""
+    root: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while (up := root.get(c, c)) != c:
+            root[c] = c = root.get(up, up)
+        return c
+
+    low = overlaps([d[2:] for d in left], [d[2:] for d in right])
+    totals = [np.array([d[3].sum() for d in side]) for side in (left, right)]
+    whole = totals[0][:, None] + totals[1] - low
+    component = [np.array([d[1] for d in side]) for side in (left, right)]
+    # Sums differ in their last digits by order; what is near the border is counted again.
+    for i, j in np.argwhere((low >= (least - 1e-9) * whole) & (component[0][:, None] != component[1])).tolist():
+        a, b = find(left[i][1]), find(right[j][1])
+        if a != b and weighted_jaccard(left[i][2:], right[j][2:]) >= least:
+            root[a] = b
+            yield left[i][0], right[j][0]
+
+
+def linked_in_full(members: DataFrame, texts: DataFrame, sketch: Broadcast, n_docs: int, least: float) -> DataFrame:
+    """(src, dst): links that join all components of which two members of one bucket are `least`
+    or more similar. `members` are (bucket, rep, component); all were compared with the smallest
+    of their bucket, so it is left out, and buckets of one component have nothing to compare.
+
+    A bucket is dealt into blocks by hash, and each pair of blocks is one group, so no task holds
+    more than two blocks at once however large the bucket is.
+    """
+    rest = members.withColumn("centre", F.min("rep").over(Window.partitionBy("bucket"))).where("rep <> centre").drop("centre")
+    sizes = rest.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"), F.min("component").alias("low"), F.max("component").alias("high"))
+    dealt = rest.join(sizes.where("low <> high").select("bucket", "blocks"), "bucket").withColumn("mine", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = settle(dealt.select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "rep", "component"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, {}
+
+        def done() -> pa.RecordBatch:
+            left, right = held.get(at[1], []), held.get(at[2], [])
+            pairs = list(linking_pairs(left, right, least)) if left and right else []
+            return pa.RecordBatch.from_arrays([pa.array([min(p) for p in pairs], pa.int64()), pa.array([max(p) for p in pairs], pa.int64())], names=["src", "dst"])
+
+        for rows in batches:
+            for bucket, i, j, mine, rep, component, text in zip(*(c.to_pylist() for c in rows.columns)):
+                if (bucket, i, j) != at:
+                    if at is not None:
+                        yield done()
+                    at, held = (bucket, i, j), {}
+                x, n = shingles(word_hashes(text), WORDS)
+                held.setdefault(mine, []).append((rep, component, x, weights(x, n, sketch.value, n_docs)))
+        if at is not None:
+            yield done()
+
+    with_text = dealt.join(texts.select(F.col("id").alias("rep"), "text"), "rep").select("bucket", "i", "j", "mine", "rep", "component", "text")
+    groups = with_text.repartition(partitions_for(members.sparkSession), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "rep")
+    return groups.mapInArrow(compare, "src long, dst long").distinct()
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
     """(doc_id, class_id, kept), one row per document; class_id is the smallest id of its class.
 
     Texts with equal words form one class at once and one stands for all. The others' samples
     are banded (16 bands of 4); in each bucket every member is compared with the smallest
-    one, never all with all, and what is at least `least` similar is linked. Then buckets that
-    still hold several components are searched again by one delegate of each component, with
-    another centre and between neighbours in a random order, until a round finds no new link.
+    one, and what is at least `least` similar is linked. Then buckets that still hold several
+    components are searched again by one delegate of each component, with another centre and
+    between neighbours in a random order, while rounds find new links. These rounds only save
+    work: in buckets that hold several components after them, all members are compared with all
+    others, in blocks, so every similar pair of a bucket ends in one class.
 
     Null texts are classes of their own; empty texts are equal to each other. Texts of fewer than
     five words are one shingle. Rows that repeat an id are one document with the smallest of its
@@ -230,6 +334,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             break
         links = new if links is None else links.union(new)
         component = connected_components(links)
+    members = buckets.select("bucket", "rep", F.col("rep").alias("component"))
+    if component is not None:
+        labels = component.select(F.col("id").alias("rep"), F.col("component").alias("found"))
+        members = buckets.join(labels, "rep", "left").select("bucket", "rep", F.coalesce("found", "rep").alias("component"))
+    new = settle(linked_in_full(members, texts, sketch, n_docs, least))
+    if new.limit(1).count() > 0:
+        component = connected_components(new if links is None else links.union(new))
     merged = groups.select("h1", "h2", "rep")
     if component is not None:
         merged = merged.join(component.select(F.col("id").alias("rep"), "component"), "rep", "left")

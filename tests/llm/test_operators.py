@@ -199,6 +199,40 @@ def test_minhash_against_brute_force(spark, odd, none):
     assert minhash.near_duplicates(none).count() == 0
 
 
+def test_minhash_compares_buckets_in_full(spark, monkeypatch):
+    """One bucket holds all, its smallest member is like no other, and similar pairs are few."""
+    rng, signatures = np.random.default_rng(9), minhash.signatures
+    monkeypatch.setattr(minhash, "signatures", lambda *a: signatures(*a).withColumn("bands", F.array(F.lit(1).cast("long"))))
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", 40)
+    rows = [(i, [f"p{k}" for k in range(30)] + [f"d{i}_{k}" for k in range(60)]) for i in range(150)]
+    rows += [(1000 + i, [*rows[i][1][:-1], f"z{i}"]) for i in range(50, 60)]
+    rows += [(2000 + i, [*rows[i][1], *rows[i][1][: int(rng.integers(1, 40))]]) for i in range(60, 80)]
+    few = [(1, "x y z u v w"), (2, "a b c d e f g h i j k l m"), (3, "a b c d e f g h i j k l m n")]
+    for texts in (few, [(i, " ".join(w)) for i, w in rows]):
+        got = {r.doc_id: r.class_id for r in minhash.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+        sketch = np.zeros(minhash.SKETCH_SIZE, np.int64)
+        sets = {i: minhash.shingles(minhash.word_hashes(t), minhash.WORDS) for i, t in texts}
+        for x, _ in sets.values():
+            for row in minhash.sketch_cells(x):
+                np.add.at(sketch, row, 1)
+        sets = {i: (x, minhash.weights(x, n, sketch, len(texts))) for i, (x, n) in sets.items()}
+        same = {i: {i} for i in sets}
+        for a, b in itertools.combinations(sets, 2):
+            if minhash.weighted_jaccard(sets[a], sets[b]) >= minhash.LEAST:
+                both = same[a] | same[b]
+                same.update(dict.fromkeys(both, both))
+        assert got == {i: min(group) for i, group in same.items()} and any(len(g) > 1 for g in same.values())
+
+
+def test_overlaps_are_sums_of_lesser_weights():
+    rng = np.random.default_rng(3)
+    some = lambda: (np.unique(rng.integers(0, 60, 30)).astype(np.uint64), None)
+    left, right = ([(x, rng.integers(1, 5, len(x)) * 0.3) for x, _ in (some() for _ in range(n))] for n in (7, 9))
+    want = [[sum(min(v, dict(zip(*b)).get(x, 0)) for x, v in zip(*a)) for b in right] for a in left]
+    assert np.allclose(minhash.overlaps(left, right), want)
+    assert (minhash.overlaps(left, [(np.array([99], np.uint64), np.ones(1))]) == 0).all()
+
+
 def test_samples_estimate_weighted_jaccard():
     sampler, rng = minhash.Sampler(), np.random.default_rng(4)
     x = np.sort(rng.integers(0, 1 << 63, 400, np.uint64))
