@@ -15,7 +15,8 @@ from boxframe.llm.common import connected_components, settle
 DEGREE = 16
 SHARD_ROWS = 8192
 BEAM = 48
-AUDIT_ROWS, AUDIT_RECALL = 64, 0.98
+#: An audit holds at least so many queries with links, and so many links, a query's self left out.
+AUDIT_ROWS, AUDIT_LINKS, AUDIT_RECALL = 64, 256, 0.98
 
 
 class Graph:
@@ -129,20 +130,37 @@ class Graph:
             opened[live] = np.concatenate([opened[live], ~fresh], axis=1)[at, order]
             sims[live] = all_sims[at, order]
 
-    def near_enough(self, queries: np.ndarray, least: float) -> list[np.ndarray]:
-        """Nodes at `least` or more: a query whose beam holds nothing else is searched again with
-        a wider one, and all are if an audit against brute force misses too much."""
-        width = min(BEAM, len(self.vectors))
-        audit = np.linspace(0, len(queries) - 1, min(AUDIT_ROWS, len(queries))).astype(int)
-        truth = queries[audit] @ self.vectors.T >= least
+    def near_enough(self, queries: np.ndarray, least: float, own: np.ndarray | None = None) -> list[np.ndarray]:
+        """Nodes at `least` or more; `own` is each query's own node, -1 if it is not in this graph.
+
+        Queries in random order meet all nodes by brute force until enough of them have links to
+        others; where all together have too few, these exact results are the answer. Else all are
+        searched, with wider beams until the audited queries find enough of their links, over all
+        links and on average over queries. A query whose beam holds nothing else, or lacks its own
+        node, is searched again with a wider one.
+        """
+        own = np.full(len(queries), -1) if own is None else own
+        order, truth, linked = np.random.default_rng(13).permutation(len(queries)), {}, {}
+        for i in range(0, len(order), 256):
+            part = order[i : i + 256]
+            for j, s in zip(part.tolist(), queries[part] @ self.vectors.T):
+                truth[j] = np.flatnonzero(s >= least)
+                others = truth[j][truth[j] != own[j]]
+                if len(others):
+                    linked[j] = others
+            if len(linked) >= AUDIT_ROWS and sum(map(len, linked.values())) >= AUDIT_LINKS:
+                break
+        else:
+            return [truth[j] for j in range(len(queries))]
+        width, sizes = min(BEAM, len(self.vectors)), np.array([len(t) for t in linked.values()])
         while True:
-            out = self._search(queries, least, width)
-            hit = sum(int(t[o].sum()) for t, o in zip(truth, (out[i] for i in audit)))
-            if width >= len(self.vectors) or hit >= AUDIT_RECALL * truth.sum():
-                return out
+            out = self._search(queries, least, width, own)
+            hits = np.array([np.isin(t, out[j]).sum() for j, t in linked.items()])
+            if width >= len(self.vectors) or min(hits.sum() / sizes.sum(), (hits / sizes).mean()) >= AUDIT_RECALL:
+                return [truth.get(j, found) for j, found in enumerate(out)]
             width = min(2 * width, len(self.vectors))
 
-    def _search(self, queries: np.ndarray, least: float, width: int) -> list[np.ndarray]:
+    def _search(self, queries: np.ndarray, least: float, width: int, own: np.ndarray) -> list[np.ndarray]:
         nodes, near = self.layers[-1]
         out: list = [None] * len(queries)
         todo = np.arange(len(queries))
@@ -157,7 +175,7 @@ class Graph:
                 ids, sims = self._beam(queries[part], self._entry_of(queries[part]), near, width)
                 for j, (a, s) in enumerate(zip(ids, sims)):
                     good = a[(s >= least) & (a >= 0)]
-                    if len(good) >= width and width < len(self.vectors):
+                    if width < len(self.vectors) and (len(good) >= width or (own[part[j]] >= 0 and own[part[j]] not in good)):
                         again.append(part[j])
                     out[part[j]] = good
             todo, width = np.array(again, int), min(2 * width, len(self.vectors))
@@ -257,7 +275,9 @@ def link_embeddings(
             for i in range(rows.num_rows):
                 ids, x, layers, q_ids, q = *pickle.loads(rows.column(0)[i].as_py()), pickle.loads(rows.column(1)[i].as_py()), *pickle.loads(rows.column(2)[i].as_py())
                 ux, uq = unit(x), unit(q)
-                found = Graph(ux.astype(np.float32), layers).near_enough(uq.astype(np.float32), least - 1e-4)
+                node_of = {v: k for k, v in enumerate(ids.tolist())}
+                own = np.array([node_of.get(v, -1) for v in q_ids.tolist()], int)
+                found = Graph(ux.astype(np.float32), layers).near_enough(uq.astype(np.float32), least - 1e-4, own)
                 a = np.repeat(np.arange(len(q_ids)), [len(f) for f in found])
                 b = np.concatenate(found).astype(int) if found else np.empty(0, int)
                 cosine = np.einsum("ij,ij->i", q[a], x[b]) / (np.sqrt((q[a] ** 2).sum(1)) * np.sqrt((x[b] ** 2).sum(1)))

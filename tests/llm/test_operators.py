@@ -263,6 +263,37 @@ def test_embeddings_against_brute_force(spark):
     assert {got[i].component_id for i in range(160, 200)} == {got[1].component_id}
 
 
+def test_embedding_audit_counts_links_to_others():
+    """A cluster that lost all links to the rest, away from every 20th place: found from its own shard and from another."""
+    rng, n = np.random.default_rng(8), 1300
+    places = np.setdiff1d(np.arange(n), np.linspace(0, n - 1, 64).astype(int))[200:233]
+    x, far = rng.normal(size=(n, 16)), np.zeros(n, bool)
+    x[places], far[places] = x[places[0]] + rng.normal(size=(33, 16)) * 0.02, True
+    u = hnsw.unit(x).astype(np.float32)
+    graph = hnsw.Graph(u)
+    for nodes, near in graph.layers:
+        near[(near >= 0) & (far[near] != far[:, None])] = -1
+    foreign = rng.normal(size=(n, 16))
+    foreign[places] = x[places] + rng.normal(size=(33, 16)) * 0.01
+    foreign = hnsw.unit(foreign).astype(np.float32)
+    for queries, *own in ((u, np.arange(n)), (foreign,)):
+        found, want = graph.near_enough(queries, 0.93, *own), queries @ u.T >= 0.93
+        assert [sum(want[i, found[i]]) for i in places] == [33] * 33
+        assert sum(want[i, f].sum() for i, f in enumerate(found)) >= 0.98 * want.sum()
+
+
+def test_embeddings_in_large_shards(spark):
+    rng = np.random.default_rng(15)
+    x, a = rng.normal(size=(1400, 16)), 0
+    for size in (33, 80, 200):
+        x[a : a + size] = x[a] + rng.normal(size=(size, 16)) * 0.05
+        a += size
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
+    got = {r.vec_id: r.n_links for r in hnsw.link_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), shard_rows=700).collect()}
+    want = (hnsw.unit(x) @ hnsw.unit(x).T >= 0.93).sum(1) - 1
+    assert all(got[i] <= want[i] for i in got) and sum(got.values()) >= 0.98 * want.sum()
+
+
 def test_classifier(spark, docs, odd, none):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     rows = {r.doc_id: r for r in nbsvm.score_quality(docs, labels).collect()}
