@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxframe.llm.common import connected_components, partitions_for, settle
@@ -21,12 +22,16 @@ SAMPLES = BANDS * ROWS
 #: frequencies below about mean shingles / 2^18 of the corpus count alike, at every corpus size.
 SKETCH_ROWS, SKETCH_BITS, SKETCH_BLOCK = 2, 18, 4096
 SKETCH_SIZE = SKETCH_ROWS << SKETCH_BITS
-#: The inverse frequency lifts a shingle's weight by at most this share, in so many steps: near
-#: copies in a large group must not make each other's shingles worthless.
+#: The inverse frequency lifts a shingle's weight by at most this share, in so many steps. Undamped,
+#: an edit (frequency 1) would outweigh ten shared shingles of a group that holds a third of the
+#: corpus, and near copies in such groups would fall below any threshold; with this share, two
+#: documents of one edit in ten stay above 0.8 at every size of their group.
 IDF_SHARE, IDF_STEPS, IDF_RANGE = 0.25, 8, 500.0
 PLACES = 13
-#: Rounds that merge components cheaply before the rest of each bucket is compared in full.
-MAX_ROUNDS = 8
+#: Weights of so many shingles in one batch get a table of their own; at most TABLES are held.
+TABLE_ROWS, TABLES = 4096, 24
+#: Shingles that are sampled together, and steps in which they are.
+BATCH_SHINGLES, STEP = 200_000, 1024
 #: Documents of one bucket are compared in blocks of about so many against so many.
 BLOCK_ROWS, BLOCK_COLUMNS = 512, 8192
 
@@ -64,45 +69,67 @@ class Sampler:
     def __init__(self):
         rng = np.random.default_rng(20)
         shape = (SAMPLES, 1 << PLACES)
-        self.r, self.c, self.b = rng.gamma(2, 1, shape), np.log(rng.gamma(2, 1, shape)), rng.random(shape)
-        self.odd = rng.integers(1, 1 << 31, SAMPLES, np.uint32) * np.uint32(2) + np.uint32(1)
+        self.r, self.c, self.b = rng.gamma(2, 1, shape).ravel(), np.log(rng.gamma(2, 1, shape)).ravel(), rng.random(shape).ravel()
+        self.odd = (rng.integers(1, 1 << 31, SAMPLES, np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
         self.rows = (np.arange(SAMPLES, dtype=np.uint32) << np.uint32(PLACES))[:, None]
         self.tables: OrderedDict[float, np.ndarray] = OrderedDict()
 
-    def table(self, weight: float) -> np.ndarray:
-        """ln a for every place at this weight, as integers in the same order."""
-        if (found := self.tables.get(weight)) is None:
-            t = np.floor(np.log(weight) / self.r + self.b)
-            bits = (self.c - self.r * (t - self.b) - self.r).astype(np.float32).view(np.uint32)
-            found = self.tables[weight] = np.where(bits >> 31, ~bits, bits | np.uint32(1 << 31)).ravel()
-            if len(self.tables) > 24:
+    @staticmethod
+    def _ordered(log_w: np.ndarray | float, r: np.ndarray, c: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """ln a as unsigned integers in the same order."""
+        t = np.floor(log_w / r + b)
+        bits = (c - r * (t - b) - r).astype(np.float32).view(np.uint32)
+        return np.where(bits >> 31, ~bits, bits | np.uint32(1 << 31))
+
+    def _table(self, log_w: float, used: int) -> np.ndarray | None:
+        """ln a of every place at one weight; none for a weight that few shingles have."""
+        if log_w in self.tables:
+            self.tables.move_to_end(log_w)
+        elif used < TABLE_ROWS:
+            return None
+        else:
+            self.tables[log_w] = self._ordered(log_w, self.r, self.c, self.b)
+            if len(self.tables) > TABLES:
                 self.tables.popitem(last=False)
-        self.tables.move_to_end(weight)
-        return found
-
-    def samples(self, x: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """Sample k as one number; x is sorted, so the first of equal a is the smallest shingle."""
-        best_a, best_x = np.full(SAMPLES, np.iinfo(np.uint32).max, np.uint32), np.full(SAMPLES, np.iinfo(np.uint64).max, np.uint64)
-        k = np.arange(SAMPLES)
-        for weight in np.unique(w):
-            table, mine = self.table(float(weight)), x[w == weight]
-            for i in range(0, len(mine), 512):
-                part = mine[i : i + 512]
-                places = part.astype(np.uint32) * self.odd[:, None]
+        return self.tables[log_w]
+
+    def samples(self, sets: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """A row of samples for each set (shingles, weights), none of them empty; a sample is one
+        number: ln a above bit 32, the shingle's upper half below, so the least is the sample."""
+        x, w = np.concatenate([s[0] for s in sets]), np.concatenate([s[1] for s in sets])
+        of = np.repeat(np.arange(len(sets)), [len(s[0]) for s in sets])
+        values, kind, used = np.unique(w, return_inverse=True, return_counts=True)
+        log_w = np.array([math.log(v) for v in values.tolist()])
+        tables = [self._table(v, n) for v, n in zip(log_w.tolist(), used.tolist())]
+        group = np.array([i if t is not None else len(values) for i, t in enumerate(tables)])[kind]
+        order = np.lexsort((of, group))
+        x, of, kind, group = x[order], of[order], kind[order], group[order]
+        edges = np.flatnonzero(np.diff(group, prepend=-1, append=-1)).tolist()
+        out = np.full((SAMPLES, len(sets)), np.iinfo(np.uint64).max, np.uint64)
+        for low, high in zip(edges, edges[1:]):
+            for i in range(low, high, STEP):
+                j = min(high, i + STEP)
+                places = x[i:j].astype(np.uint32) * self.odd
                 places >>= np.uint32(32 - PLACES)
                 places += self.rows
-                a = table.take(places.astype(np.int64))
-                at = a.argmin(axis=1)
-                a, low = a[k, at], part[at]
-                better = (a < best_a) | ((a == best_a) & (low < best_x))
-                best_a, best_x = np.where(better, a, best_a), np.where(better, low, best_x)
-        return mixed(best_x) ^ best_a.astype(np.uint64)
-
-    def bands(self, x: np.ndarray, w: np.ndarray) -> np.ndarray:
-        rows = self.samples(x, w).reshape(BANDS, ROWS)
-        key = np.arange(1, BANDS + 1, dtype=np.uint64)
+                if group[i] < len(values):
+                    a = tables[group[i]].take(places, mode="clip")
+                else:
+                    a = self._ordered(log_w[kind[i:j]], *(v.take(places, mode="clip") for v in (self.r, self.c, self.b)))
+                key = a.astype(np.uint64)
+                key <<= np.uint64(32)
+                key |= x[i:j] >> np.uint64(32)
+                first = np.flatnonzero(np.diff(of[i:j], prepend=-1))
+                at = of[i:j][first]
+                out[:, at] = np.minimum(out[:, at], np.minimum.reduceat(key, first, axis=1))
+        return out.T
+
+    def bands(self, sets: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """A row of BANDS bucket numbers for each set."""
+        rows = self.samples(sets).reshape(-1, BANDS, ROWS)
+        key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), rows.shape[:2])
         for j in range(ROWS):
-            key = mixed(key * np.uint64(0x9E3779B97F4A7C15) ^ rows[:, j])
+            key = mixed(key * np.uint64(0x9E3779B97F4A7C15) ^ rows[:, :, j])
         return key.view(np.int64)
 
 
@@ -144,14 +171,30 @@ def signatures(docs: DataFrame, sketch: Broadcast, n_docs: int) -> DataFrame:
         if not _sampler:
             _sampler.append(Sampler())
         for rows in batches:
-            h, bands = np.empty((2, rows.num_rows), np.int64), []
+            h, bands, sets, at = np.zeros((2, rows.num_rows), np.int64), [[]] * rows.num_rows, [], []
+
+            def flush() -> None:
+                for i, row in zip(at, _sampler[0].bands(sets).tolist() if sets else []):
+                    bands[i] = row
+                sets.clear()
+                at.clear()
+
+            held = 0
             for i, text in enumerate(rows.column(1).to_pylist()):
                 words = word_hashes(text)
+                if not len(words):
+                    continue
                 place = mixed(np.arange(1, len(words) + 1, dtype=np.uint64))
-                h[0, i] = mixed(words ^ place).sum(dtype=np.uint64).astype(np.int64) if len(words) else 0
-                h[1, i] = mixed(words + place * np.uint64(3)).sum(dtype=np.uint64).astype(np.int64) if len(words) else 0
+                h[0, i] = mixed(words ^ place).sum(dtype=np.uint64).astype(np.int64)
+                h[1, i] = mixed(words + place * np.uint64(3)).sum(dtype=np.uint64).astype(np.int64)
                 x, n = shingles(words, WORDS)
-                bands.append(_sampler[0].bands(x, weights(x, n, sketch.value, n_docs)).tolist() if len(x) else [])
+                sets.append((x, weights(x, n, sketch.value, n_docs)))
+                at.append(i)
+                held += len(x)
+                if held >= BATCH_SHINGLES:
+                    flush()
+                    held = 0
+            flush()
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(h[0]), pa.array(h[1]), pa.array(bands, pa.list_(pa.int64()))], names=["id", "h1", "h2", "bands"])
 
     return docs.mapInArrow(sign, "id long, h1 long, h2 long, bands array<long>")
@@ -161,16 +204,16 @@ def verified(pairs: DataFrame, texts: DataFrame, sketch: Broadcast, n_docs: int,
     """(src, dst) of the pairs whose weighted Jaccard similarity is `least` or more."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: OrderedDict[int, tuple] = OrderedDict()
+        held: OrderedDict[tuple, tuple] = OrderedDict()
 
-        def of(i: int, text: str) -> tuple:
-            if i not in held:
-                x, n = shingles(word_hashes(text), WORDS)
-                held[i] = (x, weights(x, n, sketch.value, n_docs))
+        def of(*key: int | str) -> tuple:
+            if key not in held:
+                x, n = shingles(word_hashes(key[1]), WORDS)
+                held[key] = (x, weights(x, n, sketch.value, n_docs))
                 if len(held) > 64:
                     held.popitem(last=False)
-            held.move_to_end(i)
-            return held[i]
+            held.move_to_end(key)
+            return held[key]
 
         for rows in batches:
             src, a, dst, b = (rows.column(i).to_pylist() for i in range(4))
@@ -246,38 +289,50 @@ def linking_pairs(left: list[tuple], right: list[tuple], least: float) -> Iterat
 
 def linked_in_full(members: DataFrame, texts: DataFrame, sketch: Broadcast, n_docs: int, least: float) -> DataFrame:
     """(src, dst): links that join all components of which two members of one bucket are `least`
-    or more similar. `members` are (bucket, rep, component); all were compared with the smallest
-    of their bucket, so it is left out, and buckets of one component have nothing to compare.
+    or more similar. `members` are (bucket, rep, component).
 
-    A bucket is dealt into blocks by hash, and each pair of blocks is one group, so no task holds
-    more than two blocks at once however large the bucket is.
+    A bucket is dealt into blocks: a component that fills one has blocks of its own, the rest
+    share some by hash. Each pair of blocks that can hold two components is one group, so no
+    task holds more than two blocks at once however large the bucket is, and a large component
+    is not compared with itself.
     """
-    rest = members.withColumn("centre", F.min("rep").over(Window.partitionBy("bucket"))).where("rep <> centre").drop("centre")
-    sizes = rest.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"), F.min("component").alias("low"), F.max("component").alias("high"))
-    dealt = rest.join(sizes.where("low <> high").select("bucket", "blocks"), "bucket").withColumn("mine", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = settle(dealt.select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "rep", "component"))
+    parts = members.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    kinds = parts.groupBy("bucket").agg(
+        F.count("*").alias("components"), F.ceil(F.sum(F.when(F.col("n") < BLOCK_ROWS, F.col("n"))) / BLOCK_ROWS).cast("int").alias("shared")
+    )
+    parts = parts.join(kinds.where("components > 1").drop("components"), "bucket")
+    own = F.when(F.col("n") >= BLOCK_ROWS, F.col("component"))
+    parts = parts.select("bucket", "component", own.alias("own"), F.when(own.isNull(), F.col("shared")).otherwise(F.ceil(F.col("n") / BLOCK_ROWS)).cast("int").alias("of"))
+    parts = settle(parts)
+    block = F.struct(F.col("own"), F.pmod(F.xxhash64("rep"), "of").cast("int").alias("i"))
+    dealt = settle(members.join(parts, ["bucket", "component"]).select("bucket", block.alias("block"), "rep", "component"))
+    blocks = dealt.select("bucket", "block").distinct()
+    left, right = blocks.withColumnRenamed("block", "i"), blocks.withColumnRenamed("block", "j")
+    meet = left.join(right, "bucket").where("i <= j and not (i.own is not null and j.own is not null and i.own = j.own)")
+    meet = meet.select("bucket", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    dealt = settle(dealt.join(meet, ["bucket", "block"]).select("bucket", "i", "j", (F.col("block") == F.col("i")).alias("left"), "rep", "component"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, {}
 
         def done() -> pa.RecordBatch:
-            left, right = held.get(at[1], []), held.get(at[2], [])
+            left = held.get(True, [])
+            right = left if at[1] == at[2] else held.get(False, [])
             pairs = list(linking_pairs(left, right, least)) if left and right else []
             return pa.RecordBatch.from_arrays([pa.array([min(p) for p in pairs], pa.int64()), pa.array([max(p) for p in pairs], pa.int64())], names=["src", "dst"])
 
         for rows in batches:
-            for bucket, i, j, mine, rep, component, text in zip(*(c.to_pylist() for c in rows.columns)):
+            for bucket, i, j, first, rep, component, text in zip(*(c.to_pylist() for c in rows.columns)):
                 if (bucket, i, j) != at:
                     if at is not None:
                         yield done()
                     at, held = (bucket, i, j), {}
                 x, n = shingles(word_hashes(text), WORDS)
-                held.setdefault(mine, []).append((rep, component, x, weights(x, n, sketch.value, n_docs)))
+                held.setdefault(first, []).append((rep, component, x, weights(x, n, sketch.value, n_docs)))
         if at is not None:
             yield done()
 
-    with_text = dealt.join(texts.select(F.col("id").alias("rep"), "text"), "rep").select("bucket", "i", "j", "mine", "rep", "component", "text")
+    with_text = dealt.join(texts.select(F.col("id").alias("rep"), "text"), "rep").select("bucket", "i", "j", "left", "rep", "component", "text")
     groups = with_text.repartition(partitions_for(members.sparkSession), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "rep")
     return groups.mapInArrow(compare, "src long, dst long").distinct()
 
@@ -286,59 +341,53 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """(doc_id, class_id, kept), one row per document; class_id is the smallest id of its class.
 
     Texts with equal words form one class at once and one stands for all. The others' samples
-    are banded (16 bands of 4); in each bucket every member is compared with the smallest
-    one, and what is at least `least` similar is linked. Then buckets that still hold several
-    components are searched again by one delegate of each component, with another centre and
-    between neighbours in a random order, while rounds find new links. These rounds only save
-    work: in buckets that hold several components after them, all members are compared with all
-    others, in blocks, so every similar pair of a bucket ends in one class.
+    are banded (16 bands of 4). First each document is compared with one other, the smallest id
+    of all its buckets. Then, in buckets that still hold several components, one member of each
+    is compared with one of the smallest component, as long as a tenth of such pairs link. These
+    rounds only save work: in buckets that hold several components after them, all members of
+    different components are compared, in blocks, so every similar pair of a bucket ends in one
+    class.
 
     Null texts are classes of their own; empty texts are equal to each other. Texts of fewer than
     five words are one shingle. Rows that repeat an id are one document with the smallest of its
-    texts' classes; ties go to the smallest id. An empty table gives no rows; other columns are
-    not carried. Ids must be integers; rows without id are left out.
+    texts' classes; ties go to the smallest id. Rows without id are returned one by one, kept and
+    without class. An empty table gives no rows; other columns are not carried. Ids must be integers.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
+    every_row = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = every_row.where("id is not null")
     known = rows.where("text is not null")
     sketch = spark.sparkContext.broadcast(document_frequencies(known.select("text")))
     n_docs = known.count()
     signed = settle(signatures(known, sketch, n_docs))
     groups = settle(signed.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")))
     buckets = groups.select("rep", F.explode("bands").alias("bucket")).distinct()
-    full = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    buckets = settle(buckets.join(full, "bucket"))
+    centres = buckets.groupBy("bucket").agg(F.min("rep").alias("centre"), F.max("rep").alias("last")).where("centre <> last").drop("last")
+    buckets = settle(buckets.join(centres, "bucket"))
     wanted = buckets.select(F.col("rep").alias("id")).distinct()
-    texts = settle(rows.join(wanted.hint("shuffle_hash"), "id", "left_semi").dropDuplicates(["id"]))
+    texts = settle(rows.join(wanted.hint("shuffle_hash"), "id", "left_semi").distinct())
+    pairs = buckets.groupBy("rep").agg(F.min("centre").alias("src")).select("src", F.col("rep").alias("dst")).where("src < dst")
 
-    links, tried, component = None, None, None
-    for turn in range(MAX_ROUNDS):
-        members = buckets.select("bucket", "rep", F.col("rep").alias("component"))
-        if component is not None:
+    links, component, members, turn = None, None, buckets.select("bucket", "rep", F.col("rep").alias("component")), 0
+    while True:
+        pairs = settle(pairs.repartition(partitions_for(spark), "src", "dst"))
+        tried = pairs.count()
+        new = settle(verified(pairs, texts, sketch, n_docs, least)) if tried else pairs
+        found = new.count()
+        if found:
+            links = new if links is None else links.union(new)
+            component = connected_components(links)
             labels = component.select(F.col("id").alias("rep"), F.col("component").alias("found"))
             members = buckets.join(labels, "rep", "left").select("bucket", "rep", F.coalesce("found", "rep").alias("component"))
-            delegate = F.min_by("rep", F.xxhash64("rep", F.lit(turn), "bucket"))
-            members = members.groupBy("bucket", "component").agg(delegate.alias("rep"))
-        order = F.col("rep") if turn == 0 else F.xxhash64("rep", F.lit(turn), "bucket")
-        in_bucket = Window.partitionBy("bucket").orderBy(order)
-        near = members.select("rep", F.first("rep").over(in_bucket).alias("centre"), F.lag("rep").over(in_bucket).alias("before"))
-        others = F.array("centre", "before") if turn else F.array("centre")
-        near = near.select(F.col("rep").alias("x"), F.explode(others).alias("y"))
-        pairs = near.where("x <> y").select(F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["src", "dst"], "left_anti")
-        pairs = settle(pairs.repartition(partitions_for(spark), "src", "dst"))
-        new = settle(verified(pairs, texts, sketch, n_docs, least))
-        tried = pairs if tried is None else tried.union(pairs)
-        if new.limit(1).count() == 0:
+        if 10 * found <= tried:
             break
-        links = new if links is None else links.union(new)
-        component = connected_components(links)
-    members = buckets.select("bucket", "rep", F.col("rep").alias("component"))
-    if component is not None:
-        labels = component.select(F.col("id").alias("rep"), F.col("component").alias("found"))
-        members = buckets.join(labels, "rep", "left").select("bucket", "rep", F.coalesce("found", "rep").alias("component"))
-    new = settle(linked_in_full(members, texts, sketch, n_docs, least))
+        turn += 1
+        delegates = members.groupBy("bucket", "component").agg(F.min_by("rep", F.xxhash64("rep", F.lit(turn))).alias("rep"))
+        least_one = delegates.groupBy("bucket").agg(F.min(F.struct("component", "rep")).alias("centre"))
+        pairs = delegates.join(least_one, "bucket").where("component <> centre.component")
+        # One pair for each two components; which bucket they met in does not matter.
+        pairs = pairs.groupBy("component", "centre.component").agg(F.min(F.struct(F.least("rep", "centre.rep").alias("src"), F.greatest("rep", "centre.rep").alias("dst"))).alias("p")).select("p.src", "p.dst").distinct()
+    new = settle(linked_in_full(settle(members), texts, sketch, n_docs, least))
     if new.limit(1).count() > 0:
         component = connected_components(new if links is None else links.union(new))
     merged = groups.select("h1", "h2", "rep")
@@ -349,5 +398,6 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         merged = merged.withColumnRenamed("rep", "class")
     named = signed.select("id", "h1", "h2").join(merged, ["h1", "h2"]).groupBy("id").agg(F.min("class").alias("class"))
     alone = rows.where("text is null").select("id").distinct().join(named, "id", "left_anti").select("id", F.col("id").alias("class"))
-    every = named.union(alone)
-    return every.select(F.col("id").alias("doc_id"), F.col("class").alias("class_id"), (F.col("id") == F.col("class")).alias("kept"))
+    nameless = every_row.where("id is null").select("id", F.col("id").alias("class"))
+    every = named.union(alone).union(nameless)
+    return every.select(F.col("id").alias("doc_id"), F.col("class").alias("class_id"), F.col("id").eqNullSafe(F.col("class")).alias("kept"))

@@ -210,18 +210,8 @@ def test_minhash_compares_buckets_in_full(spark, monkeypatch):
     few = [(1, "x y z u v w"), (2, "a b c d e f g h i j k l m"), (3, "a b c d e f g h i j k l m n")]
     for texts in (few, [(i, " ".join(w)) for i, w in rows]):
         got = {r.doc_id: r.class_id for r in minhash.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
-        sketch = np.zeros(minhash.SKETCH_SIZE, np.int64)
-        sets = {i: minhash.shingles(minhash.word_hashes(t), minhash.WORDS) for i, t in texts}
-        for x, _ in sets.values():
-            for row in minhash.sketch_cells(x):
-                np.add.at(sketch, row, 1)
-        sets = {i: (x, minhash.weights(x, n, sketch, len(texts))) for i, (x, n) in sets.items()}
-        same = {i: {i} for i in sets}
-        for a, b in itertools.combinations(sets, 2):
-            if minhash.weighted_jaccard(sets[a], sets[b]) >= minhash.LEAST:
-                both = same[a] | same[b]
-                same.update(dict.fromkeys(both, both))
-        assert got == {i: min(group) for i, group in same.items()} and any(len(g) > 1 for g in same.values())
+        want, pairs = brute_classes(texts)
+        assert got == want and pairs
 
 
 def test_overlaps_are_sums_of_lesser_weights():
@@ -239,8 +229,66 @@ def test_samples_estimate_weighted_jaccard():
     a, b = x[:300], x[100:]
     w = {int(v): float(rng.integers(1, 4)) for v in x}
     wa, wb = (np.array([w[int(v)] for v in s]) for s in (a, b))
-    rate = (sampler.samples(a, wa) == sampler.samples(b, wb)).mean()
-    assert abs(rate - minhash.weighted_jaccard((a, wa), (b, wb))) < 0.25
+    one, two = sampler.samples([(a, wa), (b, wb)])
+    assert abs((one == two).mean() - minhash.weighted_jaccard((a, wa), (b, wb))) < 0.25
+    many = np.sort(rng.integers(0, 1 << 63, 9000, np.uint64))
+    together = sampler.samples([(many, np.full(9000, 2.0)), (a, wa), (b, wb)])  # now weight 2 has a table
+    assert (together[1] == one).all() and (together[2] == two).all() and list(sampler.tables) == [math.log(2.0)]
+
+
+def brute_classes(texts, least=minhash.LEAST):
+    """Classes by weighted Jaccard of all pairs; pairs at `least` or more."""
+    sketch = np.zeros(minhash.SKETCH_SIZE, np.int64)
+    sets = {i: minhash.shingles(minhash.word_hashes(t), minhash.WORDS) for i, t in texts}
+    for x, _ in sets.values():
+        for row in minhash.sketch_cells(x):
+            np.add.at(sketch, row, 1)
+    sets = {i: (x, minhash.weights(x, n, sketch, len(texts))) for i, (x, n) in sets.items()}
+    pairs = [(a, b) for a, b in itertools.combinations(sets, 2) if minhash.weighted_jaccard(sets[a], sets[b]) >= least]
+    same = {i: {i} for i in sets}
+    for a, b in pairs:
+        both = same[a] | same[b]
+        same.update((i, both) for i in both)
+    return {i: min(group) for i, group in same.items()}, pairs
+
+
+def test_minhash_finds_planted_copies(spark):
+    """Groups of near copies of 2 to 60 documents with one to eight edits: recall of pairs, whole classes."""
+    rng, rows = np.random.default_rng(14), []
+    for size in (2, 2, 2, 3, 3, 5, 8, 13, 60):
+        base = [f"w{v}" for v in rng.integers(0, 4000, int(rng.integers(60, 300)))]
+        for k in range(size):
+            copy = list(base)
+            for at in rng.integers(0, len(base), int(rng.integers(1, max(2, len(base) // 40)))):
+                copy[at] = f"edit{rng.integers(1 << 30)}"
+            rows.append((len(rows), " ".join(copy)))
+    rows += [(1000 + i, " ".join(f"w{v}" for v in rng.integers(0, 4000, 120))) for i in range(80)]
+    want, pairs = brute_classes(rows)
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert len(pairs) > 300 and sum(got[a] == got[b] for a, b in pairs) >= 0.99 * len(pairs)
+    assert all(want[i] == want[c] for i, c in got.items())  # no class joins what brute force keeps apart
+
+
+def test_damping_keeps_large_groups_together():
+    """A third of the corpus is near copies of one text, each with one edit in twenty shingles: above 0.8
+    with the damped inverse frequency, far below it with the plain one."""
+    n_docs, shared, edits = 30_000, 190, 10
+    sketch = np.zeros(minhash.SKETCH_SIZE, np.int64)
+    x = np.sort(np.random.default_rng(5).integers(0, 1 << 63, shared + 2 * edits, np.uint64))
+    common, own, other = x[:shared], x[shared : shared + edits], x[shared + edits :]
+    sketch[minhash.sketch_cells(common)] = 10_000
+    one, two = np.concatenate([common, own]), np.concatenate([common, other])
+    damped = [(v, minhash.weights(v, np.ones(len(v)), sketch, n_docs)) for v in (one, two)]
+    plain = [(v, np.log((n_docs + 1) / (sketch[minhash.sketch_cells(v)].min(axis=0) + 1))) for v in (one, two)]
+    assert minhash.weighted_jaccard(*damped) >= 0.85 and minhash.weighted_jaccard(*plain) < 0.6
+
+
+def test_minhash_on_odd_ids(spark):
+    """Rows without id stay one by one; an id with two texts is one document that links by either, and so joins their copies."""
+    words = [f"t{i}" for i in range(60)]
+    rows = [(None, "a b c"), (None, "a b c"), (1, " ".join(words)), (2, "something else"), (2, " ".join([*words[:59], "z"])), (3, "something else")]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), str(r.class_id), r.kept) for r in got) == [("1", "1", True), ("2", "1", False), ("3", "1", False), ("None", "None", True), ("None", "None", True)]
 
 
 def test_embeddings_against_brute_force(spark):
