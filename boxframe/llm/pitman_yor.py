@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,13 +15,18 @@ from boxframe.llm.words import mixed, word_hashes
 
 #: Context restaurants: the word before, hashed to one of 2^16; all share the root as parent.
 CONTEXTS = 1 << 16
-DISCOUNT, STRENGTH = 0.9, 20.0
-ROOT_DISCOUNT, ROOT_STRENGTH = 0.7, 100.0
+#: Discounts are a half at both levels: the number of ways to seat c customers at t tables is then
+#: G(2c - t) / (G(t) G(c - t + 1) 4^(c - t)), G the gamma function, so table counts are drawn from
+#: their exact conditional for any c.
+DISCOUNT = 0.5
+STRENGTH, ROOT_STRENGTH = 30.0, 100.0
 BURN_IN, KEPT_SWEEPS = 2, 3
-#: Exact table counts up to this many customers of one word in one restaurant.
-EXACT = 48
+#: Table counts that are looked at for one draw: all up to the first, else as many around the mode.
+FEW_TABLES, WINDOW = 32, 512
+#: Words that make up more than one in so many tokens are spread over all buckets by context.
+HOT = 1 << 14
 BLOCK_TOKENS, BLOCK_DOCS = 3_000_000, 60_000
-BUCKET_BYTES = 20_000_000
+BUCKET_BYTES = 16_000_000
 END, START = np.uint64(0x5EED00000000E0D1), np.uint64(0x5EED00000000B016)
 CHUNKS = 16
 
@@ -31,49 +35,77 @@ def restaurant(words: np.ndarray) -> np.ndarray:
     return (mixed(words) >> np.uint64(48)).astype(np.uint16)
 
 
-@lru_cache(maxsize=4)
-def stirling(discount: float) -> np.ndarray:
-    """log S(c, t): ways to seat c customers at t tables, for c up to EXACT."""
-    s = np.full((EXACT + 1, EXACT + 1), -np.inf)
-    s[0, 0] = 0
-    for c in range(1, EXACT + 1):
-        for t in range(1, c + 1):
-            stay = s[c - 1, t] + math.log(c - 1 - t * discount) if c - 1 > t * discount and s[c - 1, t] > -np.inf else -np.inf
-            s[c, t] = np.logaddexp(s[c - 1, t - 1], stay)
-    return s
-
-
-def seat(c: np.ndarray, others: np.ndarray, base: np.ndarray, discount: float, strength: float, rng: np.random.Generator) -> np.ndarray:
+def seat(c: np.ndarray, others: np.ndarray, base: np.ndarray, strength: float, rng: np.random.Generator) -> np.ndarray:
     """Tables of c customers who all eat one dish, given the restaurant's other tables and the
     parent's probability of the dish: a blocked Gibbs draw.
 
-    p(t) is in proportion to S(c, t) base^t times the product of strength + discount * (others + i)
-    for i < t. Beyond EXACT customers, the rest arrive one group after another, each group half as
-    large again, by the rule for a newcomer.
+    p(t) is in proportion to S(c, t) base^t times the product of strength + (others + i) / 2 for
+    i < t, S the number of seatings. Its ratio p(t + 1) / p(t) is a rational function that falls
+    with t, so p has one mode, a root of a quadratic, and tails that fall faster than a geometric
+    series: the draw looks at eight standard deviations and more on both sides. Where these hold
+    more than WINDOW values, cells of 1/32 standard deviation are drawn, and a value within.
     """
     tables = np.ones(len(c), np.int64)
-    log_s, small = stirling(discount), np.minimum(c, EXACT)
-    for n in np.unique(small[small > 1]).tolist():
-        at = np.flatnonzero(small == n)
-        i = np.arange(n)
-        steps = np.log(strength + discount * (others[at][:, None] + i)) + np.log(base[at])[:, None]
-        logp = np.cumsum(steps, axis=1) + log_s[n, 1 : n + 1]
-        p = np.exp(logp - logp.max(axis=1, keepdims=True)).cumsum(axis=1)
-        tables[at] = 1 + (p < rng.random(len(at))[:, None] * p[:, -1:]).sum(axis=1)
-    seated, live = small.astype(np.int64), np.flatnonzero(c > EXACT)
-    while len(live):
-        group = np.minimum(c[live] - seated[live], seated[live] // 2)
-        new = (strength + discount * (others[live] + tables[live])) * base[live]
-        rate = new / (new + seated[live] - discount * tables[live])
-        tables[live] += rng.binomial(group, np.clip(rate, 0, 1))
-        seated[live] += group
-        live = live[seated[live] < c[live]]
+    free = strength + DISCOUNT * others
+    for low, high, width in ((2, FEW_TABLES, FEW_TABLES), (FEW_TABLES + 1, np.inf, WINDOW)):
+        live = np.flatnonzero((c >= low) & (c <= high))
+        for i in range(0, len(live), 4096):
+            at = live[i : i + 4096]
+            n, f, b = c[at].astype(float), free[at], base[at]
+            start, step = np.ones(len(at)), np.ones(len(at))
+            if width == WINDOW:  # p(t + 1) = p(t): (4b/2 - 1) t^2 - (4b (n/2 - f) - (2n - 1)) t - 4b n f = 0, signs turned
+                x, y, z = 1 - 2 * b, 4 * b * (f - n / 2) + 2 * n - 1, 4 * b * n * f
+                mode = np.clip(2 * z / (y + np.sqrt(np.maximum(y * y - 4 * x * z, 0))), 1, n - 1)
+                curve = 1 / (n - mode) - 1 / (2 * n - mode - 1) + 1 / mode - DISCOUNT / (f + DISCOUNT * mode)
+                reach = np.minimum(8 / np.sqrt(np.maximum(curve, 1e-300)) + 32, n)
+                start = np.maximum(1, np.floor(mode - reach))
+                step = np.ceil(np.maximum(1, (np.minimum(mode + reach, n) - start + 1) / WINDOW))
+            t = start[:, None] + step[:, None] * np.arange(width - 1)
+            middle = t + (step[:, None] - 1) / 2  # of the values from t to the next cell
+            with np.errstate(divide="ignore", invalid="ignore"):
+                rise = 4 * b[:, None] * (n[:, None] - middle) * (f[:, None] + DISCOUNT * middle) / ((2 * n[:, None] - middle - 1) * middle)
+                log_p = np.cumsum(step[:, None] * np.log(np.where(t + step[:, None] <= n[:, None], rise, 0)), axis=1)
+            log_p = np.concatenate([np.zeros((len(at), 1)), log_p], axis=1)
+            p = np.exp(log_p - log_p.max(axis=1, keepdims=True)).cumsum(axis=1)
+            cell = (p < rng.random(len(at))[:, None] * p[:, -1:]).sum(axis=1)
+            tables[at] = np.minimum(start + step * cell + np.floor(rng.random(len(at)) * step), n)
     return tables
 
 
-def pack_block(docs: list[np.ndarray], train: list[bool], buckets: int) -> Iterator[tuple[int, bytes]]:
+def hot_words(texts: DataFrame) -> np.ndarray:
+    """Hashes of all words (with END) that are more than one in HOT of all tokens, and of at most as
+    many again that are more than one in 2 HOT: a word of such a share has half of it at least in
+    blocks where it is more than one in 2 HOT, and only there it is counted."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def done() -> pa.RecordBatch:
+            words, n = np.unique(np.concatenate(held), return_counts=True)
+            many = 2 * HOT * n >= size
+            kind = np.append(np.zeros(many.sum(), np.int32), 1)
+            return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(np.append(words[many].view(np.int64), 0)), pa.array(np.append(n[many], size))], names=["kind", "word", "n"])
+
+        for rows in batches:
+            for text in rows.column(0).to_pylist():
+                held.append(np.append(word_hashes(text), END))
+                size += len(held[-1])
+                if size >= BLOCK_TOKENS:
+                    yield done()
+                    held, size = [], 0
+        if held:
+            yield done()
+
+    counts = settle(texts.mapInArrow(count, "kind int, word long, n long").groupBy("kind", "word").agg(F.sum("n").alias("n")))
+    total = counts.where("kind = 1").agg(F.sum("n")).first()[0] or 0
+    found = counts.where("kind = 0").where(F.col("n") * (2 * HOT) >= total).select("word").collect()  # at most 2 HOT rows
+    return np.unique(np.array([r[0] for r in found], np.int64).view(np.uint64))
+
+
+def pack_block(docs: list[np.ndarray], train: list[bool], buckets: int, hot: np.ndarray) -> Iterator[tuple[int, bytes]]:
     """(bucket, bytes) of a block: for its words in that bucket, the contexts of each word, and
-    for each (word, context) the documents of the block in which it stands."""
+    for each (word, context) the documents of the block in which it stands. A word has one
+    bucket; a hot word's contexts are dealt to all."""
     words = np.concatenate([np.append(d, END) for d in docs])
     sizes = np.array([len(d) + 1 for d in docs])
     doc = np.repeat(np.arange(len(docs), dtype=np.uint16), sizes)
@@ -81,24 +113,26 @@ def pack_block(docs: list[np.ndarray], train: list[bool], buckets: int) -> Itera
     before[np.cumsum(sizes)[:-1]] = START
     contexts = restaurant(before)
     different, word = np.unique(words, return_inverse=True)
-    bucket_of = ((different >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-    rank = np.empty(len(different), np.int64)
-    by_bucket = np.argsort(bucket_of, kind="stable")
-    rank[by_bucket] = np.arange(len(different))
-    key = rank[word] << 16 | contexts
+    bucket = ((different >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)[word]
+    spread = np.flatnonzero(np.isin(different, hot)[word])
+    bucket[spread] = (mixed(words[spread] ^ mixed(contexts[spread].astype(np.uint64) + np.uint64(1))) >> np.uint64(32)) % np.uint64(buckets)
+    key = (bucket * len(different) + word) << 16 | contexts
     order = np.argsort(key, kind="stable")
     key, doc = key[order], doc[order]
-    pairs, first, times = np.unique(key, return_index=True, return_counts=True)
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    times = np.diff(first, append=len(key))
+    pairs = key[first]
     pair_word = pairs >> 16
     flags = np.packbits(np.array(train, np.uint8)).tobytes()
-    edges = np.searchsorted(bucket_of[by_bucket], np.arange(buckets + 1))
+    edges = np.searchsorted(pair_word, np.arange(buckets + 1) * len(different))
     for b in range(buckets):
-        low, high = np.searchsorted(pair_word, [edges[b], edges[b + 1]])
+        low, high = edges[b : b + 2].tolist()
         if low == high:
             continue
-        mine, (start, end) = pair_word[low:high], (first[low], first[high] if high < len(first) else len(doc))
-        per_word = np.bincount(mine - edges[b], minlength=edges[b + 1] - edges[b]).astype(np.uint32)
-        parts = (different[by_bucket[edges[b] : edges[b + 1]]], per_word, (pairs[low:high] & 0xFFFF).astype(np.uint16), times[low:high].astype(np.uint32), doc[start:end])
+        mine, (start, end) = pair_word[low:high] - b * len(different), (first[low], first[high] if high < len(first) else len(doc))
+        begins = np.flatnonzero(np.diff(mine, prepend=-1))
+        per_word = np.diff(begins, append=len(mine)).astype(np.uint32)
+        parts = (different[mine[begins]], per_word, (pairs[low:high] & 0xFFFF).astype(np.uint16), times[low:high].astype(np.uint32), doc[start:end])
         head = np.array([len(docs), *map(len, parts)], np.int64)
         yield b, b"".join([head.tobytes(), flags, *(p.tobytes() for p in parts)])
 
@@ -114,10 +148,40 @@ def open_block(raw: bytes) -> tuple:
     return tuple(out)
 
 
+class Totals:
+    """Sums over all buckets, of a fixed size: per context and per hot word, and over all words.
+
+    `first` holds a context's customers and its tables when sampling starts, a hot word's
+    training tokens and its tables, and the numbers of tokens, of other words known, of tables
+    and of root tables of other words; `kept` the tables alone, after each kept sweep.
+    """
+
+    def __init__(self, first: np.ndarray, hot: int, kept: list[np.ndarray] = ()):
+        self.seen, self.tables, self.hot_count, self.hot_tables, ends = np.split(first, np.cumsum([CONTEXTS, CONTEXTS, hot, hot]))
+        self.tokens, cold, self.customers, self.cold_root = ends.tolist()
+        self.types = cold + int((self.hot_count > 0).sum())
+        self.kept = [np.split(k, [CONTEXTS, CONTEXTS + hot]) for k in kept]
+
+    def hot_root(self, sweep: int) -> np.ndarray:
+        """Root tables of the hot words, the same draw in every task."""
+        out = np.minimum(self.hot_tables, 1)
+        at, rng = np.flatnonzero(self.hot_tables > 1), np.random.default_rng([5, sweep])
+        for _ in range(2):
+            others = float(self.cold_root) + out.sum() - out[at]
+            out[at] = seat(self.hot_tables[at], others, np.full(len(at), 1 / (self.types + 1)), ROOT_STRENGTH, rng)
+        return out
+
+
+def root_probability(customers: np.ndarray, root: np.ndarray, all_customers: float, all_tables: float, types: int) -> np.ndarray:
+    back = (ROOT_STRENGTH + DISCOUNT * all_tables) / (types + 1)
+    return np.maximum(customers - DISCOUNT * root + back, 1e-300) / (ROOT_STRENGTH + all_customers)
+
+
 class Bucket:
-    """All occurrences of the words of one bucket, and the seating of their training tokens."""
+    """All occurrences of the words of one bucket (of a hot word: with some of its contexts), and
+    the seating of their training tokens."""
 
-    def __init__(self, raws: list[bytes]):
+    def __init__(self, raws: list[bytes], hot: np.ndarray):
         blocks = [open_block(r) for r in raws]
         self.words, word = np.unique(np.concatenate([b[1] for b in blocks]), return_inverse=True)
         own = np.split(word, np.cumsum([len(b[1]) for b in blocks])[:-1])
@@ -134,34 +198,85 @@ class Bucket:
         for pair, times, docs, flags in zip(self.of_pair, self.times, self.docs, self.flags):
             taught = np.add.reduceat(flags[docs].astype(np.int64), np.concatenate([[0], np.cumsum(times, dtype=np.int64)[:-1]]))
             np.add.at(self.count, pair, taught)
-        self.word_count = np.bincount(self.word, self.count, len(self.words)).astype(np.int64)
-
-    def sweep(self, seed: int, buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(tables per pair, root tables per word) of each kept sweep.
-
-        Words are dealt to buckets by hash, so a bucket takes its own table totals times the
-        number of buckets for those of all; the predictive probabilities use the exact totals.
-        """
-        rng, c = np.random.default_rng(seed), self.count
-        many, once = np.flatnonzero(c > 1), (c > 0).astype(np.int64)
-        tables, root = once.copy(), (self.word_count > 0).astype(np.int64)
+        self.word_count = self.per_word(self.count)
+        self.many = np.flatnonzero(self.count > 1)
+        at = np.minimum(np.searchsorted(hot, self.words), max(0, len(hot) - 1))
+        self.hot = np.flatnonzero(hot[at] == self.words) if len(hot) else np.empty(0, int)
+        self.cold = np.setdiff1d(np.arange(len(self.words)), self.hot)
+        self.place, self.n_hot = at[self.hot], len(hot)  # of the hot words, among all of them
+
+    def per_word(self, x: np.ndarray) -> np.ndarray:
+        return np.bincount(self.word, x, len(self.words)).astype(np.int64)
+
+    def per_context(self, x: np.ndarray) -> np.ndarray:
+        return np.bincount(self.context, x, CONTEXTS).astype(np.int64)
+
+    def per_hot(self, x: np.ndarray) -> np.ndarray:
+        out = np.zeros(self.n_hot, np.int64)
+        out[self.place] = x[self.hot]
+        return out
+
+    def burn_in(self, seed: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+        """(tables per pair, root tables per word) to start from: as no bucket knows the others'
+        tables yet, each takes its own times the number of buckets for those of all."""
+        rng = np.random.default_rng(seed)
+        tables, root = np.minimum(self.count, 1), np.minimum(self.word_count, 1)
         types = max(1, int(root.sum()) * buckets)
-        for turn in range(BURN_IN + KEPT_SWEEPS):
-            customers = np.bincount(self.word, tables, len(self.words))
-            total, served = customers.sum() * buckets, root.sum() * buckets
-            base = (customers - ROOT_DISCOUNT * root + (ROOT_STRENGTH + ROOT_DISCOUNT * served) / (types + 1)) / (ROOT_STRENGTH + total)
-            here = np.bincount(self.context, tables, CONTEXTS)
-            others = np.maximum(here[self.context] - tables, 0)[many] * float(buckets)
-            tables[many] = seat(c[many], others, np.maximum(base[self.word[many]], 1e-300), DISCOUNT, STRENGTH, rng)
-            customers = np.bincount(self.word, tables, len(self.words)).astype(np.int64)
-            at = np.flatnonzero(customers > 1)
-            root[at] = seat(customers[at], np.full(len(at), float(served)), np.full(len(at), 1 / (types + 1)), ROOT_DISCOUNT, ROOT_STRENGTH, rng)
-            if turn >= BURN_IN:
-                yield tables.copy(), root.copy()
-
-
-TOTALS = KEPT_SWEEPS + 1  # of a context: customers, and tables in each kept sweep
-SCALARS = 2 + 2 * KEPT_SWEEPS  # N, V, then root customers and root tables of each kept sweep
+        share = np.ones(len(self.words))
+        share[self.hot] = buckets
+        for _ in range(BURN_IN):
+            customers = self.per_word(tables)
+            base = root_probability(customers * share, root, customers.sum() * buckets, root.sum() * buckets, types)
+            others = (self.per_context(tables)[self.context] - tables)[self.many] * float(buckets)
+            tables[self.many] = seat(self.count[self.many], others, base[self.word[self.many]], STRENGTH, rng)
+            self._seat_root(tables, root, float(root.sum()) * buckets, types, rng)
+        return tables, root
+
+    def _seat_root(self, tables: np.ndarray, root: np.ndarray, all_tables: float, types: int, rng: np.random.Generator) -> None:
+        customers = self.per_word(tables)
+        at = self.cold[customers[self.cold] > 1]
+        root[at] = seat(customers[at], all_tables - root[at], np.full(len(at), 1 / (types + 1)), ROOT_STRENGTH, rng)
+
+    def opening(self, tables: np.ndarray, root: np.ndarray) -> np.ndarray:
+        """This bucket's share of `Totals.first`."""
+        ends = [self.count.sum(), (self.word_count[self.cold] > 0).sum(), tables.sum(), root[self.cold].sum()]
+        return np.concatenate([self.per_context(self.count), self.per_context(tables), self.per_hot(self.word_count), self.per_hot(self.per_word(tables)), ends]).astype(np.int64)
+
+    def sweeps(self, seed: int, start: tuple[np.ndarray, np.ndarray], totals: Totals) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(tables, root tables) after each kept sweep. Other buckets' tables stand as when they
+        were summed, this bucket's own are its latest; every task that repeats this gets the same."""
+        rng, (tables, root) = np.random.default_rng(seed), (x.copy() for x in start)
+        before, before_root, before_hot = self.per_context(tables), root[self.cold].sum(), self.per_hot(self.per_word(tables))
+        for k in range(KEPT_SWEEPS):
+            hot_root = totals.hot_root(k)
+            root[self.hot] = hot_root[self.place]
+            customers, change = self.per_word(tables), self.per_hot(self.per_word(tables)) - before_hot
+            all_customers = totals.customers + self.per_context(tables).sum() - before.sum()
+            customers[self.hot] = (totals.hot_tables + change)[self.place]
+            all_tables = totals.cold_root + root[self.cold].sum() - before_root + hot_root.sum()
+            base = root_probability(customers, root, all_customers, all_tables, totals.types)
+            here = totals.tables + self.per_context(tables) - before
+            others = (here[self.context] - tables)[self.many].astype(float)
+            tables[self.many] = seat(self.count[self.many], others, base[self.word[self.many]], STRENGTH, rng)
+            self._seat_root(tables, root, float(all_tables), totals.types, rng)
+            yield tables, root
+
+    def closing(self, tables: np.ndarray, root: np.ndarray) -> np.ndarray:
+        """This bucket's share of one of `Totals.kept`."""
+        return np.concatenate([self.per_context(tables), self.per_hot(self.per_word(tables)), [tables.sum(), root[self.cold].sum()]]).astype(np.int64)
+
+    def log_probabilities(self, seed: int, start: tuple[np.ndarray, np.ndarray], totals: Totals) -> np.ndarray:
+        """log10 of the predictive probability of each pair, averaged over the kept sweeps."""
+        seen, p = totals.seen[self.context], np.zeros(len(self.word))
+        for k, (tables, root) in enumerate(self.sweeps(seed, start, totals)):
+            contexts, hot_tables, (all_customers, cold_root) = totals.kept[k]
+            hot_root = np.minimum(totals.hot_root(k), hot_tables)
+            customers, root = self.per_word(tables), root.copy()
+            customers[self.hot], root[self.hot] = hot_tables[self.place], hot_root[self.place]
+            base = root_probability(customers, root, all_customers, cold_root + hot_root.sum(), totals.types)
+            back = STRENGTH + DISCOUNT * contexts[self.context]
+            p += (self.count - DISCOUNT * tables + back * base[self.word]) / (STRENGTH + seen)
+        return np.log10(p / KEPT_SWEEPS)
 
 
 def score_language(
@@ -175,11 +290,13 @@ def score_language(
     hashed to 2^16) backs off to the root, which backs off to one in V + 1 (all unknown words
     together are one type). Perplexity over documents is 10^(-sum(score) / sum(n_tokens)).
 
-    Plan: tasks turn blocks of documents into pairs (word, context), combined per block, and send
-    each word's to its bucket; the number of buckets grows with the text. A bucket samples the
-    seating of its words and writes it with its table totals; totals have a fixed size (2^16
-    contexts), are summed as streams and broadcast; then each bucket gives every block the sums
-    of its documents. A word that fills the corpus is one row per context and block.
+    Plan: a first pass finds the words that are a large share of all tokens. Then tasks turn
+    blocks of documents into pairs (word, context), combined per block, and send each to its
+    bucket: a word has one, but the contexts of a hot word are dealt to all, so no task holds
+    one word whole. The number of buckets grows with the text. Buckets seat their words, their
+    table totals (a fixed size: 2^16 contexts, at most 2^15 hot words) are summed as streams and
+    broadcast, and the kept sweeps are drawn given these. Tasks that need a seating again repeat
+    its draws, so seatings are not stored. Then each bucket gives every block its documents' sums.
 
     Null and empty texts are one end token. Documents without id are held out. Repeated rows are
     scored and learnt each time; an empty table gives no rows; other columns are not carried.
@@ -189,6 +306,8 @@ def score_language(
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(fold == held_fold, F.lit(True)).alias("held"), text_of(text_col).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(8, math.ceil(size / BUCKET_BYTES))
+    hot = hot_words(rows.select("text"))
+    shared_hot = spark.sparkContext.broadcast(hot)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -201,7 +320,7 @@ def score_language(
             sizes = np.array([len(d) + 1 for d in docs], np.int64)
             known = np.array([i is not None for i in ids], np.uint8)
             head = b"".join([np.array([len(ids)], np.int64).tobytes(), np.array([i or 0 for i in ids], np.int64).tobytes(), sizes.tobytes(), known.tobytes(), np.array(train, np.uint8).tobytes()])
-            found = [*pack_block(docs, train, buckets), (block % buckets, head)]
+            found = [*pack_block(docs, train, buckets, shared_hot.value), (block % buckets, head)]
             for i in range(0, len(found), 16):
                 part = found[i : i + 16]
                 kinds = [int(x is head) for _, x in part]
@@ -232,31 +351,22 @@ def score_language(
         if held:
             yield at, held
 
+    def pieces(key: int, flat: np.ndarray) -> list[tuple]:
+        return [(key, i, [], [], [], part.tobytes()) for i, part in enumerate(np.array_split(flat, CHUNKS))]
+
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Kind 0: a bucket's rows and seating; kind 1: a chunk of its table totals; kind 2: scalars."""
+        """Kind 0: a bucket's rows; kind 1: a piece of its share of the first totals."""
         for bucket, held in by_bucket(batches):
             held.sort(key=lambda x: (x[0], x[1]))
             blocks = [(b, r) for b, k, r in held if k == 0]
-            out: list = []
             heads = [(b, r) for b, k, r in held if k == 1]
-            seating = b""
+            out: list = []
             if blocks:
-                work = Bucket([r for _, r in blocks])
-                totals, scalars = [np.bincount(work.context, work.count, CONTEXTS).astype(np.int64)], [work.count.sum(), (work.word_count > 0).sum()]
-                many = work.count > 1
-                saved = []
-                for tables, root in work.sweep(bucket + 1, buckets):
-                    totals.append(np.bincount(work.context, tables, CONTEXTS).astype(np.int64))
-                    scalars += [tables.sum(), root.sum()]
-                    saved += [tables[many].astype(np.uint32).tobytes(), root.astype(np.uint32).tobytes()]
-                seating = b"".join(saved)
-                del work, saved
-                stacked = np.stack(totals)
-                width = CONTEXTS // CHUNKS
-                out += [(1, i, [], [], [], np.ascontiguousarray(stacked[:, i * width : (i + 1) * width]).tobytes()) for i in range(CHUNKS)]
-                out.append((2, CHUNKS, [], [], [], np.array(scalars, np.int64).tobytes()))
-            out.append((0, bucket, [b for b, _ in blocks], [r for _, r in blocks], [r for _, r in heads], seating))
-            del blocks, seating
+                work = Bucket([r for _, r in blocks], shared_hot.value)
+                out = pieces(1, work.opening(*work.burn_in(bucket + 1, buckets)))
+                del work
+            out.append((0, bucket, [b for b, _ in blocks], [r for _, r in blocks], [r for _, r in heads], b""))
+            del blocks
             held.clear()
             while out:  # a bucket's row is large, so it travels alone and is held once
                 row = out.pop(0)
@@ -273,50 +383,56 @@ def score_language(
                 total[key] = total.get(key, 0) + np.frombuffer(state, np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([t.tobytes() for t in total.values()], pa.binary())], names=["key", "state"])
 
-    summed = learnt.where("kind > 0").select("key", "state").repartitionById(CHUNKS + 1, F.col("key")).mapInArrow(add, "key int, state binary").collect()
-    sums = {k: np.frombuffer(s, np.int64) for k, s in summed}
-    none = np.zeros(TOTALS * CONTEXTS // CHUNKS, np.int64)
-    context_totals = np.concatenate([sums.get(i, none).reshape(TOTALS, -1) for i in range(CHUNKS)], axis=1)
-    scalars = sums.get(CHUNKS, np.zeros(SCALARS, np.int64))
-    shared = spark.sparkContext.broadcast((context_totals, scalars))
-    train_tokens = int(scalars[0])
+    def summed(parts: DataFrame, size: int) -> np.ndarray:
+        got = dict(parts.repartitionById(CHUNKS, F.col("key")).mapInArrow(add, "key int, state binary").collect())
+        return np.concatenate([np.frombuffer(got[i], np.int64) if i in got else x for i, x in enumerate(np.array_split(np.zeros(size, np.int64), CHUNKS))])
+
+    first = summed(learnt.where("kind = 1").select("key", "state"), 2 * CONTEXTS + 2 * len(hot) + 4)
+    opened = spark.sparkContext.broadcast(Totals(first, len(hot)))
+    train_tokens = opened.value.tokens
+
+    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pieces of each bucket's share of the kept totals."""
+        for rows in batches:
+            for r in range(rows.num_rows):
+                bucket, raws = (rows.column(i)[r].as_py() for i in range(2))
+                if raws:
+                    work = Bucket(raws, shared_hot.value)
+                    swept = work.sweeps(-bucket - 1 & 0xFFFFFFFF, work.burn_in(bucket + 1, buckets), opened.value)
+                    flat = np.concatenate([work.closing(*s) for s in swept])
+                    parts = pieces(0, flat)
+                    yield pa.RecordBatch.from_arrays([pa.array([p[1] for p in parts], pa.int32()), pa.array([p[5] for p in parts], pa.binary())], names=["key", "state"])
+
+    seated = learnt.where("kind = 0")
+    width = CONTEXTS + len(hot) + 2
+    kept = summed(seated.select("key", "raws").mapInArrow(sample, "key int, state binary"), KEPT_SWEEPS * width)
+    shared = spark.sparkContext.broadcast(Totals(first, len(hot), np.split(kept, KEPT_SWEEPS)))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sums of each block's documents over one bucket's words: scores, and tokens that are not
         known (mostly none, which compresses well)."""
-        totals, scalars = shared.value
-        n, v = int(scalars[0]), int(scalars[1])
+        totals = shared.value
+        n, v = totals.tokens, totals.types
         for rows in batches:
             for r in range(rows.num_rows):
-                blocks, raws, head_blocks, heads, state = (rows.column(i)[r].as_py() for i in range(5))
+                bucket, blocks, raws, head_blocks, heads = (rows.column(i)[r].as_py() for i in range(5))
                 for block, head in zip(head_blocks, heads):
                     yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([1], pa.int32()), pa.array([head], pa.binary())], names=["block", "kind", "raw"])
                 if not blocks:
                     continue
-                work = Bucket(raws)
-                many, at = np.flatnonzero(work.count > 1), 0
-                seen, p = totals[0][work.context], np.zeros(len(work.word))
-                for k in range(KEPT_SWEEPS):
-                    tables = (work.count > 0).astype(np.float64)
-                    tables[many] = np.frombuffer(state, np.uint32, len(many), at)
-                    at += 4 * len(many)
-                    root = np.frombuffer(state, np.uint32, len(work.words), at)
-                    at += 4 * len(work.words)
-                    customers = np.bincount(work.word, tables, len(work.words))
-                    all_customers, all_tables = scalars[2 + 2 * k : 4 + 2 * k].tolist()
-                    base = (customers - ROOT_DISCOUNT * root + (ROOT_STRENGTH + ROOT_DISCOUNT * all_tables) / (v + 1)) / (ROOT_STRENGTH + all_customers)
-                    back = STRENGTH + DISCOUNT * totals[1 + k][work.context]
-                    p += (work.count - DISCOUNT * tables + back * base[work.word]) / (STRENGTH + seen)
-                logp = np.log10(p / KEPT_SWEEPS)
-                base_logp = np.log10((work.word_count + 1) / (n + v + 1))
+                work = Bucket(raws, shared_hot.value)
+                logp = work.log_probabilities(-bucket - 1 & 0xFFFFFFFF, work.burn_in(bucket + 1, buckets), totals)
+                word_count = work.word_count.copy()
+                word_count[work.hot] = totals.hot_count[work.place]
+                base_logp = np.log10((word_count + 1) / (n + v + 1))
                 for block, pair, times, docs, flags in zip(blocks, work.of_pair, work.times, work.docs, work.flags):
                     each = np.repeat(pair, times)
                     word = work.word[each]
                     held = np.unique(docs)
-                    sums = [np.bincount(docs, x, len(flags))[held] for x in (logp[each], base_logp[word], work.word_count[word] == 0)]
+                    sums = [np.bincount(docs, x, len(flags))[held] for x in (logp[each], base_logp[word], word_count[word] == 0)]
                     raw = b"".join([np.array([len(held)], np.int64).tobytes(), held.tobytes(), sums[0].astype(np.float32).tobytes(), sums[1].tobytes(), sums[2].astype(np.uint32).tobytes()])
                     yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([0], pa.int32()), pa.array([raw], pa.binary())], names=["block", "kind", "raw"])
-                del work, raws, seen, p, logp, base_logp, each, word, held, sums, raw
+                del work, raws, logp, base_logp, each, word, held, sums, raw
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A block's head comes first, then its sums from each bucket."""
@@ -345,6 +461,6 @@ def score_language(
         if head is not None:
             yield done()
 
-    parts = learnt.where("kind = 0").select("blocks", "raws", "head_blocks", "heads", "state").mapInArrow(judge, "block long, kind int, raw binary")
+    parts = seated.select("key", "blocks", "raws", "head_blocks", "heads").mapInArrow(judge, "block long, kind int, raw binary")
     parts = parts.repartition(partitions_for(spark), "block").sortWithinPartitions("block", F.desc("kind"), F.xxhash64("raw"))
     return parts.mapInArrow(gather, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

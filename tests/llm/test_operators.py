@@ -342,6 +342,17 @@ def test_embeddings_in_large_shards(spark):
     assert all(got[i] <= want[i] for i in got) and sum(got.values()) >= 0.98 * want.sum()
 
 
+def test_embeddings_odd_rows(spark):
+    """No rows; repeated ids and equal rows at a tie; components beyond the square root of the largest double; extra columns."""
+    kind = "vec_id long, embedding array<double>, label string, kept string, node int, n int"
+    assert hnsw.link_embeddings(spark.createDataFrame([], kind)).count() == 0
+    rows = [(1, [1e300, 1e300]), (2, [1e300, 1.0001e300]), (3, [1e-300, 1e-300]), (5, [0.0, 1.0]), (5, [0.0, 1.0]), (7, [0.0, 1.0]), (8, [-1.0, 0.0]), (8, [-1.0, -0.1])]
+    got = hnsw.link_embeddings(spark.createDataFrame([(i, v, "a", "x", 0, 0) for i, v in rows], kind)).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == [
+        (1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (5, 2, 5, True), (5, 2, 5, True), (7, 2, 5, False), (8, 1, 8, True), (8, 1, 8, True),
+    ]
+
+
 def test_classifier(spark, docs, odd, none):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     rows = {r.doc_id: r for r in nbsvm.score_quality(docs, labels).collect()}
@@ -352,6 +363,45 @@ def test_classifier(spark, docs, odd, none):
     assert nbsvm.score_quality(none, labels).count() == 0
 
 
+def test_classifier_against_brute_force(spark):
+    """Ratios by plain counting, the solver against the primal optimum, and one score by hand."""
+    rng = np.random.default_rng(21)
+    words = [f"v{i}" for i in range(40)]
+    texts = [" ".join(rng.choice(words[: 30 if i % 2 else 40][10 * (i % 2) :], 12)) for i in range(90)]
+    labels = [(i, i % 2, 0) for i in range(90) if i % 5] + [(1, None, 0), (2, 7, 0), (777, 1, 0)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    mine = [i for i in range(90) if i % 5 and zlib.crc32(str(i).encode()) % 3 != 1]
+    held = np.ones((2, nbsvm.DIMENSIONS))
+    for i in mine:
+        held[i % 2][nbsvm.features(texts[i])] += 1
+    want = np.log(held[1] / held[1].sum()) - np.log(held[0] / held[0].sum())
+    rows = docs.select(F.col("doc_id").alias("id"), "text")
+    pairs = known.where("quality in (0, 1)").select(F.col("doc_id").alias("id"), F.col("quality").alias("label"))
+    taught = rows.where(F.col("id").isin(mine))
+    got = nbsvm.log_count_ratios(taught.join(pairs, "id").select("label", "text"))
+    assert np.allclose(got, want)
+    (ratios, weights), bias, a, b = nbsvm.fit(taught, pairs)
+    assert np.allclose(ratios, want)
+    scored = {r.doc_id: r.score for r in nbsvm.score_quality(docs, known).collect()}
+    for i in (0, 7, 33):
+        at = nbsvm.features(texts[i])
+        margin = sum(weights[j] * want[j] for j in at) / math.sqrt(sum(want[j] ** 2 for j in at)) + bias
+        assert abs(scored[i] - 1 / (1 + math.exp(-(a * margin + b)))) < 1e-9
+    assert nbsvm.chosen_ids(taught.select("id").union(taught.select("id")), 10).distinct().count() == 10
+
+
+def test_dual_coordinate_descent_reaches_the_optimum(monkeypatch):
+    monkeypatch.setattr(nbsvm, "EPOCHS", 400)
+    rng = np.random.default_rng(2)
+    x, y = rng.normal(size=(40, 3)), np.where(rng.random(40) < 0.5, -1.0, 1.0)
+    cost = np.where(y > 0, 0.7, 1.3)
+    at = np.array([5, 9, 100])
+    w = nbsvm.dual_coordinate_descent([(at, v) for v in x], y, cost)[at]
+    loss = lambda u: 0.5 * u @ u + (cost * np.maximum(0, 1 - y * (x @ u))).sum()
+    assert all(loss(w) <= loss(w + step) + 1e-6 for step in rng.normal(size=(3000, 3)) * rng.choice([1e-3, 1e-2, 0.1, 1], (3000, 1)))
+
+
 def test_language_model(spark, docs, odd, none):
     for d in (docs, odd):
         texts = [(r.doc_id, (r.text or "")) for r in d.collect()]
@@ -368,15 +418,78 @@ def test_language_model(spark, docs, odd, none):
     assert pitman_yor.score_language(none).count() == 0
 
 
-def test_seating_follows_the_exact_law():
-    rng = np.random.default_rng(8)
-    d, s, base, others = 0.5, 1.0, 0.3, 2.0
-    got = np.bincount(pitman_yor.seat(np.full(40_000, 3), np.full(40_000, others), np.full(40_000, base), d, s, rng), minlength=4)[1:] / 40_000
-    ways = np.exp(pitman_yor.stirling(d)[3, 1:4])
-    p = ways * np.cumprod([(s + d * (others + i)) * base for i in range(3)])
-    assert np.allclose(got, p / p.sum(), atol=0.01)
-    many = pitman_yor.seat(np.array([100_000]), np.array([5.0]), np.array([0.01]), 0.9, 20.0, rng)
-    assert 1 <= many[0] <= 100_000
+def exact_law(c, others, base, strength):
+    """p(t) for t = 1 to c by the recurrence for the number of seatings."""
+    d, s = pitman_yor.DISCOUNT, np.full(c + 1, -np.inf)
+    s[1] = 0.0
+    for n in range(1, c):
+        t = np.arange(1, n + 2)
+        with np.errstate(divide="ignore"):
+            s[1 : n + 2] = np.logaddexp(s[0 : n + 1], s[1 : n + 2] + np.log(np.maximum(n - d * t, 1e-300)))
+    p = s[1:] + np.cumsum(np.log((strength + d * (others + np.arange(c))) * base))
+    p = np.exp(p - p.max())
+    return p / p.sum()
+
+
+@pytest.mark.parametrize("c, others, base, strength", [(3, 2, 0.3, 1), (32, 9, 0.05, 20), (48, 500, 0.01, 20), (100, 50, 0.01, 20), (400, 500, 0.01, 20), (400, 2000, 0.05, 20), (400, 50, 1e-9, 20), (3000, 4000, 0.2, 300), (3000, 0, 0.9, 1)])
+def test_seating_follows_the_exact_law(c, others, base, strength):
+    p, n = exact_law(c, others, base, strength), 40_000
+    drawn = pitman_yor.seat(np.full(n, c), np.full(n, float(others)), np.full(n, base), strength, np.random.default_rng(8))
+    mean, spread = p @ np.arange(1, c + 1), math.sqrt(p @ np.arange(1, c + 1) ** 2 - (p @ np.arange(1, c + 1)) ** 2)
+    assert abs(drawn.mean() - mean) <= 5 * spread / math.sqrt(n) + 1e-9 and abs(drawn.std() - spread) <= 0.03 * spread + 0.001
+    assert np.abs(np.bincount(drawn, minlength=c + 1)[1:].cumsum() / n - p.cumsum()).max() < 0.012
+
+
+def test_seating_of_millions():
+    """Cells wider than one value: mean and spread against the law, summed over all values in its ratio form."""
+    c, others, base, strength = 2_000_000, 3e6, 0.05, 300.0
+    t = np.arange(1.0, c)
+    log_p = np.concatenate([[0], np.cumsum(np.log(4 * base * (c - t) * (strength + (others + t) / 2) / ((2 * c - t - 1) * t)))])
+    p = np.exp(log_p - log_p.max())
+    p /= p.sum()
+    mean = p @ np.arange(1, c + 1)
+    spread = math.sqrt(p @ (np.arange(1, c + 1) - mean) ** 2)
+    drawn = pitman_yor.seat(np.full(20_000, c), np.full(20_000, others), np.full(20_000, base), strength, np.random.default_rng(3))
+    assert spread > 40 and abs(drawn.mean() - mean) < 0.05 * spread and abs(drawn.std() - spread) < 0.03 * spread
+
+
+@pytest.mark.parametrize("hot", [1, 1 << 6, 1 << 14])
+def test_probabilities_sum_to_one(spark, docs, monkeypatch, hot):
+    """Over all words after one context, with the unknown word: for cold words, hot ones and both."""
+    few = [pitman_yor.word_hashes(r.text or "")[:60] for r in docs.limit(40).collect()]
+    tokens = np.concatenate([np.append(d, pitman_yor.END) for d in few])
+    words, n = np.unique(tokens, return_counts=True)
+    hot_words, contexts = words[hot * n >= len(tokens)], 8
+    assert (len(hot_words) == 0) == (hot == 1)
+    monkeypatch.setattr(pitman_yor, "CONTEXTS", contexts)
+    monkeypatch.setattr(pitman_yor, "restaurant", lambda w: (pitman_yor.mixed(w) >> np.uint64(61)).astype(np.uint16))
+    buckets = 3
+    work = [pitman_yor.Bucket([raw], hot_words) for _, raw in sorted(pitman_yor.pack_block(few, [True] * len(few), buckets, hot_words))]
+    starts = [w.burn_in(i + 1, buckets) for i, w in enumerate(work)]
+    first = sum(w.opening(*s) for w, s in zip(work, starts))
+    totals = pitman_yor.Totals(first, len(hot_words))
+    swept = [np.concatenate([w.closing(*x) for x in w.sweeps(i, s, totals)]) for i, (w, s) in enumerate(zip(work, starts))]
+    totals = pitman_yor.Totals(first, len(hot_words), np.split(sum(swept), pitman_yor.KEPT_SWEEPS))
+    assert totals.tokens == len(tokens) and totals.types == len(words) and totals.seen.sum() == len(tokens)
+    sums = np.zeros(contexts)
+    for i, (w, s) in enumerate(zip(work, starts)):
+        np.add.at(sums, w.context, 10 ** w.log_probabilities(i, s, totals))
+    assert (sums < 1).all()  # the pairs that occur; all others and the unknown word have the rest
+    rest = np.zeros(contexts)
+    for k in range(pitman_yor.KEPT_SWEEPS):
+        back = (pitman_yor.STRENGTH + pitman_yor.DISCOUNT * totals.kept[k][0]) / (pitman_yor.STRENGTH + totals.seen)
+        every = [*(w.sweeps(i, s, totals) for i, (w, s) in enumerate(zip(work, starts)))]
+        hot_root = np.minimum(totals.hot_root(k), totals.kept[k][1])
+        total = 0.0
+        for w, e in zip(work, every):
+            tables, root = [(a.copy(), b.copy()) for a, b in e][k]
+            own = pitman_yor.root_probability(w.per_word(tables), root, totals.kept[k][2][0], totals.kept[k][2][1] + hot_root.sum(), totals.types)
+            total += own[w.cold].sum()
+        total += pitman_yor.root_probability(totals.kept[k][1], hot_root, totals.kept[k][2][0], totals.kept[k][2][1] + hot_root.sum(), totals.types).sum()
+        unknown = pitman_yor.root_probability(np.zeros(1), np.zeros(1), totals.kept[k][2][0], totals.kept[k][2][1] + hot_root.sum(), totals.types)[0]
+        assert abs(total + unknown - 1) < 1e-9
+        rest += back
+    assert (rest > 0).all()
 
 
 def test_host_rates_shrink(spark):
