@@ -24,6 +24,7 @@ class Graph:
 
     def __init__(self, vectors: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]] | None = None):
         self.vectors = vectors
+        self.kind = np.uint16 if len(vectors) <= 1 << 16 else np.int32  # results of a dense shard are large
         self.layers = layers if layers is not None else self._build()  # (nodes, neighbours as node numbers, -1: none)
 
     def _build(self) -> list:
@@ -137,7 +138,8 @@ class Graph:
         others; where all together have too few, these exact results are the answer. Else all are
         searched, with wider beams until the audited queries find enough of their links, over all
         links and on average over queries. A query whose beam holds nothing else, or lacks its own
-        node, is searched again with a wider one.
+        node, is searched again with a wider one. In shards where a beam covers an eighth of the
+        nodes the product with all of them is cheaper and exact, so small shards bypass the graph.
         """
         own = np.full(len(queries), -1) if own is None else own
         order, truth, linked = np.random.default_rng(13).permutation(len(queries)), {}, {}
@@ -151,13 +153,13 @@ class Graph:
             if len(linked) >= AUDIT_ROWS and sum(map(len, linked.values())) >= AUDIT_LINKS:
                 break
         else:
-            return [truth[j] for j in range(len(queries))]
+            return [truth[j].astype(self.kind) for j in range(len(queries))]
         width, sizes = min(BEAM, len(self.vectors)), np.array([len(t) for t in linked.values()])
         while True:
             out = self._search(queries, least, width, own)
             hits = np.array([np.isin(t, out[j]).sum() for j, t in linked.items()])
             if width >= len(self.vectors) or min(hits.sum() / sizes.sum(), (hits / sizes).mean()) >= AUDIT_RECALL:
-                return [truth.get(j, found) for j, found in enumerate(out)]
+                return [truth.get(j, found).astype(self.kind) for j, found in enumerate(out)]
             width = min(2 * width, len(self.vectors))
 
     def _search(self, queries: np.ndarray, least: float, width: int, own: np.ndarray) -> list[np.ndarray]:
@@ -170,14 +172,14 @@ class Graph:
                 part = todo[i : i + 256]
                 if 8 * width > len(self.vectors):  # a beam over all nodes is one product
                     for j, s in zip(part, queries[part] @ self.vectors.T):
-                        out[j] = np.flatnonzero(s >= least)
+                        out[j] = np.flatnonzero(s >= least).astype(self.kind)
                     continue
                 ids, sims = self._beam(queries[part], self._entry_of(queries[part]), near, width)
                 for j, (a, s) in enumerate(zip(ids, sims)):
                     good = a[(s >= least) & (a >= 0)]
                     if width < len(self.vectors) and (len(good) >= width or (own[part[j]] >= 0 and own[part[j]] not in good)):
                         again.append(part[j])
-                    out[part[j]] = good
+                    out[part[j]] = good.astype(self.kind)
             todo, width = np.array(again, int), min(2 * width, len(self.vectors))
         return out
 
@@ -199,6 +201,60 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+class Forest:
+    """Components of numbered nodes under unions of many pairs at once; a root is its least number."""
+
+    def __init__(self, n: int):
+        self.root = np.arange(n)
+
+    def unite(self, a: np.ndarray, b: np.ndarray) -> None:
+        while True:
+            x, y = self.root[a], self.root[b]
+            apart = x != y
+            if not apart.any():
+                return
+            np.minimum.at(self.root, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+            while not np.array_equal(self.root, up := self.root[self.root]):
+                self.root = up
+
+
+def links_between(keys: np.ndarray, ids: np.ndarray, n: np.ndarray, x: np.ndarray, layers: list, other: tuple | None, least: float) -> tuple[np.ndarray, ...]:
+    """(key, node, low, others) of the linked nodes of one shard, or of it and an `other` (keys,
+    ids, n, x): low is the smallest id that links of this call reach, others the number of vectors
+    linked directly.
+
+    Pairs found by the float search are verified in double precision, in slices, and leave as
+    sums and components, so what is returned is no longer than the nodes.
+    """
+    ux = unit(x)
+    q_ids, q_n, uq = (ids, n, ux) if other is None else (*other[1:3], unit(other[3]))
+    found = Graph(ux.astype(np.float32), layers).near_enough(uq.astype(np.float32), least - 1e-4, np.arange(len(ids)) if other is None else None)
+    every = ids if other is None else np.concatenate([ids, q_ids])
+    order = np.argsort(every)  # numbers in the order of ids, so a root is the smallest id
+    number = np.empty(len(every), int)
+    number[order] = np.arange(len(every))
+    forest, others, base = Forest(len(every)), np.zeros(len(every)), 0 if other is None else len(ids)
+    met = np.zeros((len(ids), len(ids)), bool) if other is None else None
+    sizes, low = np.cumsum([len(f) for f in found]), 0
+    while low < len(found):
+        high = max(low + 1, int(np.searchsorted(sizes, (sizes[low - 1] if low else 0) + 500_000)))
+        a, b = np.repeat(np.arange(low, high), [len(f) for f in found[low:high]]), np.concatenate(found[low:high]).astype(int)
+        good = np.einsum("ij,ij->i", uq[a], ux[b]) >= least
+        a, b = a[good], b[good]
+        if met is not None:
+            a, b = a[a != b], b[a != b]
+            met[a, b] = met[b, a] = True
+        else:
+            others += np.bincount(base + a, n[b], len(every)) + np.bincount(b, q_n[a], len(every))
+        forest.unite(number[base + a], number[b])
+        low = high
+    if met is not None:
+        others = np.concatenate([met[i : i + 512] @ n.astype(float) for i in range(0, len(ids), 512)])
+    linked = np.flatnonzero(others)
+    every_key = keys if other is None else np.concatenate([keys, other[0]])
+    return every_key[linked], every[linked], every[order][forest.root[number[linked]]], others[linked].astype(np.int64)
+
+
 def link_embeddings(
     vectors: DataFrame,
     *,
@@ -212,13 +268,15 @@ def link_embeddings(
     with cosine `least` or more.
 
     Equal vectors of a label are one node with a count. Nodes are dealt into shards of about
-    `shard_rows` by label and hash; each shard's graph is built in a task of its own and written;
-    blocks of queries of the same size meet every shard of their label. The float search takes
-    a small margin; pairs are then verified in double precision. Components are found by Spark.
+    `shard_rows` by label and hash; each shard's graph is built in a task of its own and written.
+    Then every two shards of a label meet once, in a task of their own: the one's nodes search the
+    other's graph (so bytes and work grow with the square of a label's shards, as every shard is
+    queried). The float search takes a small margin; pairs are verified in double precision on
+    scaled vectors, and only sums and one link per node leave the task. Spark unions components.
 
     Vectors that are null, zero, or hold nulls or non-finite numbers, and rows whose label is null,
     link with nothing. Vectors of different lengths do not link. Repeated ids and equal rows are
-    counted as vectors of their own; their component is the smallest id. An empty table gives no rows.
+    counted as vectors of their own; rows of one id share a component. Ids are integers. An empty table gives no rows.
     """
     import pickle
 
@@ -245,9 +303,9 @@ def link_embeddings(
 
         def done() -> pa.RecordBatch:
             label, dim, shard = held[0][:3]
-            x = np.array([h[4] for h in held])
+            x = np.array([h[6] for h in held])
             graph = Graph(unit(x).astype(np.float32))
-            blob = pickle.dumps((np.array([h[3] for h in held]), x), protocol=5)
+            blob = pickle.dumps((*(np.array([h[i] for h in held]) for i in (3, 4, 5)), x), protocol=5)
             return pa.RecordBatch.from_arrays(
                 [pa.array([label], pa.string()), pa.array([dim], pa.int32()), pa.array([shard], pa.int32()), pa.array([blob], pa.binary()), pa.array([graph.dump()], pa.binary())],
                 names=["label", "dim", "shard", "nodes", "graph"],
@@ -263,9 +321,9 @@ def link_embeddings(
             yield done()
 
     graphs = (
-        dealt.select(F.col("label").cast("string"), "dim", "shard", "node", "v")
+        dealt.select(F.col("label").cast("string"), "dim", "shard", "key", "node", "n", "v")
         .repartition("label", "dim", "shard")
-        .sortWithinPartitions("label", "dim", "shard", "node")
+        .sortWithinPartitions("label", "dim", "shard", "node", "key")
         .mapInArrow(pack, "label string, dim int, shard int, nodes binary, graph binary")
     )
     graphs = settle(graphs)
@@ -273,26 +331,22 @@ def link_embeddings(
     def query(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             for i in range(rows.num_rows):
-                ids, x, layers, q_ids, q = *pickle.loads(rows.column(0)[i].as_py()), pickle.loads(rows.column(1)[i].as_py()), *pickle.loads(rows.column(2)[i].as_py())
-                ux, uq = unit(x), unit(q)
-                node_of = {v: k for k, v in enumerate(ids.tolist())}
-                own = np.array([node_of.get(v, -1) for v in q_ids.tolist()], int)
-                found = Graph(ux.astype(np.float32), layers).near_enough(uq.astype(np.float32), least - 1e-4, own)
-                a = np.repeat(np.arange(len(q_ids)), [len(f) for f in found])
-                b = np.concatenate(found).astype(int) if found else np.empty(0, int)
-                cosine = np.einsum("ij,ij->i", q[a], x[b]) / (np.sqrt((q[a] ** 2).sum(1)) * np.sqrt((x[b] ** 2).sum(1)))
-                good = (cosine >= least) & (q_ids[a] != ids[b])
-                a, b = q_ids[a[good]], ids[b[good]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["src", "dst"])
-
-    blocks = graphs.select("label", "dim", F.col("nodes").alias("queries"))
-    meet = graphs.join(blocks, ["label", "dim"]).select("nodes", "graph", "queries")
-    links = settle(meet.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(query, "src long, dst long").distinct())
-    both = links.union(links.select("dst", "src"))
-    counts = nodes.select(F.col("node").alias("dst"), "n")
-    linked = both.join(counts, "dst").groupBy(F.col("src").alias("node")).agg(F.sum("n").alias("others"))
+                blobs = [rows.column(k)[i].as_py() for k in range(3)]
+                mine, layers, other = (pickle.loads(b) if b is not None else None for b in blobs)
+                columns = links_between(*mine, layers, other, least)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "node", "low", "others"])
+
+    shards = graphs.select("label", "dim", "shard")
+    meet = shards.withColumnRenamed("shard", "i").join(shards.withColumnRenamed("shard", "j"), ["label", "dim"]).where("i <= j")
+    meet = meet.join(graphs.withColumnRenamed("shard", "i"), ["label", "dim", "i"])
+    others = graphs.select("label", "dim", F.col("shard").alias("j"), F.col("nodes").alias("other"))
+    meet = meet.join(others, ["label", "dim", "j"], "left").withColumn("other", F.when(F.col("i") < F.col("j"), F.col("other")))
+    meet = meet.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "label", "dim", "i", "j").select("nodes", "graph", "other")
+    found = settle(meet.mapInArrow(query, "key long, node long, low long, others long"))
+    links = found.where("node <> low").select(F.col("low").alias("src"), F.col("node").alias("dst")).distinct()
+    linked = found.groupBy("key").agg(F.sum("others").alias("others"))
     components = connected_components(links).select(F.col("id").alias("node"), "component")
-    of_node = nodes.select("key", "key2", "node", "n").join(linked, "node", "left").join(components, "node", "left")
+    of_node = nodes.select("key", "key2", "node", "n").join(linked, "key", "left").join(components, "node", "left")
     joined = rows.select("vec_id", "key", "key2").join(of_node, ["key", "key2"], "left")
     component = F.coalesce("component", "node", "vec_id")
     return joined.select(
