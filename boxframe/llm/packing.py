@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -17,14 +19,21 @@ CACHE_WORDS = 800_000
 #: More open windows than this are poured together early, so a packer's memory is bounded.
 OPEN_WINDOWS = 4096
 
+#: A "." or "," with no other mark beside it.
+LONE_MARK = re.compile(r"([.,])(?<![^\w\s][.,])(?<![_\x1c-\x1f][.,])(?![^\w\s]|[_\x1c-\x1f])")
+#: Letters whose lower case depends on their neighbours, or leaves the composed form.
+ODD_CASE = re.compile("[\u03a3\u0130]")
+
 _encoders: dict[str, "WordEncoder"] = {}
 
 
 class WordEncoder:
-    """Ids of whole texts, by a cache over pieces between spaces.
+    """Ids of whole texts, by a cache over words and marks.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are those of its
-    pieces in a row; only texts that hold a special token's string go to the library whole.
+    The tokenizer lowers letters, drops white space and never joins across it or across a border
+    between letters and a mark, so a text's ids are those of its pieces in a row, in lower case
+    and with a lone "." or "," as a piece of its own. Only texts that hold a special token's
+    string go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -35,29 +44,51 @@ class WordEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        ends = [i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]
+        self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends_word[ends] = True
         self.cache: dict[str, bytes] = {}
 
-    def _raw(self, texts: list[str]) -> list[bytes]:
-        """Ids of texts without special tokens: one call, with a special token between them."""
-        mark = self.special[-1]
-        ids = np.array(self.tokenizer.encode(mark.join(texts), add_special_tokens=False).ids, "<u4")
-        cuts = np.flatnonzero(ids == self.tokenizer.token_to_id(mark))
-        raw, begins, ends = ids.tobytes(), [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), 4 * len(ids)]
-        return [raw[a:b] for a, b in zip(begins, ends)]
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _split(self, ids: np.ndarray, begins: list[int], ends: list[int]) -> list[bytes]:
+        raw = ids.tobytes()
+        return [raw[4 * a : 4 * b] for a, b in zip(begins, ends)]
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Ids of new pieces, many a call: words of letters only are one token run each, which ends
+        at a token that ends a word; a special token parts the others."""
+        words = [p for p in pieces if p.isalpha()]
+        for i in range(0, len(words), 2000):
+            part = words[i : i + 2000]
+            ids = self._ids(" ".join(part))
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) != len(part):  # letters that another step of the tokenizer takes for none
+                pieces = [*pieces, *part]
+                words[i : i + 2000] = [""] * len(part)
+                continue
+            self.cache.update(zip(part, self._split(ids, [0, *ends[:-1].tolist()], ends.tolist())))
+        others, mark = list(set(pieces).difference(words)), self.special[-1]
+        for i in range(0, len(others), 2000):
+            part = others[i : i + 2000]
+            ids = self._ids(mark.join(part))
+            cuts = np.flatnonzero(ids == self.tokenizer.token_to_id(mark)).tolist()
+            self.cache.update(zip(part, self._split(ids, [0, *(c + 1 for c in cuts)], [*cuts, len(ids)])))
 
     def encode(self, text: str) -> bytes:
         if any(s in text for s in self.special):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return self._ids(text).tobytes()
+        if is_normalized("NFC", text) and not ODD_CASE.search(text):
+            text = LONE_MARK.sub(r" \1 ", text.lower())
         pieces = text.replace("\n", " ").split(" ")
         cache = self.cache
-        missing = list(set(pieces).difference(cache))
+        missing = set(pieces).difference(cache)
         if missing:
             if len(cache) + len(missing) > CACHE_WORDS:
                 cache.clear()
-                missing = list(set(pieces))
-            for i in range(0, len(missing), 2000):
-                part = missing[i : i + 2000]
-                cache.update(zip(part, self._raw(part)))
+                missing = set(pieces)
+            self._learn(list(missing))
         return b"".join(map(cache.__getitem__, pieces))
 
 
