@@ -110,14 +110,27 @@ def sigmoid_fit(margin: np.ndarray, positive: np.ndarray) -> tuple[float, float]
     return a, b
 
 
-def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[np.ndarray, float, float, float]:
-    """(weights times ratios, bias, a, b) of rows (id, label, text).
-
-    Features are made in parallel; one task fits the bounded sample and hands back DIMENSIONS
-    numbers. A fifth of the sample sets the sigmoid.
+def chosen_ids(ids: DataFrame, fit_rows: int) -> DataFrame:
+    """(id): at most `fit_rows` of the different ids, those with the smallest hashes. Only ids
+    below a hash that about half as many again have reach the task that takes the smallest."""
+    ids = ids.distinct()
+    share = min(1.0, (1.5 * fit_rows + 100) / max(1, ids.count()))
+    h = F.xxhash64("id")
+    few = ids.where(F.pmod(h, F.lit(1 << 31)) <= int(share * (1 << 31)))
+    return few.select("id", h.alias("h")).orderBy(F.pmod("h", F.lit(1 << 31)), "h").limit(fit_rows).select("id")
+
+
+def fit(docs: DataFrame, known: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[np.ndarray, float, float, float]:
+    """(weights times ratios, bias, a, b) from rows (id, text) and labels (id, label).
+
+    Texts meet the labels in one shuffle, for the ratios. The ids of the bounded sample are chosen
+    from ids alone and go to the documents, so features are made for these only; one task fits
+    them and hands back DIMENSIONS numbers. A fifth of the sample sets the sigmoid.
     """
-    ratios = log_count_ratios(labelled.select("label", "text"))
-    shared = labelled.sparkSession.sparkContext.broadcast(ratios)
+    ratios = log_count_ratios(docs.join(known.hint("shuffle_hash"), "id").select("label", "text"))
+    chosen = chosen_ids(docs.select("id").join(known.select("id"), "id", "left_semi"), fit_rows)
+    labels = chosen.join(known, "id")
+    shared = docs.sparkSession.sparkContext.broadcast(ratios)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
@@ -145,9 +158,9 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[np.ndarray, floa
             weights = np.append(w, [a, b])
         yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary())], names=["weights"])
 
-    one = F.xxhash64("id").alias("h")
-    sample = labelled.select(one, "label", "text").mapInArrow(digest, "h long, label int, found binary").orderBy("h").limit(fit_rows)
-    got = sample.repartition(1).sortWithinPartitions("h").mapInArrow(learn, "weights binary").first()
+    sample = docs.join(F.broadcast(labels), "id").select(F.xxhash64("id", "text").alias("h"), "label", "text")
+    sample = sample.mapInArrow(digest, "h long, label int, found binary")
+    got = sample.repartition(1).sortWithinPartitions("h", "label").limit(fit_rows).mapInArrow(learn, "weights binary").first()
     w = np.frombuffer(got[0]) if got else np.zeros(DIMENSIONS + 3)
     shared.unpersist()
     return np.stack([ratios, w[:DIMENSIONS]]), float(w[DIMENSIONS]), float(w[DIMENSIONS + 1]), float(w[DIMENSIONS + 2])
@@ -195,7 +208,7 @@ def score_quality(
     fold = F.crc32(F.col(id_col).cast("string").cast("binary")) % folds
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1)")
     mine = docs.where(F.coalesce(fold, F.lit(held_fold)) != held_fold).select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
-    ratios, bias, a, b = fit(mine.join(known.hint("shuffle_hash"), "id").select("id", "label", "text"), fit_rows)
+    ratios, bias, a, b = fit(mine, known.where("id is not null"), fit_rows)
     shared = docs.sparkSession.sparkContext.broadcast(ratios)
     scored = docs.withColumn("held_out", F.coalesce(fold == held_fold, F.lit(False)))
     scored = scored.withColumn("score", score_column((shared, bias, a, b), text_of(text_col)))
