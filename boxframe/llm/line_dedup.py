@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from boxframe.llm.common import WORD_SEPARATORS, settle, text_of, without
+from boxframe.llm.common import WORD_SEPARATORS, partitions_for, settle, text_of, without
 
 MIN_WORDS = 5
 #: At most so many lines (8 bytes and a place each) are broadcast.
-BROADCAST_LINES = 500_000
+BROADCAST_LINES = 100_000
 #: Parts of the second, finer test of lines that share a half.
 FINE_PARTS = 16
 
@@ -46,15 +46,31 @@ def sharing(keyed: DataFrame) -> DataFrame:
     return keyed.join(shared, "key", "left_semi").select("h").distinct()
 
 
-def deletion_variants(line: Column) -> Column:
-    """(v, p): hashes of the line less its p-th character, and of the line itself (p = 0)."""
-    n = F.length(line)
+def deletion_variants(lines: DataFrame) -> DataFrame:
+    """(h, first, v, p) of rows (h, first, line): hashes of the line less its p-th character, and
+    of the line itself (p = 0).
+
+    A line's hash comes from two sums of 40-bit numbers, one for each character at its place. A
+    variant's sums are those of what lies before p, and of what lies behind, each character one
+    place forward. Both are running sums over the line, so n variants take n steps, and a line
+    may have some millions of characters. Lines are dealt to tasks before they become characters.
+    """
+    number = lambda c, at, kind: F.shiftrightunsigned(F.xxhash64(F.lit(kind), c, at), 24)
 
-    def less(p: Column) -> Column:
-        cut = F.when(p == 0, line).otherwise(F.concat(F.substring(line, F.lit(1), p - 1), F.substring(line, p + 1, n)))
-        return F.struct(F.xxhash64(cut).alias("v"), p.alias("p"))
+    def total(kind: int, forward: int) -> Column:
+        return F.aggregate(F.transform("chars", lambda c, i: number(c, i + 1 - forward, kind)), F.lit(0).cast("long"), lambda a, x: a + x)
 
-    return F.transform(F.sequence(F.lit(0), n), less)
+    rows = lines.repartition(partitions_for(lines.sparkSession), "h").select("h", "first", F.split("line", "").alias("chars"))
+    # The length is its own column, so that exploded characters do not carry the whole line.
+    rows = rows.select("h", "first", "chars", F.size("chars").alias("n"), *[total(k, 0).alias(f"whole{k}") for k in (0, 1)], *[total(k, 1).alias(f"rest{k}") for k in (0, 1)])
+    whole = rows.select("h", "first", F.xxhash64("whole0", "whole1", "n").alias("v"), F.lit(0).alias("p"))
+    each = rows.select("h", "first", "rest0", "rest1", "n", F.posexplode("chars").alias("i", "c")).withColumn("p", F.col("i") + 1)
+    so_far = Window.partitionBy("h").orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
+    sums = [
+        F.sum(number(F.col("c"), F.col("p"), k) - number(F.col("c"), F.col("i"), k)).over(so_far) - number(F.col("c"), F.col("p"), k) + F.col(f"rest{k}")
+        for k in (0, 1)
+    ]
+    return whole.union(each.select("h", "first", F.xxhash64(*sums, F.col("n") - 1).alias("v"), "p"))
 
 
 def close_lines(lines: DataFrame, rows: DataFrame) -> DataFrame:
@@ -86,8 +102,8 @@ def near_lines(lines: DataFrame, rows: DataFrame) -> DataFrame:
     A group holds different lines that differ in one character, so none grows with the corpus.
     """
     close = close_lines(lines, rows)
-    variants = close.select("h", "first", F.explode(deletion_variants(F.col("line"))).alias("d")).select("h", "first", "d.v", "d.p")
-    place = F.struct("first", "h")
+    variants = deletion_variants(close)
+    place = F.struct("first", "h", "p")
     by_variant = Window.partitionBy("v")
     linked = variants.withColumns(
         {
@@ -97,10 +113,17 @@ def near_lines(lines: DataFrame, rows: DataFrame) -> DataFrame:
         }
     )
     partners = F.array("same", "whole", F.when(F.col("p") == 0, F.col("longer")))
-    pairs = linked.select(place.alias("me"), F.explode(partners).alias("other")).where("other < me").select("me.h", F.col("other.h").alias("of")).distinct()
+    pairs = linked.select("first", "h", "p", F.explode(partners).alias("other"))
+    pairs = pairs.where(F.struct("other.first", "other.h") < F.struct("first", "h"))
+    pairs = pairs.groupBy("h", F.col("other.h").alias("of")).agg(F.min(F.struct("p", F.col("other.p").alias("of_p"))).alias("cut"))
     texts = close.select("h", "line", "first")
     pairs = pairs.join(texts, "h").join(texts.select(F.col("h").alias("of"), F.col("line").alias("of_line"), F.col("first").alias("of_first")), "of")
-    pairs = pairs.where(F.levenshtein("line", "of_line", 1).between(0, 1))
+
+    def less(line: Column, p: Column) -> Column:
+        return F.when(p == 0, line).otherwise(F.concat(F.substring(line, F.lit(1), p - 1), F.substring(line, p + 1, F.length(line))))
+
+    # Equal after one character less on one side or, at the same place, on both: one edit at most.
+    pairs = pairs.where(less(F.col("line"), F.col("cut.p")) == less(F.col("of_line"), F.col("cut.of_p")))
     return pairs.groupBy("h").agg(F.min("of_first").alias("near"))
 
 
@@ -116,9 +139,9 @@ def dropped_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     """(doc, dropped): the numbers of each document's lines that repeat an earlier line."""
     rows = line_rows(docs, id_col, text_col, min_words).select("doc", "pos", F.xxhash64("line").alias("h"), "line")
     narrow = settle(rows.select("doc", "pos", "h", part_keys(F.col("line"), 2).alias("keys")))
-    place = F.struct(F.col("doc").alias("doc"), F.col("pos").alias("pos"))
-    first = narrow.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n"))
-    lines = settle(first.join(narrow, "h").where(F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("pos") == F.col("first.pos"))).select("h", "first", "n", "keys").dropDuplicates(["h"]))
+    # A line's keys are the same at every place, so the first place brings them along.
+    first = narrow.groupBy("h").agg(F.min(F.struct("doc", "pos", "keys")).alias("m"), F.count("*").alias("n"))
+    lines = settle(first.select("h", F.struct("m.doc", "m.pos").alias("first"), "n", "m.keys"))
     near = near_lines(lines, rows)
     again = lines.select("h", "first", "n").join(near, "h", "left").where("n > 1 or near is not null").drop("n")
     seen = narrow.select("doc", "pos", "h").join(again, "h")
@@ -138,14 +161,15 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     line in a third of all documents is one row. Nulls: a null text stays null, a null id comes
     before all others. Rows with one id count as one document for order: their equal lines at
     one place stay in each. Empty texts and an empty table pass through; a very long line emits
-    as many variants as it has characters, as hashes. Other columns are kept; one named
+    as many variants as it has characters, as hashes, in as many steps. Other columns are kept; one named
     `n_dropped` is replaced.
     """
     docs = without(docs, "n_dropped")
     dropped = dropped_lines(docs, id_col=id_col, text_col=text_col, min_words=min_words)
     joined = docs.join(dropped.hint("shuffle_hash"), docs[id_col].eqNullSafe(dropped["doc"]), "left")
     parts = F.split(F.col(text_col), "\n")
-    kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("dropped", i)), "\n")
+    others = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "dropped")
+    kept = F.array_join(F.transform(others, lambda i: F.get(parts, i)), "\n")
     new = F.when(F.col("dropped").isNull(), F.col(text_col)).otherwise(kept)
     return joined.select(*[new.alias(c) if c == text_col else docs[c] for c in docs.columns], F.when(F.col("dropped").isNull(), 0).otherwise(F.size("dropped")).cast("long").alias("n_dropped"))
 

@@ -182,6 +182,21 @@ def test_line_dedup_against_brute_force(spark):
     assert {r.doc_id: r.n_dropped for r in found} == {i: len(p) for i, p in brute_lines(rows).items()}
 
 
+def test_line_dedup_of_very_long_lines(spark):
+    """Lines of 200,000 characters, one edit apart; the variants are those of plain slicing."""
+    line = " ".join(f"word{i % 977}" for i in range(26_000))[:200_000]
+    rows = [(1, line), (2, line[:70_000] + "#" + line[70_000:]), (3, line[:-1]), (4, line.replace("word976", "other", 2))]
+    found = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.n_dropped for r in found} == {1: 0, 2: 1, 3: 1, 4: 0}
+    lines = [(1, "abcab"), (2, "abcb"), (3, "acab"), (4, "é中x𝄞"), (5, "é中𝄞")]
+    got = line_dedup.deletion_variants(spark.createDataFrame(lines, "h long, line string").withColumn("first", F.col("h"))).collect()
+    of, texts = defaultdict(set), dict(lines)
+    for r in got:
+        of[r.v].add(texts[r.h][: r.p - 1] + texts[r.h][r.p :] if r.p else texts[r.h])
+    assert len(got) == sum(len(t) + 1 for t in texts.values()) and all(len(t) == 1 for t in of.values())
+    assert len({*of}) == len({t for x in of.values() for t in x})
+
+
 def test_minhash_against_brute_force(spark, odd, none):
     base = [f"w{i}" for i in range(60)]
     rows = [(100, " ".join(base)), (101, " ".join(base)), (102, " ".join([*base[:59], "z"])), (103, " ".join(base[30:] + base[:30])), (104, " ".join(f"q{i}" for i in range(60)))]
@@ -528,5 +543,56 @@ def test_pipeline(spark):
         kept = stage(spark, kept, SF)
         assert kept.columns == docs.columns
     assert {r.doc_id for r in rows} == {r.doc_id for r in kept.collect()}
-    masked = docs.limit(1).select(F.lit("ab AKIA xyz").alias("t"), F.expr("array(named_struct('start', 3, 'kind', 1, 'end', 7))").alias("s"))
-    assert masked.select(corpus_pipeline.mask_spans(F.col("t"), F.col("s"))).first()[0] == "ab [access] xyz"
+    masked = docs.limit(1).select(F.lit("ab AKIA xyz").alias("t"), F.expr("array(named_struct('start', 3, 'kind', 1, 'end', 7), named_struct('start', 4, 'kind', 0, 'end', 9))").alias("s"))
+    assert masked.select(corpus_pipeline.mask_spans(F.col("t"), F.col("s"))).first()[0] == "ab [access]yz"
+
+
+def test_pipeline_stages_on_odd_tables(spark, odd, none):
+    """Nulls, empty and very long texts, repeated rows, no rows, and columns with clashing names."""
+    import corpus_pipeline
+
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, SF).count() == 0, name
+        kept = stage(spark, odd, SF)
+        ids = [r.doc_id for r in kept.select("doc_id").collect()]
+        if name != "packing":
+            assert kept.columns == odd.columns and (name != "minhash_near_dedup" or len([i for i in ids if i == 4]) == 1)
+        assert name in ("quality_classifier", "minhash_near_dedup", "line_dedup") or {*ids} == {i for i, _ in ODD}
+    lines = "alpha beta gamma delta one\n\t\n \r\n" * 2
+    docs = spark.createDataFrame([(1, lines), (2, "alpha beta gamma delta one\n\n"), (3, "\t"), (4, None), (5, "alpha beta gamma delta one\n\r\x0b\x0c")], "doc_id long, text string").withColumns(
+        {"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.length("text").cast("long")}
+    )
+    assert sorted(r.doc_id for r in corpus_pipeline.line_deduplication(spark, docs, SF).collect()) == [1, 3, 4]
+    masked = {r.doc_id: r.text for r in corpus_pipeline.secret_masking(spark, odd, SF).collect()}
+    assert "[access]" in masked[9] and "hunter2" not in masked[9] and masked[1] is None and masked[2] == ""
+
+
+def test_pipeline_against_brute_force(spark):
+    """Each stage's decisions on the test table, from the operators' brute-force versions."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = {r.doc_id: r.text for r in docs.collect()}
+    good = {r.doc_id for r in nbsvm.score_quality(docs, spark.read.parquet(f"{SF}/labels.parquet")).where("predicted = 1").collect()}
+    first = corpus_pipeline.quality_classifier(spark, docs, SF).cache()
+    assert {r.doc_id for r in first.collect()} == good
+    gone, texts = brute_lines([(i, rows[i]) for i in good]), {}
+    for i in good:
+        kept = [x for p, x in enumerate((rows[i] or "").split("\n")) if p not in gone.get(i, ())]
+        if i not in gone or any(x.split() for x in kept):
+            texts[i] = "\n".join(kept) if i in gone else rows[i]
+    second = corpus_pipeline.line_deduplication(spark, first, SF).cache()
+    assert {r.doc_id: r.text for r in second.collect()} == texts
+    want, _ = brute_classes([(i, t) for i, t in texts.items() if t is not None])
+    third = corpus_pipeline.minhash_dedup(spark, second, SF).cache()
+    kept = {r.doc_id for r in third.collect()}
+    assert kept == {i for i in texts if want.get(i, i) == i}
+    fourth = {r.doc_id: r.text for r in corpus_pipeline.secret_masking(spark, third, SF).collect()}
+    spans = {r.doc_id: r.spans for r in secrets.scan_secrets(third).collect()}
+    for i, t in fourth.items():
+        out, at = "", 0
+        for s in spans[i]:
+            if s.start >= at:
+                out += texts[i][at : s.start] + f"[{secrets.KINDS[s.kind][0]}]"
+            at = max(at, s.end)
+        assert t == (out + texts[i][at:] if texts[i] is not None else None)
