@@ -28,15 +28,23 @@ def without(df: DataFrame, *names: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's `spark.checkpoint.dir`; only where none is set (tests on one machine), a
-    temporary folder."""
+    """The session's `spark.checkpoint.dir`; only where none is set and all tasks run in this
+    process (tests on one machine), a temporary folder."""
     named = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(named)
     return named
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Remove what an earlier step wrote and nothing reads any more."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Cut the lineage: write `df` as a table in the shared folder and read it again.
 

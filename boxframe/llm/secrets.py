@@ -81,8 +81,8 @@ def link_parts(weak: DataFrame, scope: int = SCOPE) -> DataFrame:
     return each.where(keep).groupBy("doc_id", "key").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("linked"))
 
 
-def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE) -> DataFrame:
-    """(doc_id, key, base, spans) per document; spans are (start, kind, end) by start, then kind.
+def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE, carry: bool = False) -> DataFrame:
+    """(doc_id, key, base, spans) per document, and with `carry` the input's `row`; spans are (start, kind, end) by start, then kind.
 
     `base` holds the strong matches, `spans` these and the linked weak ones; `key` is a hash of
     the text. Texts are read once and give narrow rows; only documents with weak candidates are
@@ -92,9 +92,11 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     are ordered by kind. An empty table gives no rows; other columns are not carried.
     """
     clean = F.translate(text_of(text_col), "\x01\x03", "\x02\x02")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("key"), clean.alias("clean"))
+    row = [F.struct(*docs.columns).alias("row")] if carry else []
+    also = ["row"] if carry else []
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("key"), clean.alias("clean"), *row)
     digits = lambda s: F.substring(F.col("clean"), s["start"] + 1, s["end"] - s["start"]).rlike("[0-9]")
-    rows = rows.select("doc_id", "key", "clean", *[matches(F.col("clean"), i).alias(k[0]) for i, k in enumerate(KINDS)])
+    rows = rows.select("doc_id", "key", "clean", *also, *[matches(F.col("clean"), i).alias(k[0]) for i, k in enumerate(KINDS)])
     rows = rows.withColumn("blob", F.when(F.size("blob") > 0, F.filter("blob", digits)).otherwise(F.col("blob")))
     strong = [k[0] for k in KINDS if not k[3]]
     rows = rows.select(
@@ -102,13 +104,14 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         "key",
         F.array_sort(F.concat(*strong)).alias("base"),
         F.array_sort(F.concat(*[k[0] for k in KINDS])).alias("found"),
+        *also,
     )
     rows = settle(rows)
-    plain = rows.where(F.size("found") == F.size("base")).select("doc_id", "key", "base", F.col("base").alias("spans"))
+    plain = rows.where(F.size("found") == F.size("base")).select("doc_id", "key", "base", F.col("base").alias("spans"), *also)
     weak = rows.where(F.size("found") > F.size("base"))
-    linked = link_parts(weak.dropDuplicates(["doc_id", "key"]), scope).select(F.col("doc_id").alias("of_doc"), F.col("key").alias("of_key"), "linked")
+    linked = link_parts(weak.select("doc_id", "key", "found").dropDuplicates(["doc_id", "key"]), scope).select(F.col("doc_id").alias("of_doc"), F.col("key").alias("of_key"), "linked")
     joined = weak.join(linked, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("key") == F.col("of_key")), "left")
-    return plain.unionByName(joined.select("doc_id", "key", "base", F.coalesce("linked", "base").alias("spans")))
+    return plain.unionByName(joined.select("doc_id", "key", "base", F.coalesce("linked", "base").alias("spans"), *also))
 
 
 def oracle() -> str:
