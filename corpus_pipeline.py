@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boxframe.llm import line_dedup, minhash, nbsvm, packing, secrets
-from boxframe.llm.common import shared_folder, table, text_of
+from boxframe.llm.common import remove_folder, settle, shared_folder, table
 from boxframe.llm.queries import tokenizer_path
 
 #: A found secret's text is replaced by this and its kind.
@@ -28,37 +28,44 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines leave all documents but the first; a document that loses all its words leaves."""
     kept = line_dedup.dedup_lines(docs)
-    return with_length(kept.where((F.col("n_dropped") == 0) | (F.trim(text_of("text")) != "")), docs)
+    has_words = F.coalesce(F.col("text").rlike("[^ \\t\\n\\x0B\\f\\r]"), F.lit(False))
+    return with_length(kept.where((F.col("n_dropped") == 0) | has_words), docs)
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates stays: that with the smallest id."""
+    """One document of each class of near duplicates stays: that with the smallest id. Of rows that
+    repeat an id, one stays; rows without id stay, as nothing tells them apart."""
     gone = minhash.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("gone"))
-    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == F.col("gone"), "left_anti").select(*docs.columns)
+    kept = docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == F.col("gone"), "left_anti").select(*docs.columns)
+    again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("again"))
+    again = settle(again)
+    if again.limit(1).count() == 0:
+        return kept
+    repeated = kept.join(again.hint("shuffle_hash"), docs["doc_id"] == F.col("again"), "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(again.hint("shuffle_hash"), docs["doc_id"] == F.col("again"), "left_anti").unionByName(repeated)
 
 
 def secret_masking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Found secrets are masked in the text; the documents stay."""
-    found = secrets.scan_secrets(docs).where(F.size("spans") > 0).dropDuplicates(["doc_id", "key"])
-    found = found.select(F.col("doc_id").alias("of_doc"), F.col("key").alias("of_key"), "spans")
-    keyed = docs.withColumn("key_of_text", F.xxhash64("text"))
-    joined = keyed.join(found.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("key_of_text") == F.col("of_key")), "left")
-    masked = F.when(F.col("spans").isNull(), F.col("text")).otherwise(mask_spans(F.col("text"), F.col("spans")))
-    return with_length(joined.withColumn("text", masked), docs)
+    """Found secrets are masked in the text; the documents stay. Only documents whose weak
+    candidates wait for their complements are shuffled."""
+    found = secrets.scan_secrets(docs, carry=True).select("row.*", F.col("spans").alias("spans of secrets"))
+    masked = F.when(F.size("spans of secrets") > 0, mask_spans(F.col("text"), F.col("spans of secrets"))).otherwise(F.col("text"))
+    return with_length(found.withColumn("text", masked), docs)
 
 
 def mask_spans(text, spans):
-    """The text with each span replaced by its kind; of spans that overlap the first is named."""
+    """The text with each span replaced by its kind; of spans that overlap the first is named.
+    The pieces are joined once, at the end."""
     names = F.array(*[F.lit(MASK.format(k[0])) for k in secrets.KINDS])
 
     def step(acc, s):
         before = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        beyond = F.greatest(acc["at"], s["end"])
-        out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], before, F.get(names, s["kind"]))).otherwise(acc["out"])
-        return F.struct(beyond.alias("at"), out.alias("out"))
+        out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.array(before, F.get(names, s["kind"])))).otherwise(acc["out"])
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
+    ends = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text)))
+    return F.aggregate(spans, start, step, ends)
 
 
 def with_length(docs: DataFrame, like: DataFrame) -> DataFrame:
@@ -85,11 +92,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, done = table(spark, sf_dir, "documents"), None
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             path = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}/{name}"
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
+            if done:
+                remove_folder(spark, done)
+            done = path
     return docs
