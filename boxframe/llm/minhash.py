@@ -34,6 +34,8 @@ TABLE_ROWS, TABLES = 4096, 24
 BATCH_SHINGLES, STEP = 200_000, 1024
 #: Documents of one bucket are compared in blocks of about so many against so many.
 BLOCK_ROWS, BLOCK_COLUMNS = 512, 8192
+#: Up to so many pairs are compared one by one, more by a product of matrices.
+FEW_PAIRS = 64
 
 
 def sketch_cells(x: np.ndarray) -> np.ndarray:
@@ -275,6 +277,13 @@ def linking_pairs(left: list[tuple], right: list[tuple], least: float) -> Iterat
             root[c] = c = root.get(up, up)
         return c
 
+    if len(left) * len(right) <= FEW_PAIRS:
+        for a, b in ((a, b) for a in left for b in right if a[0] != b[0]):
+            i, j = find(a[1]), find(b[1])
+            if i != j and weighted_jaccard(a[2:], b[2:]) >= least:
+                root[i] = j
+                yield a[0], b[0]
+        return
     low = overlaps([d[2:] for d in left], [d[2:] for d in right])
     totals = [np.array([d[3].sum() for d in side]) for side in (left, right)]
     whole = totals[0][:, None] + totals[1] - low
@@ -296,11 +305,16 @@ def linked_in_full(members: DataFrame, texts: DataFrame, sketch: Broadcast, n_do
     task holds more than two blocks at once however large the bucket is, and a large component
     is not compared with itself.
     """
+    # Buckets with the same members are one: similar pairs meet in several bands.
+    sums = [F.sum(F.xxhash64(F.lit(i), "rep").cast("decimal(20,0)")).alias(f"s{i}") for i in range(2)]
+    alike = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"), *sums)
+    alike = alike.where("low <> high").groupBy("n", "s0", "s1").agg(F.min("bucket").alias("bucket")).select("bucket")
+    members = settle(members.join(alike, "bucket"))
     parts = members.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     kinds = parts.groupBy("bucket").agg(
-        F.count("*").alias("components"), F.ceil(F.sum(F.when(F.col("n") < BLOCK_ROWS, F.col("n"))) / BLOCK_ROWS).cast("int").alias("shared")
+        F.ceil(F.sum(F.when(F.col("n") < BLOCK_ROWS, F.col("n"))) / BLOCK_ROWS).cast("int").alias("shared")
     )
-    parts = parts.join(kinds.where("components > 1").drop("components"), "bucket")
+    parts = parts.join(kinds, "bucket")
     own = F.when(F.col("n") >= BLOCK_ROWS, F.col("component"))
     parts = parts.select("bucket", "component", own.alias("own"), F.when(own.isNull(), F.col("shared")).otherwise(F.ceil(F.col("n") / BLOCK_ROWS)).cast("int").alias("of"))
     parts = settle(parts)
@@ -387,7 +401,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         pairs = delegates.join(least_one, "bucket").where("component <> centre.component")
         # One pair for each two components; which bucket they met in does not matter.
         pairs = pairs.groupBy("component", "centre.component").agg(F.min(F.struct(F.least("rep", "centre.rep").alias("src"), F.greatest("rep", "centre.rep").alias("dst"))).alias("p")).select("p.src", "p.dst").distinct()
-    new = settle(linked_in_full(settle(members), texts, sketch, n_docs, least))
+    new = settle(linked_in_full(members, texts, sketch, n_docs, least))
     if new.limit(1).count() > 0:
         component = connected_components(new if links is None else links.union(new))
     merged = groups.select("h1", "h2", "rep")
