@@ -135,11 +135,12 @@ class Graph:
         """Nodes at `least` or more; `own` is each query's own node, -1 if it is not in this graph.
 
         Queries in random order meet all nodes by brute force until enough of them have links to
-        others; where all together have too few, these exact results are the answer. Else all are
-        searched, with wider beams until the audited queries find enough of their links, over all
-        links and on average over queries. A query whose beam holds nothing else, or lacks its own
-        node, is searched again with a wider one. In shards where a beam covers an eighth of the
-        nodes the product with all of them is cheaper and exact, so small shards bypass the graph.
+        others; where all together have too few, these exact results are the answer. Else the audited
+        queries are searched, with wider beams until they find enough of their links, over all
+        links and on average over queries, and then all are, with that beam. A query whose beam holds nothing else, or lacks its own
+        node, is searched again with a wider one. Where a beam meets as many nodes as the shard has
+        (its width times the degree) the product with all is cheaper and exact, so small shards bypass
+        the graph.
         """
         own = np.full(len(queries), -1) if own is None else own
         order, truth, linked = np.random.default_rng(13).permutation(len(queries)), {}, {}
@@ -155,12 +156,15 @@ class Graph:
         else:
             return [truth[j].astype(self.kind) for j in range(len(queries))]
         width, sizes = min(BEAM, len(self.vectors)), np.array([len(t) for t in linked.values()])
-        while True:
-            out = self._search(queries, least, width, own)
-            hits = np.array([np.isin(t, out[j]).sum() for j, t in linked.items()])
-            if width >= len(self.vectors) or min(hits.sum() / sizes.sum(), (hits / sizes).mean()) >= AUDIT_RECALL:
-                return [truth.get(j, found).astype(self.kind) for j, found in enumerate(out)]
+        audited = np.array(list(linked))
+        while width < len(self.vectors):
+            tried = self._search(queries[audited], least, width, own[audited])
+            hits = np.array([np.isin(t, found).sum() for t, found in zip(linked.values(), tried)])
+            if min(hits.sum() / sizes.sum(), (hits / sizes).mean()) >= AUDIT_RECALL:
+                break
             width = min(2 * width, len(self.vectors))
+        out = self._search(queries, least, width, own)
+        return [truth.get(j, found).astype(self.kind) for j, found in enumerate(out)]
 
     def _search(self, queries: np.ndarray, least: float, width: int, own: np.ndarray) -> list[np.ndarray]:
         nodes, near = self.layers[-1]
@@ -170,7 +174,7 @@ class Graph:
             again = []
             for i in range(0, len(todo), 256):
                 part = todo[i : i + 256]
-                if 8 * width > len(self.vectors):  # a beam over all nodes is one product
+                if 2 * DEGREE * width > len(self.vectors):  # a beam that meets as many nodes as there are is one product
                     for j, s in zip(part, queries[part] @ self.vectors.T):
                         out[j] = np.flatnonzero(s >= least).astype(self.kind)
                     continue
