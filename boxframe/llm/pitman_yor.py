@@ -21,8 +21,8 @@ CONTEXTS = 1 << 16
 DISCOUNT = 0.5
 STRENGTH, ROOT_STRENGTH = 30.0, 100.0
 BURN_IN, KEPT_SWEEPS = 2, 3
-#: Table counts that are looked at for one draw: all up to the first, else as many around the mode.
-FEW_TABLES, WINDOW = 32, 512
+#: Table counts that are looked at for one draw: all of up to so many, else a window at the mode.
+FEW_TABLES, WINDOW = (4, 12, 32, 128), 512
 #: Words that make up more than one in so many tokens are spread over all buckets by context.
 HOT = 1 << 14
 BLOCK_TOKENS, BLOCK_DOCS = 3_000_000, 60_000
@@ -47,8 +47,8 @@ def seat(c: np.ndarray, others: np.ndarray, base: np.ndarray, strength: float, r
     """
     tables = np.ones(len(c), np.int64)
     free = strength + DISCOUNT * others
-    for low, high, width in ((2, FEW_TABLES, FEW_TABLES), (FEW_TABLES + 1, np.inf, WINDOW)):
-        live = np.flatnonzero((c >= low) & (c <= high))
+    for low, high, width in zip((1, *FEW_TABLES), (*FEW_TABLES, np.inf), (*FEW_TABLES, WINDOW)):
+        live = np.flatnonzero((c > low) & (c <= high))
         for i in range(0, len(live), 4096):
             at = live[i : i + 4096]
             n, f, b = c[at].astype(float), free[at], base[at]
