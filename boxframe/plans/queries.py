@@ -428,13 +428,13 @@ def label_dictionary(spark, sf):
     return K.first_seen_ids(tracks(spark, sf), "class_name", ["frame_idx", "event_id"])
 
 
-@query("""with h as (select distinct p_name, left(p_type, len) frag from part, (select unnest([3, 5, 7]) len) union select distinct p_name, substring(p_name, 2, l) from part, (select unnest([3, 4, 6]) l) where p_partkey % 10 = 0),
+@query("""with h as (select distinct p_name, left(p_type, len) frag from part, (select unnest([3, 5, 7]) len) union select distinct p_name, substring(p_name, 2, l) from part, (select unnest([3, 4, 6]) l)),
 f as (select distinct frag from h where length(frag) >= 3), n as (select distinct p_name from part), m as (select p_name, frag, row_number() over (partition by p_name order by length(frag) desc, frag desc) r from n join f on contains(p_name, frag))
 select n.p_name, m.frag from n left join m on m.p_name = n.p_name and m.r = 1""")
 def longest_substring_match(spark, sf):
-    parts = table(spark, sf, "part").select("p_name", "p_type", "p_partkey")
+    parts = table(spark, sf, "part").select("p_name", "p_type")
     types = parts.select(F.explode(F.array(*[F.substring("p_type", 1, n) for n in (3, 5, 7)])).alias("frag"))
-    names = parts.where("p_partkey % 10 = 0").select(F.explode(F.array(*[F.substring("p_name", 2, n) for n in (3, 4, 6)])).alias("frag"))
+    names = parts.select(F.explode(F.array(*[F.substring("p_name", 2, n) for n in (3, 4, 6)])).alias("frag"))
     return status.longest_contained(parts, types.union(names), "p_name", "frag")
 
 
