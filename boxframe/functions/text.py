@@ -79,3 +79,8 @@ def prompts(names: Column, size: int = 12) -> Column:
     """Class names in groups of `size`, each group one prompt of names between dots."""
     starts = F.sequence(F.lit(1), F.size(names), F.lit(size))
     return F.transform(starts, lambda s: F.concat(F.array_join(F.slice(names, s, size), " . "), F.lit(" .")))
+
+
+def is_tool(name: Column) -> Column:
+    """Whether a label names a robot or an arm."""
+    return name.contains("robot") | name.contains("arm")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -83,28 +85,37 @@ def assign(tracks: DataFrame, dets: DataFrame, keys: list[str], max_cost: float
     return tracks.groupBy(*keys).cogroup(dets.groupBy(*keys)).applyInPandas(solve, f"{kinds}, track_id long, det_id long")
 
 
-def stitch(dets: DataFrame, clip: str, max_cost: float = 0.85, first_id: int = 1000) -> DataFrame:
+def stitch(dets: DataFrame, clip: str, max_cost: float = 0.85, first_id: int = 1000, propagate: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """(clip, chunk, det_id, track_id, class_name): ids carried from chunk to chunk of a clip.
 
-    The boxes of the chunk before are matched with those of the chunk at hand; matched detections
-    take over the track's id and give it their class, others get the next ids in order.
-    A chunk without detections does not appear and ends no track.
+    All ids met so far stay active: where they stand at the end of a chunk is what `propagate`
+    makes of their boxes there (rows of nan: lost from sight), or where they were seen last. A chunk's
+    detections are matched with these; a match takes over the id and moves it, others get the
+    next ids in order. A chunk without detections (its number is absent) is not propagated, so
+    the chunk after it finds nothing to match and mints new ids, beside the old ones. class_name is
+    the one that the id's newest detection in the clip has.
     """
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["chunk", "det_id"], kind="stable")
-        boxes, ids, next_id, found = np.empty((0, 4)), np.empty(0, int), first_id, []
-        for _, now in rows.groupby("chunk", sort=True):
+        boxes, next_id, found, last = np.empty((0, 4)), first_id, [], None
+        for chunk, now in rows.groupby("chunk", sort=True):
+            here = now[BOX].to_numpy(float)
             mine = np.full(len(now), -1)
-            for r, c in matched(boxes, now[BOX].to_numpy(float), max_cost):
-                mine[c] = ids[r]
+            if last is not None and chunk == last + 1:
+                seen = np.flatnonzero(~np.isnan(boxes).any(axis=1))
+                for r, c in matched(boxes[seen], here, max_cost):
+                    mine[c] = seen[r]
             fresh = mine < 0
-            mine[fresh] = next_id + np.arange(fresh.sum())
+            mine[fresh] = next_id - first_id + np.arange(fresh.sum())
             next_id += int(fresh.sum())
-            boxes, ids = now[BOX].to_numpy(float), mine
-            found.append(mine)
+            boxes = np.concatenate([boxes, np.full((next_id - first_id - len(boxes), 4), np.nan)])
+            boxes[mine] = here
+            boxes, last = propagate(boxes) if propagate else boxes, chunk
+            found.append(mine + first_id)
         out = rows[[clip, "chunk", "det_id", "class_name"]].copy()
         out["track_id"] = np.concatenate(found)
+        out["class_name"] = out.groupby("track_id")["class_name"].transform("last")
         return out[[clip, "chunk", "det_id", "track_id", "class_name"]]
 
     kind = dict(dets.dtypes)[clip]
@@ -115,3 +126,13 @@ def fresh_ids(dets: DataFrame, clip: str, first_id: int = 1000) -> DataFrame:
     """Every detecting chunk mints new ids in order of (chunk, det_id)."""
     rank = F.row_number().over(Window.partitionBy(clip).orderBy("chunk", "det_id"))
     return dets.withColumn("track_id", (rank + (first_id - 1)).cast("long"))
+
+
+def active_ids(minted: DataFrame, chunks: DataFrame, clip: str) -> DataFrame:
+    """(clip, chunk, since, track_id): ids that live in each chunk of `chunks`: those of the newest
+    chunk with detections, as a chunk without any keeps the old ones; before the first, none."""
+    found = minted.select(clip, "chunk").distinct().withColumn("own", F.col("chunk"))
+    so_far = Window.partitionBy(clip).orderBy("chunk")
+    since = chunks.join(found, [clip, "chunk"], "left").withColumn("since", F.last("own", ignorenulls=True).over(so_far))
+    ids = minted.select(clip, F.col("chunk").alias("since"), "track_id")
+    return since.select(clip, "chunk", "since").join(ids, [clip, "since"]).select(clip, "chunk", "since", "track_id")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,8 +30,10 @@ def single_scores(tracks: DataFrame, hidden_with_preds: str = "miss") -> DataFra
     return frame_scores(tracks, iou(p, g, "eval"), center_distance(p, g), has, visible, hidden_with_preds)
 
 
-def best_scores(truth: DataFrame, preds: DataFrame, keys: list[str], hidden_with_preds: str = "miss") -> DataFrame:
-    """Many predictions a frame: the best overlap counts, the later box at a tie."""
+def best_scores(truth: DataFrame, preds: DataFrame, keys: list[str], hidden_with_preds: str = "miss", processed: DataFrame | None = None) -> DataFrame:
+    """Many predictions a frame: the best overlap counts, the later box at a tie. Frames that are
+    not in `processed` (keys; none: all are) are left out rather than missed."""
+    truth = truth if processed is None else truth.join(processed.select(*keys), keys, "left_semi")
     p, g = box(), box("g")
     hit = F.struct(F.coalesce(iou(p, g, "eval"), F.lit(0.0)).alias("iou"), F.col("ord"))
     joined = truth.join(preds.select(*keys, "ord", "x1", "y1", "x2", "y2"), keys, "left")
@@ -44,6 +48,44 @@ def best_scores(truth: DataFrame, preds: DataFrame, keys: list[str], hidden_with
     return frame_scores(grouped, F.col("best_iou"), F.col("best_ce"), F.col("n_preds"), visible, hidden_with_preds)
 
 
+def placed(rows: DataFrame, documents: DataFrame, clip: str, size: int = 300) -> DataFrame:
+    """Rows of a scene's documents with `first`, the scene's frame at which their document begins.
+
+    The document of the whole scene (part null) goes before those of its parts: where `documents`
+    (clip, part) has one, rows of parts are left out. Part z begins at frame (z - 1) * size.
+    """
+    whole = documents.where("part is null").select(clip).distinct()
+    parts = rows.where("part is not null").join(whole, clip, "left_anti")
+    first = F.coalesce((F.col("part") - 1) * size, F.lit(0)).cast("long")
+    return rows.where("part is null").unionByName(parts.select(*rows.columns)).withColumn("first", first)
+
+
+def placed_boxes(preds: DataFrame, documents: DataFrame, clip: str, size: int = 300) -> DataFrame:
+    """Boxes (clip, part, frame_idx, ..) with frame_idx counted in the scene."""
+    return placed(preds, documents, clip, size).withColumn("frame_idx", F.col("first") + F.col("frame_idx")).drop("first")
+
+
+def processed_frames(documents: DataFrame, clip: str, size: int = 300) -> DataFrame:
+    """(clip, frame_idx) of the frames that documents (clip, part, n_frames) cover."""
+    at = placed(documents, documents, clip, size).where("n_frames > 0")
+    return at.select(clip, F.explode(F.sequence("first", F.col("first") + F.col("n_frames") - 1)).alias("frame_idx")).distinct()
+
+
+def shifted(preds: DataFrame, clips: DataFrame, keys: list[str]) -> DataFrame:
+    """Boxes with frame_idx counted in the video: clips (keys, frame_offset) say where each begins."""
+    moved = preds.join(clips.select(*keys, "frame_offset"), keys)
+    return moved.withColumn("frame_idx", F.col("frame_idx") + F.col("frame_offset")).drop("frame_offset")
+
+
+def of_class(preds: DataFrame, name: str) -> DataFrame:
+    return preds.where(F.col("class_name") == name)
+
+
+def without_class(preds: DataFrame, part: str = "person") -> DataFrame:
+    """Boxes whose class does not contain `part` in either case; those without class stay."""
+    return preds.where(~F.coalesce(F.lower("class_name").contains(part), F.lit(False)))
+
+
 def success_curve(scores: DataFrame) -> DataFrame:
     """(t, threshold, rate): the share of frames with iou at or over 0, 0.05, .. 1.
 
@@ -74,16 +116,21 @@ def area_under(curve: DataFrame) -> DataFrame:
     return curve.agg((STEP * (F.sum("rate") - ends / 2)).alias("success_auc"))
 
 
-def match_tracks(preds: DataFrame, truth: DataFrame, clip: str = "video_id", least: float = 0.2) -> DataFrame:
-    """(clip, track_id, gt_id, mean_iou): each predicted track's best ground truth by mean IoU over
+def match_tracks(preds: DataFrame, truth: DataFrame, clip: str = "video_id", least: float = 0.2, track: Sequence[str] = ("track_id",)) -> DataFrame:
+    """(clip, track, gt_id, mean_iou): each predicted track's best ground truth by mean IoU over
     common frames, the smallest id at a tie, if over `least`."""
     p, g = box(), box("g")
     joined = preds.join(truth, [clip, "frame_idx"]).where(F.col("x1").isNotNull())
-    means = joined.groupBy(clip, "track_id", "gt_id").agg(F.avg(iou(p, g)).alias("mean_iou"))
-    best = F.row_number().over(Window.partitionBy(clip, "track_id").orderBy(F.desc(F.round("mean_iou", 9)), "gt_id"))
+    means = joined.groupBy(clip, *track, "gt_id").agg(F.avg(iou(p, g)).alias("mean_iou"))
+    best = F.row_number().over(Window.partitionBy(clip, *track).orderBy(F.desc(F.round("mean_iou", 9)), "gt_id"))
     return means.withColumn("r", best).where((F.col("r") == 1) & (F.col("mean_iou") > least)).drop("r")
 
 
+def mean_overlap(matches: DataFrame) -> DataFrame:
+    """(n_matched, mean_iou) over all matched tracks; 0 without any."""
+    return matches.agg(F.count("*").alias("n_matched"), F.coalesce(F.avg("mean_iou"), F.lit(0.0)).alias("mean_iou"))
+
+
 def overlapping_actions(windows: DataFrame, relations: DataFrame, keys: list[str], bucket: int = 300) -> DataFrame:
     """Windows (start_f, end_f, actions) with the labels of relations (begin_f, stop_f, label) that
     overlap them strictly: an equi-join on time buckets, so one long track is dealt over many keys."""
@@ -116,9 +163,11 @@ def precision_recall(counts: DataFrame) -> DataFrame:
 
 
 def iou_histogram(values: DataFrame, column: str, low: float = 0.2, bins: int = 20) -> DataFrame:
-    """(bin, n) over [low, 1] in `bins` equal bins; the last is closed."""
+    """(bin, n) over [low, 1] in `bins` equal bins, empty ones too; the last is closed."""
     at = F.least(F.floor((F.col(column) - low) / ((1 - low) / bins)), F.lit(bins - 1)).cast("long")
-    return values.where(F.col(column).between(low, 1.0)).groupBy(at.alias("bin")).agg(F.count("*").alias("n"))
+    counts = values.where(F.col(column).between(low, 1.0)).groupBy(at.alias("bin")).agg(F.count("*").alias("n"))
+    every = values.sparkSession.range(bins).withColumnRenamed("id", "bin")
+    return every.join(counts, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 def motion_scores(poses: DataFrame, clip: str, order: str, matrix: str, threshold: float = 0.1) -> DataFrame:

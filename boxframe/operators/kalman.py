@@ -9,15 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from boxframe.operators.folds import let, running
+
 DIMS = ("cx", "cy", "w", "h")
 #: Initial variance, process noise and measurement noise.
 P0, Q, R = 1000.0, 1.0, 10.0
 
 
-def _let(value: Column, body) -> Column:
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def smooth_tracks(tracks: DataFrame, keys: list[str], dt: float = 1.0) -> DataFrame:
     """(keys, frame_idx, x1, y1, x2, y2) with null boxes kept null; one group per track."""
     z = [(F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2, F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")]
@@ -25,7 +23,7 @@ def smooth_tracks(tracks: DataFrame, keys: list[str], dt: float = 1.0) -> DataFr
     grouped = tracks.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("rows"))
     zero = F.struct(*[F.lit(0.0).alias(f"{n}_{s}") for n in DIMS for s in "pv"], *[F.lit(v).alias(n) for n, v in (("a", P0), ("b", 0.0), ("c", P0))])
 
-    def step(acc: Column, row: Column) -> Column:
+    def step(state: Column, row: Column) -> Column:
         def predict(s: Column) -> Column:
             moved = []
             for n in DIMS:
@@ -45,11 +43,9 @@ def smooth_tracks(tracks: DataFrame, keys: list[str], dt: float = 1.0) -> DataFr
             cx, cy, w, h = (s[f"{n}_p"] for n in DIMS)
             box = [F.when(row["seen"], v).alias(n) for v, n in ((cx - w / 2, "x1"), (cy - h / 2, "y1"), (cx + w / 2, "x2"), (cy + h / 2, "y2"))]
             one = F.struct(row["frame_idx"].alias("frame_idx"), *box)
-            return F.struct(s.alias("state"), F.concat(acc["out"], F.array(one)).alias("out"))
+            return F.struct(s.alias("state"), one.alias("one"))
 
-        return _let(_let(predict(acc["state"]), lambda s: F.when(row["seen"], update(s)).otherwise(s)), out)
+        return let(let(predict(state), lambda s: F.when(row["seen"], update(s)).otherwise(s)), out)
 
-    kind = "array<struct<frame_idx:bigint,x1:double,y1:double,x2:double,y2:double>>"
-    start = F.struct(zero.alias("state"), F.expr(f"cast(array() as {kind})").alias("out"))
-    folded = F.aggregate("rows", start, step, lambda acc: acc["out"])
+    folded = running(F.col("rows"), zero, "struct<frame_idx:bigint,x1:double,y1:double,x2:double,y2:double>", step)
     return grouped.select(*keys, F.explode_outer(folded).alias("r")).select(*keys, "r.*").where("frame_idx is not null")

@@ -12,6 +12,30 @@ def merge_markers(status: DataFrame, clip: str) -> DataFrame:
     return status.groupBy(clip).agg(F.min_by("kind", F.struct(order, "kind")).alias("kind"))
 
 
+def skip_reasons(clips: DataFrame, most_frames: int = 300, moving: float = 0.1) -> DataFrame:
+    """Clips (n_frames, motion) with `reason`: why a clip is skipped, null if it is not. A clip of
+    under two frames or without a measured motion counts as still."""
+    moved = (F.col("n_frames") >= 2) & F.coalesce(F.col("motion") > moving, F.lit(False))
+    too_long = F.concat(F.lit("too_long: "), F.col("n_frames").cast("string"), F.lit(f" frames of {most_frames}"))
+    camera = F.concat(F.lit("camera_motion: "), F.format_string("%.3f", F.col("motion").cast("double")))
+    return clips.withColumn("reason", F.when(F.col("n_frames") > most_frames, too_long).when(moved, camera))
+
+
+def markers(reasons: DataFrame, clip: str) -> DataFrame:
+    """(clip, kind, reason) of the skipped clips, for `write_markers`."""
+    return reasons.where("reason is not null").select(clip, F.split_part("reason", F.lit(":"), F.lit(1)).alias("kind"), "reason")
+
+
+def summary(clips: DataFrame, status: DataFrame, clip: str) -> DataFrame:
+    """(total, processed, skipped, camera_motion, too_long) over clips, each counted once whatever
+    the number of its markers; all that carry a marker are skipped."""
+    marked = merge_markers(status, clip)
+    rows = clips.select(clip).distinct().join(marked, clip, "left")
+    of = lambda k: F.count_if(F.col("kind") == k).alias(k)
+    skipped = F.count("kind")
+    return rows.agg(F.count("*").alias("total"), (F.count("*") - skipped).alias("processed"), skipped.alias("skipped"), of("camera_motion"), of("too_long"))
+
+
 def pending(work: DataFrame, done: DataFrame, failed: DataFrame, key: str) -> DataFrame:
     """Work that is neither done nor marked; a null key is never done."""
     return work.join(done.select(key), key, "left_anti").join(failed.select(key), key, "left_anti")

@@ -44,6 +44,26 @@ def unnest(docs: DataFrame, clip: str = "video_id") -> DataFrame:
     return rows.select(clip, "key", "class_name", "track_id", F.col("frame_idx").cast("long"), *coordinates)
 
 
+def document_frames(docs: DataFrame, clip: str = "video_id") -> DataFrame:
+    """(clip, n_frames): the longest list of boxes in each track document; 0 without tracks."""
+    lists = F.transform(F.map_values(F.from_json("doc", DOCUMENT)["detected_objects"]), lambda t: F.size(t["bbox"]))
+    return docs.select(clip, F.coalesce(F.array_max(lists), F.lit(0)).cast("long").alias("n_frames"))
+
+
+def by_frame(tracks: DataFrame, clip: str = "video_id") -> DataFrame:
+    """(clip, frame_idx, people): the frame-major form, a map of every track of the clip to its box
+    (null: none) for every frame of the clip's range."""
+    one = F.when(F.col("x1").isNotNull(), F.struct(*BOX))
+    entries = F.array_sort(F.collect_list(F.struct("track_id", one.alias("box"))))
+    return densify(tracks, clip).groupBy(clip, "frame_idx").agg(F.map_from_entries(entries).alias("people"))
+
+
+def by_track(frames: DataFrame, clip: str = "video_id") -> DataFrame:
+    """The inverse of `by_frame`: a row for every track and frame, also where a map lacks the track."""
+    rows = frames.select(clip, "frame_idx", F.explode("people").alias("track_id", "b"))
+    return densify(rows.select(clip, "track_id", "frame_idx", *[F.col(f"b.{c}").alias(c) for c in BOX]), clip)
+
+
 def seed_override(dense: DataFrame, seeds: DataFrame, keys: list[str], least_area: float = 50.0) -> DataFrame:
     """Frame 0 takes the detector's box; later frames the tracker's, if it is large enough."""
     mine = box()
@@ -69,6 +89,13 @@ def window_samples(tracks: DataFrame, keys: list[str], size: int = 30, stride: i
     return picks.join(tracks.select(*keys, "frame_idx", *BOX), [*keys, "frame_idx"], "left")
 
 
+def relevant_objects(sampled: DataFrame, boxes: DataFrame, clip: str, keys: list[str], person: str = "person_") -> DataFrame:
+    """(keys, start_f, other): objects with a box in a sampled frame of the window. boxes: (clip,
+    frame_idx, key, x1); keys that begin with `person` are no objects."""
+    things = boxes.where(F.col("x1").isNotNull() & ~F.col("key").startswith(person)).select(clip, "frame_idx", F.col("key").alias("other"))
+    return sampled.select(*keys, "start_f", "frame_idx").join(things, [clip, "frame_idx"]).select(*keys, "start_f", "other").distinct()
+
+
 def present_windows(sampled: DataFrame, keys: list[str], missing: float = 7.5) -> DataFrame:
     grouped = sampled.groupBy(*keys, "start_f").agg(F.count_if(F.col("x1").isNull()).alias("n_missing"))
     return grouped.where(F.col("n_missing") <= missing)

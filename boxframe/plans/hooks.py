@@ -1,5 +1,5 @@
 """Typed hooks for models: a detector or labeller is any function on Arrow or pandas batches that
-gives the named columns; fakes stand in for models in tests."""
+gives the named columns. Tests put small functions in their place."""
 
 from __future__ import annotations
 
@@ -11,17 +11,39 @@ from pyspark.sql import functions as F
 
 DETECTIONS = "clip_id string, frame_idx long, det_id long, class_name string, confidence double, x1 double, y1 double, x2 double, y2 double"
 SEGMENTS = "clip_id string, track_id long, frame_idx long, x1 double, y1 double, x2 double, y2 double"
+MASKS = "clip_id string, frame_idx long, det_id long, mask binary"
+KEYPOINTS = "clip_id string, frame_idx long, det_id long, points array<struct<x:double,y:double,score:double>>"
+SCENES = "video_id string, scene_idx int, start_sec double, end_sec double"
 POSES = "clip_id string, i long, m array<double>"
 
 
 def detect(frames: DataFrame, model: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
     """Detections of frames (clip_id, frame_idx, content), batch by batch."""
 
+    return _batches(frames, model, DETECTIONS)
+
+
+def masks(boxes: DataFrame, model: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
+    """A packed mask for each box (clip_id, frame_idx, det_id, content, x1..y2)."""
+    return _batches(boxes, model, MASKS)
+
+
+def keypoints(boxes: DataFrame, model: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
+    """Body points for each box (clip_id, frame_idx, det_id, content, x1..y2)."""
+    return _batches(boxes, model, KEYPOINTS)
+
+
+def scenes(videos: DataFrame, model: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
+    """Scenes, numbered from 1, of videos (video_id, path)."""
+    return _batches(videos, model, SCENES)
+
+
+def _batches(rows: DataFrame, model: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield model(batch)
 
-    return frames.mapInPandas(run, DETECTIONS)
+    return rows.mapInPandas(run, schema)
 
 
 def propagate(seeds: DataFrame, model: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:

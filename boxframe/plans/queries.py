@@ -12,6 +12,7 @@ from boxframe.functions import geometry as G
 from boxframe.functions import text as X
 from boxframe.operators import assign, dedupe, evaluate, kalman, status
 from boxframe.operators import tracks as K
+from boxframe.sources import readers
 from boxframe.plans.views import DET, TRACKS, detections, distance_sql, inter_sql, iou_sql, table, tracks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,11 +112,59 @@ def track_match_best(spark, sf):
     return _matched(spark, sf).select("video_id", "track_id", "gt_id", *rounded(["mean_iou"]))
 
 
-@query(f"with {MATCHED} select cast(least(floor((mean_iou - 0.2) / (0.8 / 20)), 19) as bigint) bin, count(*) n from best where mean_iou between 0.2 and 1 group by 1")
+@query(f"""with {MATCHED}, h as (select cast(least(floor((mean_iou - 0.2) / (0.8 / 20)), 19) as bigint) bin, count(*) n from best where mean_iou between 0.2 and 1 group by 1)
+select i bin, coalesce(n, 0) n from (select unnest(range(20)) i) left join h on bin = i""")
 def iou_histogram(spark, sf):
     return evaluate.iou_histogram(_matched(spark, sf), "mean_iou")
 
 
+@query(f"with {MATCHED} select count(*) n_matched, round(avg(mean_iou), 6) mean_iou from best")
+def od_mean_iou(spark, sf):
+    return evaluate.mean_overlap(_matched(spark, sf)).select("n_matched", *rounded(["mean_iou"]))
+
+
+@query(f"""with {TRACKS}, p as (select video_id, frame_idx // 10 + 1 part, track_id, frame_idx, x1, y1, x2, y2 from tracks where has_box and class_name = 'click'),
+m as (select p.video_id, p.part, p.track_id, g.track_id gt_id, avg({iou_sql('p.', 'g.g')}) mean_iou from p join tracks g using (video_id, frame_idx) group by all),
+w as (select *, row_number() over (partition by video_id, part, track_id order by round(mean_iou, 9) desc, gt_id) r from m)
+select video_id, part, track_id, gt_id, round(mean_iou, 6) mean_iou from w where r = 1 and mean_iou > 0.2""")
+def vidor_offset_match(spark, sf):
+    """Clips of ten frames, numbered from 0 in each, against the truth of the whole video; one class only."""
+    t = tracks(spark, sf)
+    part = (F.floor(F.col("frame_idx") / 10) + 1).cast("long")
+    clips = t.select("video_id", part.alias("part")).distinct()
+    clips = clips.withColumn("frame_offset", K.clip_offset_frames(F.lit(0.0), F.col("part"), F.lit(1.0)))
+    preds = t.withColumn("part", part).withColumn("frame_idx", F.col("frame_idx") % 10)
+    preds = evaluate.shifted(evaluate.of_class(preds, "click"), clips, ["video_id", "part"])
+    truth = t.select("video_id", F.col("track_id").alias("gt_id"), "frame_idx", "gx1", "gy1", "gx2", "gy2")
+    found = evaluate.match_tracks(preds.select("video_id", "part", "track_id", "frame_idx", *BOX), truth, track=["part", "track_id"])
+    return found.select("video_id", "part", "track_id", "gt_id", *rounded(["mean_iou"]))
+
+
+@query(f"with {BEST}, z as (select *, frame_idx // 10 + 1 part from f) select video_id, frame_idx, n_preds, round(iou, 6) iou, round(ce, 4) ce from z where case when video_id % 3 = 0 then frame_idx < 25 else part % 3 <> 0 and frame_idx % 10 < 8 end")
+def lasot_placed_scores(spark, sf):
+    """Documents of whole scenes, or else of parts of ten frames of which each third is absent and
+    the last two frames of each were not processed; such frames have no score."""
+    t = tracks(spark, sf)
+    part = (F.floor(F.col("frame_idx") / 10) + 1).cast("int")
+    first = Window.partitionBy("video_id", "frame_idx").orderBy("track_id")
+    truth = t.withColumn("r", F.row_number().over(first)).where("r = 1").select("video_id", "frame_idx", "gx1", "gy1", "gx2", "gy2", "occ", "oov")
+    boxes = t.where("has_box").withColumn("ord", F.col("track_id")).select("video_id", part.alias("part"), "frame_idx", "ord", *BOX)
+    whole = boxes.where("video_id % 3 = 0 and frame_idx < 25").withColumn("part", F.lit(None).cast("int"))
+    parts = boxes.where("part % 3 <> 0 and frame_idx % 10 < 8").withColumn("frame_idx", F.col("frame_idx") % 10)
+    scenes = t.select("video_id", part.alias("part")).distinct()
+    documents = scenes.where("part % 3 <> 0").withColumn("n_frames", F.lit(8))
+    documents = documents.union(scenes.where("video_id % 3 = 0").select("video_id", F.lit(None).cast("int"), F.lit(25)).distinct())
+    preds = evaluate.placed_boxes(whole.union(parts), documents, "video_id", 10)
+    seen = evaluate.processed_frames(documents, "video_id", 10)
+    scores = evaluate.best_scores(truth, preds, ["video_id", "frame_idx"], processed=seen)
+    return scores.select("video_id", "frame_idx", "n_preds", F.round("iou", 6).alias("iou"), F.round("ce", 4).alias("ce"))
+
+
+@query(f"with {TRACKS} select video_id, frame_idx, track_id from tracks where has_box and lower(class_name) not like '%click%'")
+def class_exclusion(spark, sf):
+    return evaluate.without_class(tracks(spark, sf).where("has_box"), "click").select("video_id", "frame_idx", "track_id")
+
+
 # ---- geometry
 
 @query(f"with {DET} select video_id, det_id, (x2-x1)*(y2-y1) area from det where (x2-x1)*(y2-y1) > 500 and confidence > 0.7")
@@ -195,22 +244,22 @@ _IOU = iou_sql("k.", "o.")
 
 @query(_fold_sql("where confidence >= 0.6", "confidence desc", f"{_IOU} > 0.45 or (k.class_name = o.class_name and {distance_sql('k.', 'o.')} < 50)"))
 def dedupe_confidence(spark, sf):
-    return dedupe.dedupe_by_confidence(detections(spark, sf), 0.6, 0.45).select("video_id", "det_id")
+    return dedupe.dedupe_by_confidence(detections(spark, sf), 0.6, 0.45, keys=["video_id"]).select("video_id", "det_id")
 
 
 @query(_fold_sql("", "confidence desc", f"k.class_name = o.class_name and {_IOU} > 0.45"))
 def nms_class_aware(spark, sf):
-    return dedupe.nms_by_class(detections(spark, sf)).select("video_id", "det_id")
+    return dedupe.nms_by_class(detections(spark, sf), keys=["video_id"]).select("video_id", "det_id")
 
 
 @query(_fold_sql("", "(x2-x1)*(y2-y1) desc", f"k.class_name = o.class_name and {inter_sql('k.', 'o.')} / greatest((o.x2-o.x1)*(o.y2-o.y1), 0.000001) > 0.8"))
 def containment_filter(spark, sf):
-    return dedupe.drop_contained(detections(spark, sf)).select("video_id", "det_id")
+    return dedupe.drop_contained(detections(spark, sf), keys=["video_id"]).select("video_id", "det_id")
 
 
 @query(_fold_sql("", "confidence desc", f"{_IOU} >= 0.5"))
 def nms_classic(spark, sf):
-    return dedupe.nms(detections(spark, sf)).select("video_id", "det_id")
+    return dedupe.nms(detections(spark, sf), keys=["video_id"]).select("video_id", "det_id")
 
 
 @query(f"with {DET}, {TRACKS} select video_id, 'object' origin, class_name, count(*) n from det group by all union all select video_id, 'person', class_name, count(*) from tracks where has_box group by all")
@@ -259,14 +308,23 @@ def track_unnest(spark, sf):
 @query(f"""with {DENSE} select video_id, frame_idx, count(*) n_people, count(x1) n_present, string_agg(track_id::varchar, ',' order by track_id) filter (x1 is not null) present from dense group by 1, 2""")
 def person_pivot(spark, sf):
     """The frame-major form: a map of person to box for every frame of the range."""
-    dense = K.densify(tracks(spark, sf).where("has_box"))
-    one = F.when(F.col("x1").isNotNull(), F.struct(*BOX))
-    people = dense.groupBy("video_id", "frame_idx").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("track_id", one.alias("box"))))).alias("people"))
+    people = K.by_frame(tracks(spark, sf).where("has_box"))
     here = F.map_filter("people", lambda k, v: v.isNotNull())
     names = F.array_join(F.array_sort(F.map_keys(here)).cast("array<string>"), ",")
     return people.select("video_id", "frame_idx", F.size("people").cast("long").alias("n_people"), F.size(here).cast("long").alias("n_present"), F.nullif(names, F.lit("")).alias("present"))
 
 
+@query(f"with {DENSE} select * from dense")
+def person_unpivot(spark, sf):
+    """Frame-major and back: what comes out is the densified input."""
+    return K.by_track(K.by_frame(tracks(spark, sf).where("has_box")))
+
+
+@query(f"with {DENSE} select video_id, max(frame_idx) - min(frame_idx) + 1 n_frames from dense group by 1")
+def document_frames(spark, sf):
+    return K.document_frames(K.nest(tracks(spark, sf).where("has_box"), 1920, 1080))
+
+
 @query(f"""with {DENSE} select d.video_id, d.track_id, d.frame_idx, case when d.frame_idx = 0 then t.gx1 when (d.x2-d.x1)*(d.y2-d.y1) > 50 then d.x1 end x1, case when d.frame_idx = 0 then t.gy1 when (d.x2-d.x1)*(d.y2-d.y1) > 50 then d.y1 end y1,
 case when d.frame_idx = 0 then t.gx2 when (d.x2-d.x1)*(d.y2-d.y1) > 50 then d.x2 end x2, case when d.frame_idx = 0 then t.gy2 when (d.x2-d.x1)*(d.y2-d.y1) > 50 then d.y2 end y2 from dense d left join (select * from tracks where frame_idx = 0) t using (video_id, track_id)""")
 def seed_override(spark, sf):
@@ -279,7 +337,7 @@ _DIM = "{{'p': r.{d}.p + r.{d}.v + k1 * (z.{d} - r.{d}.p - r.{d}.v), 'v': r.{d}.
 _STAY = "{{'p': r.{d}.p + r.{d}.v, 'v': r.{d}.v}}"
 
 
-def _kalman_sql() -> str:
+def _kalman_sql(source: str = "tracks", key: str = "track_id") -> str:
     dims = ("cx", "cy", "w", "h")
     a, b, c = "(r.a + 2 * r.b + r.c + 1)", "(r.b + r.c)", "(r.c + 1)"
     k1, k2 = f"({a} / ({a} + 10))", f"({b} / ({a} + 10))"
@@ -287,11 +345,11 @@ def _kalman_sql() -> str:
     zero = ", ".join(f"{{'p': 0.0::double, 'v': 0.0::double}} {d}" for d in dims)
     pick = lambda d: f"{d}.p"
     out = {"x1": f"{pick('cx')} - {pick('w')} / 2", "y1": f"{pick('cy')} - {pick('h')} / 2", "x2": f"{pick('cx')} + {pick('w')} / 2", "y2": f"{pick('cy')} + {pick('h')} / 2"}
-    return f"""with recursive {TRACKS}, z as (select track_id, frame_idx, (x1+x2)/2 cx, (y1+y2)/2 cy, x2-x1 w, y2-y1 h from tracks),
-r as (select distinct track_id, -1::bigint frame_idx, {zero}, 1000.0::double a, 0.0::double b, 1000.0::double c, false seen from tracks
+    return f"""with recursive {TRACKS}, parts as (select track_id * 5 + i track_id, frame_idx, {", ".join(f"case when (k + i) % 7 <> 0 then {n} + 9 * i end {n}" for n in BOX)} from tracks, (select unnest(range(5)) i)), z as (select track_id, frame_idx, (x1+x2)/2 cx, (y1+y2)/2 cy, x2-x1 w, y2-y1 h from {source}),
+r as (select distinct track_id, -1::bigint frame_idx, {zero}, 1000.0::double a, 0.0::double b, 1000.0::double c, false seen from {source}
   union all select r.track_id, z.frame_idx, {new}, case when z.cx is null then {a} else {a} * (1 - {k1}) end, case when z.cx is null then {b} else {b} * (1 - {k1}) end,
   case when z.cx is null then {c} else {c} - {k2} * {b} end, z.cx is not null from r join z on z.track_id = r.track_id and z.frame_idx = r.frame_idx + 1)
-select track_id, frame_idx, {", ".join(f"case when seen then round({e}, 4) end {n}" for n, e in out.items())} from r where frame_idx >= 0"""
+select {key}, frame_idx, {", ".join(f"case when seen then round({e}, 4) end {n}" for n, e in out.items())} from r where frame_idx >= 0"""
 
 
 @query(_kalman_sql())
@@ -299,6 +357,16 @@ def kalman_smooth(spark, sf):
     return kalman.smooth_tracks(tracks(spark, sf), ["track_id"]).select("track_id", "frame_idx", *rounded(BOX, 4))
 
 
+@query(_kalman_sql("parts", "track_id // 5 track_id, track_id % 5 part"))
+def kalman_parts(spark, sf):
+    """A smoother for each of five parts (person, two hands, two held objects) of a track."""
+    part = F.explode(F.array(*[F.lit(i).cast("long") for i in range(5)])).alias("part")
+    rows = tracks(spark, sf).select("track_id", "frame_idx", "k", *BOX, part)
+    boxes = [F.when((F.col("k") + F.col("part")) % 7 != 0, F.col(n) + 9 * F.col("part")).alias(n) for n in BOX]
+    smooth = kalman.smooth_tracks(rows.select("track_id", "part", "frame_idx", *boxes), ["track_id", "part"])
+    return smooth.select("track_id", "part", "frame_idx", *rounded(BOX, 4))
+
+
 # ---- windows
 
 WINDOWS = f"""{TRACKS}, n as (select video_id, track_id, max(frame_idx) + 1 n from tracks group by all), win as (select video_id, track_id, unnest(range(0, n - 29, 15)) start_f from n where n >= 30),
@@ -336,6 +404,17 @@ def window_objects(spark, sf):
     return found.groupBy(*KEYS, "start_f").agg(F.count_distinct("other").alias("n_objects"))
 
 
+@query(f"""with {WINDOWS} select distinct p.video_id, p.track_id, p.start_f::int start_f, t.class_name || '_' || t.track_id other from pres p join smp using (video_id, track_id, start_f)
+join tracks t on t.video_id = p.video_id and t.frame_idx = smp.frame_idx and t.x1 is not null and t.class_name <> 'view'""")
+def relevant_objects(spark, sf):
+    """What has a box in a sampled frame of a window and is no person (views stand for persons)."""
+    t = tracks(spark, sf)
+    sampled = K.window_samples(t, KEYS)
+    sampled = sampled.join(K.present_windows(sampled, KEYS).select(*KEYS, "start_f"), [*KEYS, "start_f"])
+    boxes = t.select("video_id", "frame_idx", "x1", F.concat_ws("_", "class_name", "track_id").alias("key"))
+    return K.relevant_objects(sampled, boxes, "video_id", KEYS, "view_")
+
+
 @query(f"with {TRACKS} select video_id, track_id, frame_idx // 30 chunk, count(*) n, count(x1) n_boxes from tracks group by all")
 def tumbling_chunks(spark, sf):
     t = tracks(spark, sf).withColumn("chunk", K.chunk_of(F.col("frame_idx")))
@@ -518,28 +597,85 @@ def pending_work(spark, sf):
     return status.pending(table(spark, sf, "customer").select("c_custkey"), orders.where("o_orderstatus = 'F'"), orders.where("o_totalprice > 400000"), "c_custkey")
 
 
-@query("select c_custkey from customer where c_custkey not in (select o_custkey from orders)")
+@query("select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_totalprice > 300000)")
 def missing_names(spark, sf):
-    return status.missing(table(spark, sf, "customer"), table(spark, sf, "orders").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey")
+    done = table(spark, sf, "orders").where("o_totalprice > 300000").withColumnRenamed("o_custkey", "c_custkey")
+    return status.missing(table(spark, sf, "customer"), done, "c_custkey")
+
+
+@query("select c_custkey from customer where c_custkey in (select o_custkey from orders where o_totalprice > 300000)")
+def included_names(spark, sf):
+    names = table(spark, sf, "orders").where("o_totalprice > 300000").withColumnRenamed("o_custkey", "c_custkey")
+    return status.included(table(spark, sf, "customer").select("c_custkey"), names, "c_custkey")
+
+
+CLIPS = """clips as (select o_orderkey clip, o_orderkey % 400 n_frames, case when o_orderkey % 7 <> 0 then (o_orderkey % 100) / 500::double end motion from orders),
+marked as (select clip, case when n_frames > 300 then 'too_long: ' || n_frames || ' frames of 300' when n_frames >= 2 and coalesce(motion > 0.1, false) then 'camera_motion: ' || printf('%.3f', motion) end reason from clips)"""
+
+
+def _skips(spark, sf):
+    k = F.col("o_orderkey")
+    motion = F.when(k % 7 != 0, (k % 100) / F.lit(500.0))
+    return status.skip_reasons(table(spark, sf, "orders").select(k.alias("clip"), (k % 400).alias("n_frames"), motion.alias("motion")))
+
+
+@query(f"with {CLIPS} select clip, reason from marked")
+def skip_reasons(spark, sf):
+    return _skips(spark, sf).select("clip", "reason")
+
+
+@query(f"with {CLIPS} select count(*) total, count(*) - count(reason) processed, count(reason) skipped, count(*) filter (reason like 'cam%') camera_motion, count(*) filter (reason like 'too%') too_long from marked")
+def run_summary(spark, sf):
+    clips = _skips(spark, sf)
+    return status.summary(clips, status.markers(clips, "clip"), "clip")
+
+
+@query("""select o_orderkey clip, case when o_orderkey % 5 <> 0 then o_totalprice / 1000 else 0 end duration, round(case when o_orderkey % 3 = 0 then 30000 / 1001::double when o_orderkey % 3 = 1 then 25 else (o_orderkey % 400) / 5.0::double end, 6) fps, o_orderkey % 4 = 0 has_video from orders""")
+def clip_facts(spark, sf):
+    """Probes as text: rates as quotients or broken, durations absent, banners with and without video."""
+    k = F.col("o_orderkey")
+    rate = F.when(k % 3 == 0, "30000/1001").when(k % 3 == 1, "25").otherwise("0/0")
+    banner = F.when(k % 4 == 0, "Stream #0:0 Video: h264").when(k % 4 == 1, "Stream #0:0 Audio: aac").when(k % 4 == 2, "no such file")
+    duration = F.when(k % 5 != 0, (F.col("o_totalprice") / 1000).cast("string")).otherwise("N/A")
+    probes = table(spark, sf, "orders").select(k.alias("clip"), duration.alias("duration"), rate.alias("rate"), banner.alias("banner"), (k % 400).alias("n_frames"))
+    return readers.clip_facts(probes).select("clip", "duration", F.round("fps", 6).alias("fps"), "has_video")
+
+
+@query("select '/d/' || p_size folder, min('/d/' || p_size || '/' || p_name || p_partkey || '.json') path from part group by 1")
+def first_files(spark, sf):
+    path = F.concat(F.lit("/d/"), "p_size", F.lit("/"), "p_name", "p_partkey", F.lit(".json"))
+    return readers.first_files(table(spark, sf, "part").select(path.alias("path")))
+
+
+@query("select event_id from events where event_type like '%arm%' or event_type like '%robot%' or event_id % 3 = 0 or event_id % 3 = 1")
+def tool_filter(spark, sf):
+    name = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("robot_"), "event_type")).when(F.col("event_id") % 3 == 1, F.concat("event_type", F.lit(" arm"))).otherwise(F.col("event_type"))
+    return table(spark, sf, "events").where(X.is_tool(name)).select("event_id")
 
 
 # ---- assignment
 
 def _chunked(spark, sf):
+    """Detections in each chunk's first frame."""
     return tracks(spark, sf).where("has_box and frame_idx % 30 = 0").select("video_id", K.chunk_of(F.col("frame_idx")).alias("chunk"), F.col("track_id").alias("det_id"), "class_name", *BOX)
 
 
+def _ten(spark, sf):
+    """Clips of ten tracks each, so that a table of more tracks has more clips rather than larger ones."""
+    return _chunked(spark, sf).withColumn("video_id", F.floor(F.col("det_id") / 10).cast("long"))
+
+
 @query()
 def assign_hungarian(spark, sf):
     """Boxes of the last frame of a chunk against those of the next chunk's first frame."""
-    t = tracks(spark, sf).where("has_box")
+    t = tracks(spark, sf).where("has_box").withColumn("video_id", F.floor(F.col("track_id") / 10).cast("long"))
     before = t.where("frame_idx % 30 = 29").select("video_id", (K.chunk_of(F.col("frame_idx")) + 1).alias("chunk"), "track_id", *BOX)
-    return assign.assign(before, _chunked(spark, sf).select("video_id", "chunk", "det_id", *BOX), ["video_id", "chunk"])
+    return assign.assign(before, _ten(spark, sf).select("video_id", "chunk", "det_id", *BOX), ["video_id", "chunk"])
 
 
 @query()
 def stitch_tracks(spark, sf):
-    return assign.stitch(_chunked(spark, sf), "video_id")
+    return assign.stitch(_ten(spark, sf), "video_id")
 
 
 @query(f"with {TRACKS} select video_id, frame_idx // 30 chunk, track_id det_id, cast(row_number() over (partition by video_id order by frame_idx // 30, track_id) + 999 as bigint) track_id from tracks where has_box and frame_idx % 30 = 0")
@@ -547,6 +683,16 @@ def fresh_ids(spark, sf):
     return assign.fresh_ids(_chunked(spark, sf), "video_id").select("video_id", "chunk", "det_id", "track_id")
 
 
+@query(f"""with {TRACKS}, d as (select track_id clip, frame_idx // 30 chunk, 1000 + row_number() over (partition by track_id order by frame_idx) - 1 id from tracks where has_box and frame_idx % 30 = 0),
+c as (select distinct track_id clip, frame_idx // 30 chunk from tracks)
+select c.clip, c.chunk, max(d.chunk) since, arg_max(id, d.chunk) track_id from c join d on d.clip = c.clip and d.chunk <= c.chunk group by all""")
+def active_ids(spark, sf):
+    """Every track is a clip of its own; a chunk whose first frame has no box keeps the ids before."""
+    dets = _chunked(spark, sf).withColumn("clip", F.col("det_id"))
+    chunks = tracks(spark, sf).select(F.col("track_id").alias("clip"), K.chunk_of(F.col("frame_idx")).alias("chunk")).distinct()
+    return assign.active_ids(assign.fresh_ids(dets, "clip"), chunks, "clip")
+
+
 # ---- streams
 
 @query("""select to_timestamp(floor(epoch(ts) / 43200) * 43200 - i * 43200)::timestamp::varchar as "start", to_timestamp(floor(epoch(ts) / 43200) * 43200 - i * 43200 + 86400)::timestamp::varchar as "end", event_type, count(*) n from events, (select unnest([0, 1]) i) group by all""")
@@ -563,3 +709,16 @@ def stream_kalman(spark, sf):
     boxes = e.select(F.col("user_id").alias("track_id"), F.col("event_id").alias("frame_idx"), (200 + k).alias("cx"), (100 + k / 2).alias("cy"), (80 + k % 40).alias("w"), (120 + k % 60).alias("h"))
     out = streaming.run_to_table(streaming.smooth_stream(boxes, "track_id"), "append")
     return out.select("track_id", "frame_idx", *rounded(["cx", "cy", "w", "h"], 4))
+
+
+@query("select to_timestamp(floor(epoch(ts) / 3600) * 3600)::timestamp::varchar as \"start\", count(*) n from events group by 1")
+def stream_tumbling(spark, sf):
+    out = streaming.run_to_table(streaming.tumbling_counts(streaming.event_stream(spark, sf), "1 hour"), "complete")
+    return out.select(F.col("start").cast("timestamp_ntz").cast("string").alias("start"), "n")
+
+
+@query("select distinct user_id, event_type from events")
+def stream_once(spark, sf):
+    """Each piece of work (user and type) is taken once, however often it arrives."""
+    out = streaming.run_to_table(streaming.once(streaming.event_stream(spark, sf), ["user_id", "event_type"], "365 days"), "append")
+    return out.select("user_id", "event_type")

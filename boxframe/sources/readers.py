@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from boxframe.functions.geometry import from_xywh
-from boxframe.functions.text import action_file, stem, window_range
+from boxframe.functions.text import action_file, frame_rate, stem, window_range
 
 BOXES = "x1", "y1", "x2", "y2"
 TRACK_DOC = "detected_objects map<string, struct<class_name:string,class_id:int,track_id:bigint,bbox:array<array<double>>>>"
@@ -104,3 +104,18 @@ def read_sequence(spark: SparkSession, boxes: str, occlusion: str, out_of_view:
     for path, name in ((occlusion, "occ"), (out_of_view, "oov")):
         out = out.join(read_flags(spark, path).withColumnRenamed("flag", name), ["seq", "idx"])
     return out
+
+
+def clip_facts(probes: DataFrame) -> DataFrame:
+    """Probed clips (duration, rate, banner as text; width, height, n_frames) with typed columns:
+    duration in seconds (0.0 where unknown), fps (from the rate; without one, as if the clip took
+    five seconds) and has_video, which says whether the banner names a video stream."""
+    fps = F.coalesce(frame_rate(F.col("rate")), F.col("n_frames") / F.lit(5.0))
+    has_video = F.coalesce(F.col("banner").contains("Stream") & F.col("banner").contains("Video:"), F.lit(False))
+    return probes.withColumns({"duration": F.coalesce(F.col("duration").try_cast("double"), F.lit(0.0)), "fps": fps, "has_video": has_video}).drop("rate", "banner")
+
+
+def first_files(files: DataFrame) -> DataFrame:
+    """(folder, path): the first file by path of each folder."""
+    folder = F.regexp_replace("path", "/[^/]*$", "")
+    return files.groupBy(folder.alias("folder")).agg(F.min("path").alias("path"))

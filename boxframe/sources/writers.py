@@ -35,3 +35,8 @@ def label_map_text(labels: DataFrame) -> DataFrame:
 
 def write_label_map(labels: DataFrame, path: str) -> None:
     label_map_text(labels).coalesce(1).write.text(path)
+
+
+def write_markers(rows: DataFrame, path: str) -> None:
+    """Status markers (clip, kind, reason) are appended; one kind is one folder."""
+    rows.write.mode("append").partitionBy("kind").parquet(path)

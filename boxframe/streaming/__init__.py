@@ -15,8 +15,14 @@ from boxframe.operators.kalman import P0, Q, R
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new folder below the session's spark.checkpoint.dir, or a temporary one if none is set."""
-    return f"{spark.conf.get('spark.checkpoint.dir', '') or tempfile.mkdtemp(prefix='spark-')}/{name}-{uuid.uuid4().hex}"
+    """A new folder below the session's spark.checkpoint.dir, or, in local mode
+    only, below a temporary one if none is set."""
+    folder = spark.conf.get("spark.checkpoint.dir", "")
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="spark-")
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
 def event_stream(spark: SparkSession, sf_dir: str, name: str = "events", files: int = 16) -> DataFrame:
@@ -45,6 +51,18 @@ def sliding_counts(stream: DataFrame, size: str = "1 day", slide: str = "12 hour
     return windows.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "event_type", "n")
 
 
+def tumbling_counts(stream: DataFrame, size: str = "1 second", late: str = "1 day") -> DataFrame:
+    """(start, n): events in each window of `size`, at whose start detectors run again."""
+    windows = stream.withWatermark("ts", late).groupBy(F.window("ts", size).alias("w")).agg(F.count("*").alias("n"))
+    return windows.select(F.col("w.start").alias("start"), "n")
+
+
+def once(stream: DataFrame, keys: list[str], late: str = "1 day") -> DataFrame:
+    """Rows of work that were not met before within the watermark: with the checkpoint, a job that
+    starts again does no work twice."""
+    return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
+
+
 STATE = "p array<double>, v array<double>, a double, b double, c double"
 
 

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from boxframe.functions import geometry as G
 from boxframe.functions import text as X
-from boxframe.operators import assign, dedupe, kalman, status
+from boxframe.operators import assign, dedupe, evaluate, kalman, status
 from boxframe.operators import tracks as K
 from boxframe.plans.queries import ORACLE_SQL, QUERIES
+from boxframe.plans.views import tracks
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -57,7 +58,7 @@ def test_degenerate_boxes(spark):
 
 def test_dedupe_equals_a_loop_and_is_idempotent(spark):
     rows = boxes(60)
-    got = dedupe.dedupe_by_confidence(spark.createDataFrame(rows, DET), 0.3, 0.3, 20.0)
+    got = dedupe.dedupe_by_confidence(spark.createDataFrame(rows, DET), 0.3, 0.3, 20.0, ["video_id"])
     kept = set()
     for video in range(3):
         held = []
@@ -68,7 +69,13 @@ def test_dedupe_equals_a_loop_and_is_idempotent(spark):
                 held.append(r)
         kept |= {r[1] for r in held}
     assert {r.det_id for r in got.collect()} == kept
-    assert {r.det_id for r in dedupe.dedupe_by_confidence(got, 0.3, 0.3, 20.0).collect()} == kept
+    assert {r.det_id for r in dedupe.dedupe_by_confidence(got, 0.3, 0.3, 20.0, ["video_id"]).collect()} == kept
+
+
+def test_boxes_of_other_frames_do_not_compete(spark):
+    rows = [("v", f, 0, "a", 0.9, 0.0, 0.0, 10.0, 10.0) for f in (0, 30)] + [("v", 30, 1, "a", 0.8, 0.0, 0.0, 10.0, 9.0)]
+    d = spark.createDataFrame(rows, "video_id string, frame_idx int, det_id long, class_name string, confidence double, x1 double, y1 double, x2 double, y2 double")
+    assert sorted((r.frame_idx, r.det_id) for r in dedupe.nms(d).collect()) == [(0, 0), (30, 0)]
 
 
 def test_kalman_equals_matrices(spark):
@@ -103,6 +110,129 @@ def test_assignment_is_optimal():
         assert len(got) == small and abs(sum(cost[r, c] for r, c in got) - best) < 1e-9
 
 
+CHUNKS = "clip string, chunk long, det_id long, class_name string, x1 double, y1 double, x2 double, y2 double"
+
+
+def stitched(spark, rows):
+    got = assign.stitch(spark.createDataFrame(rows, CHUNKS), "clip").collect()
+    return {(r.clip, r.chunk, r.det_id): (r.track_id, r.class_name) for r in got}
+
+
+def test_stitched_tracks_stay_active(spark):
+    a, b = (0.0, 0.0, 10.0, 10.0), (50.0, 50.0, 60.0, 60.0)
+    got = stitched(spark, [("v", 0, 0, "x", *a), ("v", 0, 1, "y", *b), ("v", 1, 0, "x", *a), ("v", 2, 0, "z", *a), ("v", 2, 1, "y", *b)])
+    assert [got["v", 2, i] for i in (0, 1)] == [(1000, "z"), (1001, "y")] and got["v", 0, 0] == (1000, "z")
+    gap = stitched(spark, [("v", 0, 0, "x", *a), ("v", 2, 0, "x", *a), ("v", 3, 0, "x", *a), ("v", 3, 1, "x", *a)])
+    assert gap["v", 2, 0][0] == 1001 and {gap["v", 3, i][0] for i in (0, 1)} == {1000, 1001}
+    lost = assign.stitch(spark.createDataFrame([("v", c, 0, "x", *a) for c in (0, 1)], CHUNKS), "clip", propagate=lambda boxes: boxes * np.nan)
+    assert sorted(r.track_id for r in lost.collect()) == [1000, 1001]
+
+
+def test_stitching_equals_brute_force(spark):
+    """Against every assignment, on random boxes over chunks with gaps."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for clip in "abcd":
+        for chunk in rng.permutation(6)[:5]:
+            for i in range(rng.integers(1, 4)):
+                x, y = (float(v) for v in rng.random(2).round(3) * 30)
+                rows.append((clip, int(chunk), i, "c", x, y, x + 20 + float(rng.random()), y + 20 + float(rng.random())))
+    got = stitched(spark, rows)
+    for clip in "abcd":
+        state, last, ids = {}, None, {}
+        for chunk in sorted({r[1] for r in rows if r[0] == clip}):
+            now = [r for r in rows if r[:2] == (clip, chunk)]
+            pairs = []
+            if last == chunk - 1:
+                old, n = sorted(state), min(len(state), len(now))
+                choices = (list(zip(o, d)) for o in itertools.combinations(old, n) for d in itertools.permutations(range(len(now)), n))
+                cost = lambda p: sum(1 - py_iou(state[o], now[d][4:]) for o, d in p)  # noqa: B023, E731
+                pairs = [(o, d) for o, d in min(choices, key=cost) if 1 - py_iou(state[o], now[d][4:]) <= 0.85]
+            taken = {d: o for o, d in pairs}
+            for d, r in enumerate(now):
+                if d not in taken:
+                    taken[d] = 1000 + len(state)
+                    state[taken[d]] = None
+                state[taken[d]] = r[4:]
+                ids[clip, chunk, r[2]] = taken[d]
+            last = chunk
+        assert ids == {k: v[0] for k, v in got.items() if k[0] == clip}
+
+
+def test_assigned_boxes_equal_brute_force(spark):
+    got = {}
+    for r in QUERIES["assign_hungarian"](spark, SF).collect():
+        got.setdefault((r.video_id, r.chunk), set()).add((r.track_id, r.det_id))
+    rows = [r for r in tracks(spark, SF).where("has_box and frame_idx % 30 in (0, 29)").collect()]
+    left, right = {}, {}
+    for r in rows:
+        side, chunk = (left, r.frame_idx // 30 + 1) if r.frame_idx % 30 == 29 else (right, r.frame_idx // 30)
+        side.setdefault((r.track_id // 10, chunk), {})[r.track_id] = (r.x1, r.y1, r.x2, r.y2)
+    checked = 0
+    for key in set(left) & set(right):
+        a, b = left[key], right[key]
+        if min(len(a), len(b)) <= 4:
+            small, large = (a, b) if len(a) <= len(b) else (b, a)
+            best = min(sum(1 - py_iou(small[s], large[t]) for s, t in zip(small, p)) for p in itertools.permutations(large, len(small)))
+            pairs = got.get(key, set())
+            unmatched = min(len(a), len(b)) - len(pairs)
+            total = sum(1 - py_iou(a[t], b[d]) for t, d in pairs)
+            assert all(1 - py_iou(a[t], b[d]) <= 0.85 for t, d in pairs) and best - unmatched - 1e-9 <= total <= best + 1e-9
+            checked += 1
+    assert not (set(got) - set(left) & set(right)) and (checked or not got)
+
+
+def test_hooks_take_any_function(spark):
+    import pandas as pd
+
+    from boxframe.plans import hooks
+
+    frames = spark.createDataFrame([("v", i, b"x") for i in range(3)], "clip_id string, frame_idx long, content binary")
+    box = {"x1": 0.0, "y1": 0.0, "x2": 9.0, "y2": 9.0}
+    dets = hooks.detect(frames, lambda b: b[["clip_id", "frame_idx"]].assign(det_id=0, class_name="person", confidence=0.9, **box))
+    assert dets.count() == 3 and dets.schema["x2"].dataType.typeName() == "double"
+    here = frames.join(dets, ["clip_id", "frame_idx"])
+    assert hooks.masks(here, lambda b: b[["clip_id", "frame_idx", "det_id"]].assign(mask=b"\x01")).where("length(mask) = 1").count() == 3
+    points = hooks.keypoints(here, lambda b: b[["clip_id", "frame_idx", "det_id"]].assign(points=[[{"x": 1.0, "y": 2.0, "score": 0.5}]] * len(b)))
+    assert points.where("points[0].y = 2").count() == 3
+    videos = spark.createDataFrame([("v", "/v.mp4")], "video_id string, path string")
+    scenes = hooks.scenes(videos, lambda b: pd.DataFrame({"video_id": "v", "scene_idx": [1, 2], "start_sec": [0.0, 4.0], "end_sec": [4.0, 9.0]}))
+    assert [r.start_sec for r in scenes.orderBy("scene_idx").collect()] == [0.0, 4.0]
+    seeds = dets.where("frame_idx = 0").select("clip_id", "det_id", *box)
+    moved = hooks.propagate(seeds, lambda b: pd.DataFrame({"clip_id": "v", "track_id": 0, "frame_idx": range(4), **box}))
+    assert moved.count() == 4
+    poses = hooks.poses(frames, lambda b: pd.DataFrame({"clip_id": "v", "i": range(len(b)), "m": [[0.0] * 12] * len(b)}))
+    assert poses.count() == 3
+    assert spark.range(2).select(hooks.label(F.lit("?"), lambda s: s + "[]").alias("r")).first().r == "?[]"
+
+
+def test_documents_of_scenes_go_before_parts(spark):
+    docs = spark.createDataFrame([("s", None, 2), ("s", 1, 9), ("p", 2, 3), ("p", 4, 0)], "clip string, part int, n_frames int")
+    assert sorted(map(tuple, evaluate.processed_frames(docs, "clip", 10).collect())) == [("p", 10), ("p", 11), ("p", 12), ("s", 0), ("s", 1)]
+
+
+def test_markers_and_summary(spark, tmp_path):
+    from boxframe.sources import writers
+
+    clips = status.skip_reasons(spark.createDataFrame([("a", 301, 0.5), ("b", 1, 0.5), ("c", 2, 0.5), ("d", 9, None)], "clip string, n_frames int, motion double"))
+    assert {r.clip: r.reason and r.reason.split(":")[0] for r in clips.collect()} == {"a": "too_long", "b": None, "c": "camera_motion", "d": None}
+    for _ in range(2):
+        writers.write_markers(status.markers(clips, "clip"), str(tmp_path / "m"))
+    back = spark.read.parquet(str(tmp_path / "m"))
+    assert back.count() == 4 and tuple(status.summary(clips, back, "clip").first()) == (4, 2, 2, 1, 1)
+
+
+def test_long_folds(spark):
+    """Tracks at and around the fold's block size, and a long one that must end soon."""
+    import time
+
+    d = spark.createDataFrame([(n,) for n in (1, 255, 256, 257, 513, 40000)], "track_id int").select("track_id", F.explode(F.sequence(F.lit(0), F.col("track_id") - 1)).alias("frame_idx"))
+    d = d.withColumns({c: F.col("frame_idx") * 1.0 + i for i, c in enumerate(("x1", "y1", "x2", "y2"))})
+    start = time.perf_counter()
+    got = {r.track_id: r for r in kalman.smooth_tracks(d, ["track_id"]).groupBy("track_id").agg(F.count("*").alias("n"), F.count_distinct("frame_idx").alias("m"), F.max(F.abs(F.col("x1") - F.col("frame_idx"))).alias("off")).collect()}
+    assert all(r.n == r.m == n and r.off < 2 for n, r in got.items()) and len(got) == 6 and time.perf_counter() - start < 60
+
+
 def test_replies(spark):
     replies = ["[]", 'sure: [{"label":" Robotic Arm ","bbox_2d":[100,200,300,400]}] ok', '[{"bbox_2d":[1,2,3,4]}]', '[{"label":"a","bbox_2d":[1,2,3,4]},{"label":"b"}]', '[{"label":"a","bbox', "none"]
     d = spark.createDataFrame([(i, r) for i, r in enumerate(replies)], "i int, r string")
