@@ -10,6 +10,9 @@ from boxframe.llm.common import WORD_SEPARATORS, partitions_for, settle, text_of
 MIN_WORDS = 5
 #: At most so many lines (8 bytes and a place each) are broadcast.
 BROADCAST_LINES = 100_000
+#: A line that is more than one in HOT_SHARE lines is dealt over SPREAD parts; there are fewer
+#: than HOT_SHARE such lines.
+HOT_SHARE, SPREAD = 1000, 64
 #: Parts of the second, finer test of lines that share a half.
 FINE_PARTS = 16
 
@@ -135,6 +138,19 @@ def line_rows(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> Da
     return rows.where("line <> ''").where(spaces >= min_words - 1)
 
 
+def spread_join(rows: DataFrame, again: DataFrame, lines: DataFrame) -> DataFrame:
+    """`rows` (doc, pos, h) with the (h, first, n, near) of their line. Rows of a very common line
+    are dealt over `SPREAD` parts, and its facts go to each of them."""
+    total = lines.agg(F.sum("n")).first()[0] or 0
+    common = F.col("n") * HOT_SHARE > total
+    # Fewer than HOT_SHARE lines can each be more than one in HOT_SHARE.
+    hot = F.broadcast(lines.where(common).select("h", F.lit(SPREAD).alias("parts")))
+    dealt = F.coalesce(F.pmod(F.xxhash64("doc", "pos"), "parts").cast("int"), F.lit(0))
+    rows = rows.join(hot, "h", "left").select("doc", "pos", "h", dealt.alias("part"))
+    parts = F.when(common, F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))
+    return rows.join(again.withColumn("part", F.explode(parts)), ["h", "part"])
+
+
 def dropped_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(doc, dropped): the numbers of each document's lines that repeat an earlier line."""
     rows = line_rows(docs, id_col, text_col, min_words).select("doc", "pos", F.xxhash64("line").alias("h"), "line")
@@ -143,8 +159,8 @@ def dropped_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     first = narrow.groupBy("h").agg(F.min(F.struct("doc", "pos", "keys")).alias("m"), F.count("*").alias("n"))
     lines = settle(first.select("h", F.struct("m.doc", "m.pos").alias("first"), "n", "m.keys"))
     near = near_lines(lines, rows)
-    again = lines.select("h", "first", "n").join(near, "h", "left").where("n > 1 or near is not null").drop("n")
-    seen = narrow.select("doc", "pos", "h").join(again, "h")
+    again = lines.select("h", "first", "n").join(near, "h", "left").where("n > 1 or near is not null")
+    seen = spread_join(narrow.select("doc", "pos", "h"), again, lines)
     mine = F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("pos") == F.col("first.pos"))
     gone = seen.where(F.col("near").isNotNull() | ~mine)
     return gone.groupBy("doc").agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
