@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxframe.llm import bpe, hnsw, line_dedup, minhash, nbsvm, packing, pitman_yor, quality_rules, secrets, sharding
+from boxframe.llm import bpe, exact_dedup, hnsw, line_dedup, merkle, minhash, nbsvm, packing, pitman_yor, quality_rules, resample, secrets, sharding
 from boxframe.llm.common import table
 
 
@@ -76,6 +76,29 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_pitman_yor, op2_bpe, op3_sharding, op4_minhash_dedup, op5_embedding_dedup, op6_packing, op7_quality_classifier, op8_line_dedup, op9_secrets, op10_quality_rules)}
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(table(spark, sf_dir, "documents"))
 
-ORACLE_SQL = {"op8_line_dedup": line_dedup.ORACLE, "op9_secrets": secrets.oracle(), "op10_quality_rules": quality_rules.ORACLE}
+
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+_ALL = (
+    op1_pitman_yor, op2_bpe, op3_sharding, op4_minhash_dedup, op5_embedding_dedup, op6_packing, op7_quality_classifier,
+    op8_line_dedup, op9_secrets, op10_quality_rules, op11_merkle, op12_resample, op13_exact_dedup,
+)
+QUERIES = {f.__name__: f for f in _ALL}
+
+ORACLE_SQL = {
+    "op8_line_dedup": line_dedup.ORACLE,
+    "op9_secrets": secrets.oracle(),
+    "op10_quality_rules": quality_rules.ORACLE,
+    "op11_merkle": merkle.oracle(),
+    "op12_resample": resample.ORACLE,
+    "op13_exact_dedup": exact_dedup.ORACLE,
+}
