@@ -701,16 +701,6 @@ def stream_sliding_actions(spark, sf):
     return out.select(F.col("start").cast("timestamp_ntz").cast("string").alias("start"), F.col("end").cast("timestamp_ntz").cast("string").alias("end"), "event_type", "n")
 
 
-@query()
-def stream_kalman(spark, sf):
-    """The smoother as a stream over the events; tests compare it with the batch form."""
-    e = streaming.event_stream(spark, sf)
-    k = F.get_json_object("props", "$.k").cast("double")
-    boxes = e.select(F.col("user_id").alias("track_id"), F.col("event_id").alias("frame_idx"), (200 + k).alias("cx"), (100 + k / 2).alias("cy"), (80 + k % 40).alias("w"), (120 + k % 60).alias("h"))
-    out = streaming.run_to_table(streaming.smooth_stream(boxes, "track_id"), "append")
-    return out.select("track_id", "frame_idx", *rounded(["cx", "cy", "w", "h"], 4))
-
-
 @query("select to_timestamp(floor(epoch(ts) / 3600) * 3600)::timestamp::varchar as \"start\", count(*) n from events group by 1")
 def stream_tumbling(spark, sf):
     out = streaming.run_to_table(streaming.tumbling_counts(streaming.event_stream(spark, sf), "1 hour"), "complete")

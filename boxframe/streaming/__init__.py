@@ -1,17 +1,13 @@
-"""Structured Streaming forms of the window and smoothing operators."""
+"""Structured Streaming forms of the window operators; keyed state is in `ordered`."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from boxframe.operators.kalman import P0, Q, R
+from pyspark.sql.streaming import StreamingQuery
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -63,30 +59,33 @@ def once(stream: DataFrame, keys: list[str], late: str = "1 day") -> DataFrame:
     return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
-STATE = "p array<double>, v array<double>, a double, b double, c double"
-
-
-def smooth_stream(boxes: DataFrame, key: str, dt: float = 1.0) -> DataFrame:
-    """Kalman smoothing of boxes (key, frame_idx, cx, cy, w, h) with the filter kept as state by
-    track; a batch's rows of a track are taken by frame."""
-
-    def advance(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values("frame_idx")
-        p, v, a, b, c = state.get if state.exists else ([0.0] * 4, [0.0] * 4, P0, 0.0, P0)
-        p, v, out = list(p), list(v), []
-        for row in rows.itertuples():
-            p = [x + dt * y for x, y in zip(p, v)]
-            a, b, c = a + 2 * dt * b + dt * dt * c + Q, b + dt * c, c + Q
-            z = (row.cx, row.cy, row.w, row.h)
-            if not pd.isna(row.cx):
-                k1, k2 = a / (a + R), b / (a + R)
-                gap = [x - y for x, y in zip(z, p)]
-                p, v = [x + k1 * g for x, g in zip(p, gap)], [x + k2 * g for x, g in zip(v, gap)]
-                a, b, c = a * (1 - k1), b * (1 - k1), c - k2 * b
-                out.append((group[0], row.frame_idx, *p))
-        state.update((p, v, a, b, c))
-        yield pd.DataFrame(out, columns=[key, "frame_idx", "cx", "cy", "w", "h"])
-
-    kind = dict(boxes.dtypes)[key]
-    schema = f"{key} {kind}, frame_idx long, cx double, cy double, w double, h double"
-    return boxes.groupBy(key).applyInPandasWithState(advance, schema, STATE, "append", GroupStateTimeout.NoTimeout)
+#: A time after all others: the row that bears it lets the watermark pass all rows of a replay.
+END_MS = 4_102_444_800_000
+
+
+def replayed(rows: DataFrame, time: str, files: int = 3) -> DataFrame:
+    """A stream of the rows of a table in `files` batches, each with rows of all times, and of one
+    closing row whose other values are -1 (numbers) or empty. It is written below the shared folder."""
+    spark = rows.sparkSession
+    folder = shared_path(spark, "replay")
+    part = F.pmod(F.xxhash64(*rows.columns), files)
+    value = lambda c, t: F.timestamp_millis(F.lit(END_MS)) if c == time else F.lit("" if t == "string" else -1)
+    closing = spark.range(1).select(*[value(c, t).cast(t).alias(c) for c, t in rows.dtypes])
+    for i in range(files):
+        rows.where(part == i).write.parquet(f"{folder}/{i}")
+    closing.coalesce(1).write.parquet(f"{folder}/{files}")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4)
+    return stream.option("recursiveFileLookup", True).parquet(folder)
+
+
+def session_counts(stream: DataFrame, key: str, gap: str = "1 hour", late: str = "1 day") -> DataFrame:
+    """(key, start, end, n): runs of a key's events in which no two neighbours are `gap` or more
+    apart. Rows older than the watermark are dropped; `dropped_rows` counts them."""
+    rows = stream.withWatermark("ts", late) if stream.isStreaming else stream
+    sessions = rows.groupBy(F.session_window("ts", gap).alias("w"), key).agg(F.count("*").alias("n"))
+    return sessions.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+
+
+def dropped_rows(query: StreamingQuery) -> int:
+    """Rows that the watermark has dropped so far, as the query's own progress counts them."""
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])

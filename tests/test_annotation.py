@@ -280,17 +280,6 @@ def test_files_round_trip(spark, tmp_path):
     assert writers.label_map_text(labels).first()[0] == 'item {\n  name: "a"\n  label_id: 1\n  label_type: 2\n}'
 
 
-def test_stream_smoother_equals_batch(spark):
-    from boxframe.plans.views import table
-
-    got = {(r.track_id, r.frame_idx): r.cx for r in QUERIES["stream_kalman"](spark, SF).collect()}
-    k = F.get_json_object("props", "$.k").cast("double")
-    cx, cy, w, h = 200 + k, 100 + k / 2, 80 + k % 40, 120 + k % 60
-    b = table(spark, SF, "events").select(F.col("user_id").alias("track_id"), F.col("event_id").alias("frame_idx"), (cx - w / 2).alias("x1"), (cy - h / 2).alias("y1"), (cx + w / 2).alias("x2"), (cy + h / 2).alias("y2"))
-    want = kalman.smooth_tracks(b, ["track_id"]).select("track_id", "frame_idx", ((F.col("x1") + F.col("x2")) / 2).alias("cx")).collect()
-    assert len(want) == len(got) and all(abs(got[r.track_id, r.frame_idx] - r.cx) < 1e-3 for r in want)
-
-
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
