@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from boxframe.llm.common import WORD_SEPARATORS, partitions_for, settle, text_of, without
 
-MIN_WORDS = 5
+#: Shorter lines go only if an equal line stands earlier: one edit makes another line of them.
+EDIT_CHARS = 20
 #: At most so many lines (8 bytes and a place each) are broadcast.
 BROADCAST_LINES = 100_000
 #: A line that is more than one in HOT_SHARE lines is dealt over SPREAD parts; there are fewer
@@ -130,12 +131,16 @@ def near_lines(lines: DataFrame, rows: DataFrame) -> DataFrame:
     return pairs.groupBy("h").agg(F.min("of_first").alias("near"))
 
 
-def line_rows(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+def line_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     # Lines are made inside the array, so the condition on them does not make them again.
     lines = F.transform(F.split(F.lower(text_of(text_col)), "\n"), normal_line)
     rows = docs.select(F.col(id_col).alias("doc"), F.posexplode(lines).alias("pos", "line"))
-    spaces = F.octet_length("line") - F.octet_length(F.replace(F.col("line"), F.lit(" "), F.lit("")))
-    return rows.where("line <> ''").where(spaces >= min_words - 1)
+    return rows.where("line <> ''")
+
+
+def line_hash(line: Column) -> Column:
+    """Two hashes, so that among 10^12 different lines no two are taken for equal."""
+    return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(1), line).alias("b"))
 
 
 def spread_join(rows: DataFrame, again: DataFrame, lines: DataFrame) -> DataFrame:
@@ -151,10 +156,11 @@ def spread_join(rows: DataFrame, again: DataFrame, lines: DataFrame) -> DataFram
     return rows.join(again.withColumn("part", F.explode(parts)), ["h", "part"])
 
 
-def dropped_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def dropped_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", edit_chars: int = EDIT_CHARS) -> DataFrame:
     """(doc, dropped): the numbers of each document's lines that repeat an earlier line."""
-    rows = line_rows(docs, id_col, text_col, min_words).select("doc", "pos", F.xxhash64("line").alias("h"), "line")
-    narrow = settle(rows.select("doc", "pos", "h", part_keys(F.col("line"), 2).alias("keys")))
+    rows = line_rows(docs, id_col, text_col).select("doc", "pos", line_hash(F.col("line")).alias("h"), "line")
+    keys = F.when(F.length("line") >= edit_chars, part_keys(F.col("line"), 2))
+    narrow = settle(rows.select("doc", "pos", "h", keys.alias("keys")))
     # A line's keys are the same at every place, so the first place brings them along.
     first = narrow.groupBy("h").agg(F.min(F.struct("doc", "pos", "keys")).alias("m"), F.count("*").alias("n"))
     lines = settle(first.select("h", F.struct("m.doc", "m.pos").alias("first"), "n", "m.keys"))
@@ -166,12 +172,13 @@ def dropped_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     return gone.groupBy("doc").agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
 
 
-def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", edit_chars: int = EDIT_CHARS) -> DataFrame:
     """`docs` with the repeated lines taken out of the text, and `n_dropped`, their number.
 
-    Lines (between line feeds) are compared in lower case with words one space apart. A line of
-    at least `min_words` words goes if an equal line, or one within one character's edit, stands
-    at an earlier place (document id, then line number); the earliest stays. Shorter lines stay.
+    Lines (between line feeds) are compared in lower case with words one space apart. A line of any
+    length goes if an equal line stands at an earlier place (document id, then line number), and
+    one of at least `edit_chars` characters also if such a line within one character's edit does;
+    the earliest stays. Lines without a character but white space stay.
 
     Equal lines are counted once before anything is joined (combined before the shuffle), so a
     line in a third of all documents is one row. Nulls: a null text stays null, a null id comes
@@ -181,7 +188,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     `n_dropped` is replaced.
     """
     docs = without(docs, "n_dropped")
-    dropped = dropped_lines(docs, id_col=id_col, text_col=text_col, min_words=min_words)
+    dropped = dropped_lines(docs, id_col=id_col, text_col=text_col, edit_chars=edit_chars)
     joined = docs.join(dropped.hint("shuffle_hash"), docs[id_col].eqNullSafe(dropped["doc"]), "left")
     parts = F.split(F.col(text_col), "\n")
     others = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "dropped")
@@ -193,10 +200,10 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 ORACLE = """
 with l as (select doc_id, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 pos,
         trim(regexp_replace(lower(unnest(string_split(coalesce(text, ''), chr(10)))), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), ' ') line, unnest(string_split(coalesce(text, ''), chr(10))) raw from documents),
-c as (select * from l where length(line) - length(replace(line, ' ', '')) >= 4),
+c as (select * from l where line <> ''),
 d as (select line, length(line) n, min({'d': doc_id, 'p': pos}) f from c group by line),
-k as (select line, n, f, n m, substring(line, 1, n // 2) a, right(line, n - n // 2) b from d
-      union all select line, n, f, n - 1 m, substring(line, 1, (n - 1) // 2) a, right(line, n - 1 - (n - 1) // 2) b from d),
+k as (select line, n, f, n m, substring(line, 1, n // 2) a, right(line, n - n // 2) b from d where n >= 20
+      union all select line, n, f, n - 1 m, substring(line, 1, (n - 1) // 2) a, right(line, n - 1 - (n - 1) // 2) b from d where n >= 20),
 p as (select x.line from k x join k y on x.m = y.m and x.a = y.a and y.f < x.f where levenshtein(x.line, y.line) = 1
       union select x.line from k x join k y on x.m = y.m and x.b = y.b and y.f < x.f where levenshtein(x.line, y.line) = 1),
 g as (select c.doc_id, c.pos from c join d using (line) where line in (select line from p) or d.f <> {'d': c.doc_id, 'p': c.pos})
