@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boxframe.llm.common import settle, text_of
+from boxframe.operators.folds import let, running
 
 #: (kind, pattern of two groups, least characters of the second group, weak?). A match counts
 #: if its second group is long enough; matches are the leftmost that do not overlap, per kind.
-#: Case is spelt out so that all regex engines read the patterns alike.
+#: Case is spelt out so that all regex engines read the patterns alike. A url is no candidate: it
+#: only says which characters belong to an address.
 ASSIGN = (
     "((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
     "[\"']?\\x20*[:=]\\x20*[\"']?)([A-Za-z0-9+/_.=-]+)"
@@ -21,31 +23,36 @@ KINDS = (
     ("login", "((?:[Ll]ogin|[Uu]ser(?:name)?|[Cc]lient_id|[Aa]ccount)[\"']?\\x20*[:=]\\x20*[\"']?)([A-Za-z0-9@._-]+)", 3, True),
     ("blob", "()([A-Za-z0-9/+]{24,})", 24, True),
     ("endpoint", "(https?://)([A-Za-z0-9.-]+)", 4, True),
+    ("url", "(https?://)([^\\x20\\x09-\\x0D\"'<>]+)", 1, True),
 )
 IDENTIFIERS, SECRETS = ("access", "login"), ("assign", "hex", "blob")
 SCOPE = 200
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
+#: What a text must contain for a kind to be looked for.
+HINTS = {"access": "AKIA", "endpoint": "://", "url": "://"}
+
+
 def matches(text: Column, kind: int) -> Column:
     """Spans of one kind in code points.
 
     `text` must be free of U+0001 and U+0003: they mark the matches and the border between the
     two groups, and the text between marks is then measured.
     """
-    _, pattern, least, _ = KINDS[kind]
+    name, pattern, least, _ = KINDS[kind]
+    none = F.expr(f"cast(array() as {SPAN})")
     parts = F.split(F.regexp_replace(text, pattern, "\x01$1\x03$2\x01"), "\x01")
 
-    def step(acc: Column, part: Column) -> Column:
+    def step(at: Column, part: Column) -> Column:
         border = F.locate("\x03", part)
-        size = F.length(part) - F.when(border > 0, 1).otherwise(0)
-        after = acc["at"] + size
+        after = at + F.length(part) - F.when(border > 0, 1).otherwise(0)
         good = (border > 0) & (F.length(part) - border >= least)
-        span = F.struct(acc["at"].alias("start"), F.lit(kind).alias("kind"), after.alias("end"))
-        return F.struct(after.alias("at"), F.when(good, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+        span = F.struct(at.alias("start"), F.lit(kind).alias("kind"), after.alias("end"))
+        return F.struct(after.alias("state"), F.when(good, span).alias("one"))
 
-    none = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {SPAN})").alias("out"))
-    return F.when(F.size(parts) > 1, F.aggregate(parts, none, step)["out"]).otherwise(F.expr(f"cast(array() as {SPAN})"))
+    found = let(parts, lambda p: F.when(F.size(p) > 1, F.filter(running(p, F.lit(0), SPAN[6:-1], step), lambda s: s.isNotNull())).otherwise(none))
+    return F.when(F.contains(text, F.lit(HINTS[name])), found).otherwise(none) if name in HINTS else found
 
 
 def spans_text(spans: Column) -> Column:
@@ -57,9 +64,10 @@ def link_parts(weak: DataFrame, scope: int = SCOPE) -> DataFrame:
     """(doc_id, key, linked): of the candidates `found` of each document, the strong ones and the
     weak ones whose complementary parts start within `scope` code points.
 
-    A login needs a secret part; a blob with digits needs an identifier or an endpoint; an
-    endpoint needs both. A weak candidate that overlaps a strong one is dropped. This is an
-    interval join of the parts of one document; ranges of a window give it without pairs.
+    A login needs a secret part; a blob with digits needs an identifier, as an address alone is
+    no credential; an endpoint needs both. A weak candidate that overlaps a strong one, and a blob
+    that is part of an address, are dropped. This is an interval join of the parts of one
+    document; ranges of a window give it without pairs.
     """
     each = weak.select("doc_id", "key", F.explode("found").alias("s")).select("doc_id", "key", "s.start", "s.kind", "s.end")
     is_kind = lambda *names: F.col("kind").isin([i for i, k in enumerate(KINDS) if k[0] in names])
@@ -70,12 +78,14 @@ def link_parts(weak: DataFrame, scope: int = SCOPE) -> DataFrame:
     strong_end = F.max(F.when(base, F.col("end"))).over(doc.rangeBetween(Window.unboundedPreceding, 0))
     strong_start = F.min(F.when(base, F.col("start"))).over(doc.rangeBetween(0, Window.unboundedFollowing))
     clear = F.coalesce(strong_end <= F.col("start"), F.lit(True)) & F.coalesce(strong_start >= F.col("end"), F.lit(True))
-    each = each.withColumn("clear", base | clear).where("clear")
-    each = each.withColumns({"id_near": seen(is_kind(*IDENTIFIERS)), "secret_near": seen(is_kind(*SECRETS)), "end_near": seen(is_kind("endpoint"))})
+    url_end = F.max(F.when(is_kind("url"), F.col("end"))).over(doc.rangeBetween(Window.unboundedPreceding, 0))
+    address = is_kind("blob") & F.coalesce(url_end > F.col("start"), F.lit(False))
+    each = each.withColumn("clear", base | (clear & ~address & ~is_kind("url"))).where("clear")
+    each = each.withColumns({"id_near": seen(is_kind(*IDENTIFIERS)), "secret_near": seen(is_kind(*SECRETS))})
     keep = (
         base
         | (is_kind("login") & F.col("secret_near"))
-        | (is_kind("blob") & (F.col("id_near") | F.col("end_near")))
+        | (is_kind("blob") & F.col("id_near"))
         | (is_kind("endpoint") & F.col("id_near") & F.col("secret_near"))
     )
     return each.where(keep).groupBy("doc_id", "key").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("linked"))
@@ -88,7 +98,7 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     the text. Texts are read once and give narrow rows; only documents with weak candidates are
     shuffled, by document, so a hot source is no hot group.
 
-    Null and empty texts have no spans. Repeated rows get equal results each. Ties at one start
+    Null and empty texts have no spans; very long ones are folded in blocks. Repeated rows get equal results each. Ties at one start
     are ordered by kind. An empty table gives no rows; other columns are not carried.
     """
     clean = F.translate(text_of(text_col), "\x01\x03", "\x02\x02")
@@ -97,6 +107,8 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("key"), clean.alias("clean"), *row)
     digits = lambda s: F.substring(F.col("clean"), s["start"] + 1, s["end"] - s["start"]).rlike("[0-9]")
     rows = rows.select("doc_id", "key", "clean", *also, *[matches(F.col("clean"), i).alias(k[0]) for i, k in enumerate(KINDS)])
+    # Addresses matter only where a blob might be part of one.
+    rows = rows.withColumn("url", F.when(F.size("blob") > 0, F.col("url")).otherwise(F.expr(f"cast(array() as {SPAN})")))
     rows = rows.withColumn("blob", F.when(F.size("blob") > 0, F.filter("blob", digits)).otherwise(F.col("blob")))
     strong = [k[0] for k in KINDS if not k[3]]
     rows = rows.select(
@@ -135,11 +147,11 @@ f as (select m.rid, kind, "start", "start" + n "end" from m join d using (rid) w
         and (kind <> {ids("blob")} or regexp_matches(substring(d.t, "start" + 1, n), '[0-9]'))),
 o as (select *, kind in ({strong}) base,
         max(case when kind in ({strong}) then "end" end) over (partition by rid order by "start" range between unbounded preceding and current row) pe,
-        min(case when kind in ({strong}) then "start" end) over (partition by rid order by "start" range between current row and unbounded following) ns from f),
-c as (select * from o where base or (coalesce(pe <= "start", true) and coalesce(ns >= "end", true))),
-n as (select *, max((kind in ({ids(*IDENTIFIERS)}))::int) over ({near}) a, max((kind in ({ids(*SECRETS)}))::int) over ({near}) s,
-        max((kind in ({ids("endpoint")}))::int) over ({near}) e from c),
-k as (select * from n where base or (kind = {ids("login")} and s = 1) or (kind = {ids("blob")} and (a = 1 or e = 1)) or (kind = {ids("endpoint")} and a = 1 and s = 1)),
+        min(case when kind in ({strong}) then "start" end) over (partition by rid order by "start" range between current row and unbounded following) ns,
+        max(case when kind = {ids("url")} then "end" end) over (partition by rid order by "start" range between unbounded preceding and current row) ue from f),
+c as (select * from o where base or (kind <> {ids("url")} and coalesce(pe <= "start", true) and coalesce(ns >= "end", true) and not (kind = {ids("blob")} and coalesce(ue > "start", false)))),
+n as (select *, max((kind in ({ids(*IDENTIFIERS)}))::int) over ({near}) a, max((kind in ({ids(*SECRETS)}))::int) over ({near}) s from c),
+k as (select * from n where base or (kind = {ids("login")} and s = 1) or (kind = {ids("blob")} and a = 1) or (kind = {ids("endpoint")} and a = 1 and s = 1)),
 g as (select rid, count(*) filter (kind = 0) n_assign, count(*) filter (kind = 1) n_access, count(*) filter (kind = 2) n_hex,
         {listed} filter (base) b, {listed} al from k group by rid)
 select doc_id, coalesce(n_assign, 0)::bigint n_assign, coalesce(n_access, 0)::bigint n_access, coalesce(n_hex, 0)::bigint n_hex,
