@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
 from collections.abc import Iterator
@@ -14,7 +15,10 @@ from pyspark.sql import functions as F
 from boxframe.llm.common import text_of
 
 CODED = "doc_id long, ids binary, decoded string"
-CACHE_PIECES = 800_000
+#: Kept pieces, by number and by characters.
+CACHE_PIECES, CACHE_CHARS = 800_000, 50_000_000
+#: Longer words are merged by a heap.
+HEAP_BYTES = 100
 NO_MERGE = (1 << 60, -1)
 
 #: Fixed value: the pattern by which the byte-level pre-tokenizer of the public files cuts text.
@@ -77,10 +81,13 @@ class SpeculativeBpe:
         self.cut = re.compile("|".join(map(re.escape, self.special))) if self.special else None
         self.own: dict[int, bool] = {}
         self.cache: dict[str, bytes] = {}
+        self.cached_chars = 0
         self.counts = {"proposed": 0, "merged": 0}
 
     def merge_exactly(self, word: bytes) -> list[int]:
         """Merge the pair of lowest rank, the leftmost of equals, until none is left."""
+        if len(word) > HEAP_BYTES:
+            return self._merge_by_heap(word)
         one, merge, none = self.one, self.merge, NO_MERGE
         ids = [one[b] for b in word]
         ranks = [merge.get(p, none) for p in zip(ids, ids[1:])]
@@ -97,6 +104,27 @@ class SpeculativeBpe:
                 ranks[at] = merge.get((ids[at], ids[at + 1]), none)
         return ids
 
+    def _merge_by_heap(self, word: bytes) -> list[int]:
+        """The same for long words: pairs wait in a heap, tokens are a linked list of places."""
+        merge, n = self.merge, len(word)
+        ids = [self.one[b] for b in word]
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap = [(found[0], i, pair, found[1]) for i, pair in enumerate(zip(ids, ids[1:])) if (found := merge.get(pair))]
+        heapq.heapify(heap)
+        while heap:
+            _, at, pair, made = heapq.heappop(heap)
+            right = after[at]
+            if right >= n or ids[at] != pair[0] or ids[right] != pair[1]:
+                continue  # one of the two has been merged since
+            ids[at], ids[right] = made, -1
+            after[at] = after[right]
+            if after[at] < n:
+                before[after[at]] = at
+            for i in (before[at], at):
+                if i >= 0 and after[i] < n and (found := merge.get((ids[i], ids[after[i]]))):
+                    heapq.heappush(heap, (found[0], i, (ids[i], ids[after[i]]), found[1]))
+        return [i for i in ids if i >= 0]
+
     def _is_own(self, token: int) -> bool:
         if token not in self.own:
             self.own[token] = self.merge_exactly(self.bytes_of[token]) == [token]
@@ -182,9 +210,11 @@ class SpeculativeBpe:
             rows.append(row + self._cut(text[at:] if at else text))
         pieces = {p for row in rows for p in row}.difference(self.special.values())
         missing = pieces.difference(self.cache)
-        if len(self.cache) + len(missing) > CACHE_PIECES:
+        chars = sum(map(len, missing))
+        if len(self.cache) + len(missing) > CACHE_PIECES or self.cached_chars + chars > CACHE_CHARS:
             self.cache.clear()
-            missing = pieces
+            missing, self.cached_chars, chars = pieces, 0, sum(map(len, pieces))
+        self.cached_chars += chars
         self._learn(list(missing))
         self.cache.update((i, np.array([i], "<u4").tobytes()) for i in self.special.values())
         return [b"".join(map(self.cache.__getitem__, row)) for row in rows]
@@ -211,7 +241,8 @@ def encode_and_decode(
 
     Nothing is shuffled; a task works through its rows in blocks of about `batch_chars`
     characters, so memory is bounded by the block and the piece cache. The string of a special
-    token in a text becomes its id, as the tokenizers library has it. Null and empty texts give
+    token in a text becomes its id, as the tokenizers library has it. A very long text is a block of
+    its own, and one long word in it is merged by a heap, in n log n steps. Null and empty texts give
     no ids and an empty string; null ids, ties and repeated rows pass through row by row; an empty
     table gives no rows; other columns are not carried.
     """
