@@ -15,13 +15,14 @@ from pyspark.sql import functions as F
 from boxframe.llm.common import text_of
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-CACHE_WORDS = 800_000
+#: Kept words, by number and by characters.
+CACHE_WORDS, CACHE_CHARS = 800_000, 50_000_000
 #: More open windows than this are poured together early, so a packer's memory is bounded.
 OPEN_WINDOWS = 4096
 
 #: A "." or "," with no other mark beside it.
 LONE_MARK = re.compile(r"([.,])(?<![^\w\s][.,])(?<![_\x1c-\x1f][.,])(?![^\w\s]|[_\x1c-\x1f])")
-#: Letters whose lower case depends on their neighbours, or leaves the composed form.
+#: Letters whose lower case depends on their neighbours, or is another in the library.
 ODD_CASE = re.compile("[\u03a3\u0130]")
 
 _encoders: dict[str, "WordEncoder"] = {}
@@ -48,6 +49,7 @@ class WordEncoder:
         self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends_word[ends] = True
         self.cache: dict[str, bytes] = {}
+        self.cached_chars = 0
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
@@ -79,15 +81,18 @@ class WordEncoder:
     def encode(self, text: str) -> bytes:
         if any(s in text for s in self.special):
             return self._ids(text).tobytes()
-        if is_normalized("NFC", text) and not ODD_CASE.search(text):
-            text = LONE_MARK.sub(r" \1 ", text.lower())
+        if is_normalized("NFC", text) and not ODD_CASE.search(text) and is_normalized("NFC", low := text.lower()):
+            text = LONE_MARK.sub(r" \1 ", low)
         pieces = text.replace("\n", " ").split(" ")
         cache = self.cache
         missing = set(pieces).difference(cache)
         if missing:
-            if len(cache) + len(missing) > CACHE_WORDS:
+            chars = sum(map(len, missing))
+            if len(cache) + len(missing) > CACHE_WORDS or self.cached_chars + chars > CACHE_CHARS:
                 cache.clear()
-                missing = set(pieces)
+                missing, self.cached_chars = set(pieces), 0
+                chars = sum(map(len, missing))
+            self.cached_chars += chars
             self._learn(list(missing))
         return b"".join(map(cache.__getitem__, pieces))
 
