@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from boxframe.llm import line_dedup, minhash, nbsvm, packing, secrets
 from boxframe.llm.common import remove_folder, settle, shared_folder, table
 from boxframe.llm.queries import tokenizer_path
+from boxframe.operators.folds import running
 
 #: A found secret's text is replaced by this and its kind.
 MASK = "[{}]"
@@ -58,14 +59,14 @@ def mask_spans(text, spans):
     The pieces are joined once, at the end."""
     names = F.array(*[F.lit(MASK.format(k[0])) for k in secrets.KINDS])
 
-    def step(acc, s):
-        before = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.array(before, F.get(names, s["kind"])))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+    def step(at, s):
+        before = F.substring(text, at + 1, s["start"] - at)
+        put = F.when(s["start"] >= at, F.concat(before, F.get(names, s["kind"]))).otherwise("")
+        return F.struct(F.greatest(at, s["end"]).alias("state"), put.alias("one"))
 
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
-    ends = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text)))
-    return F.aggregate(spans, start, step, ends)
+    last = F.coalesce(F.array_max(F.transform(spans, lambda s: s["end"])), F.lit(0))
+    rest = F.substring(text, last + 1, F.length(text))
+    return F.concat(F.array_join(running(spans, F.lit(0), "string", step), ""), rest)
 
 
 def with_length(docs: DataFrame, like: DataFrame) -> DataFrame:
