@@ -36,10 +36,13 @@ def stem(path: Column) -> Column:
     return F.substring_index(F.element_at(F.split(path, "/"), -1), ".", 1)
 
 
-def natural_key(name: Column, width: int = 8) -> Column:
-    """A key whose order as text is the order of the numbers in it: digit runs are zero-padded."""
+def natural_key(name: Column) -> Column:
+    """A key whose order as text is the order of the numbers in it: runs of digits lose leading
+    zeros and follow the number of digits that are left, of which a run has fewer than 10,000."""
     runs = F.split(F.regexp_replace(name, r"(\d+)", "\x01$1\x01"), "\x01")
-    return F.array_join(F.transform(runs, lambda r: F.when(r.rlike(r"^\d+$"), F.lpad(r, width, "0")).otherwise(r)), "")
+    bare = lambda r: F.regexp_replace(r, "^0+", "")
+    sized = lambda r: F.concat(F.lpad(F.length(bare(r)).cast("string"), 4, "0"), bare(r))
+    return F.array_join(F.transform(runs, lambda r: F.when(r.rlike(r"^\d+$"), sized(r)).otherwise(r)), "")
 
 
 def replied_boxes(reply: Column) -> Column:

@@ -480,9 +480,14 @@ def window_key_parse(spark, sf):
     return rows.groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n"), F.max("s").alias("start_f"), F.max("e").alias("end_f"))
 
 
-@query(f"""select p_partkey, 'v' || lpad(p_partkey::varchar, 8, '0') || '_scene' || lpad((p_partkey % 40)::varchar, 8, '0') || case when p_partkey % 2 = 0 then '_part' || lpad((p_size % 12)::varchar, 8, '0') else '' end sort_key from part""")
+_Z = "case when {0} = 0 then '0000' else lpad(length(({0})::varchar)::varchar, 4, '0') || ({0})::varchar end"
+
+
+@query(f"""select p_partkey, 'v' || {_Z.format("p_partkey")} || '_scene' || {_Z.format("p_partkey % 40")} || case when p_partkey % 2 = 0 then '_part' || {_Z.format("p_size % 12")} else '' end || '/' || {_Z.format("p_partkey * 7919 % 2000003")} || '.jpg' sort_key from part""")
 def natural_sort(spark, sf):
-    return _names(spark, sf).select("p_partkey", X.natural_key(F.col("clip")).alias("sort_key"))
+    """Names of frames: numbers of any length, those of ten digits with leading zeros."""
+    frame = F.concat("clip", F.lit("/"), F.lpad((F.col("p_partkey") * 7919 % 2000003).cast("string"), 10, "0"), F.lit(".jpg"))
+    return _names(spark, sf).select("p_partkey", X.natural_key(frame).alias("sort_key"))
 
 
 @query("""with r as (select event_id, event_type, cast(json_extract_string(props, '$.k') as bigint) k from events)

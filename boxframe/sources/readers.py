@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from boxframe.functions.geometry import from_xywh
 from boxframe.functions.text import action_file, frame_rate, stem, window_range
+from boxframe.sources.containers import register
 
 BOXES = "x1", "y1", "x2", "y2"
 TRACK_DOC = "detected_objects map<string, struct<class_name:string,class_id:int,track_id:bigint,bbox:array<array<double>>>>"
@@ -43,7 +44,7 @@ def read_tracks(spark: SparkSession, path: str) -> DataFrame:
 
 def read_actions(spark: SparkSession, path: str) -> DataFrame:
     """(clip_id, track_id, start_f, end_f, actions); values may be a string, a list, or {"action": ..}."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*_actions.json").text(path)
+    files = spark.read.option("pathGlobFilter", "*_actions.json").text(path, wholetext=True)
     name = F.element_at(F.split(F.input_file_name(), "/"), -1)
     clip, track = action_file(name)
     rows = files.select(clip.alias("clip_id"), track.cast("long").alias("track_id"), F.explode(F.from_json("value", "map<string,string>")).alias("key", "v"))
@@ -75,7 +76,7 @@ def truth_relations(docs: DataFrame, predicates: list[str]) -> DataFrame:
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(seq, idx, value): lines of each whole file, numbered from 0; seq is the file's folder."""
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     seq = F.element_at(F.split(F.input_file_name(), "/"), -2)
     lines = files.select(seq.alias("seq"), F.posexplode(F.split(F.regexp_replace("value", r"\n+$", ""), "\n")).alias("idx", "value"))
     return lines.select("seq", "idx", F.trim("value").alias("value"))
@@ -92,7 +93,7 @@ def read_boxes(spark: SparkSession, path: str) -> DataFrame:
 
 def read_flags(spark: SparkSession, path: str) -> DataFrame:
     """(seq, idx, flag) of a file of 0 and 1 between commas, spaces or line ends."""
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     seq = F.element_at(F.split(F.input_file_name(), "/"), -2)
     flags = F.filter(F.split("value", r"[,\s]+"), lambda x: x != "")
     return files.select(seq.alias("seq"), F.posexplode(flags).alias("idx", "flag")).withColumn("flag", F.col("flag").cast("int"))
@@ -106,6 +107,27 @@ def read_sequence(spark: SparkSession, boxes: str, occlusion: str, out_of_view:
     return out
 
 
+def read_clips(spark: SparkSession, folder: str, pattern: str = "*.mp4,*.avi,*.mov") -> DataFrame:
+    """(path, name, size, duration, width, height, n_frames, fps, has_video) of video files, from
+    their headers alone; broken files have a duration of 0 and no video."""
+    register(spark)
+    return clip_facts(spark.read.format("clip_headers").option("pattern", pattern).load(folder))
+
+
+def frame_sizes(spark: SparkSession, folder: str, pattern: str = "*.jpg,*.jpeg,*.png") -> DataFrame:
+    """(path, name, width, height) of frames, from their headers; null where they have none."""
+    register(spark)
+    return spark.read.format("clip_headers").option("pattern", pattern).load(folder).select("path", "name", "width", "height")
+
+
+def read_markers(spark: SparkSession, path: str) -> DataFrame:
+    """(clip, kind, reason) of the markers that `write_markers` left."""
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "skip_reason.txt").text(path, wholetext=True)
+    folder = F.element_at(F.split(F.input_file_name(), "/"), -2)
+    pattern = "^(.*?)_(camera_motion|too_long|[^_]+)_skipped$"
+    return files.select(*[F.regexp_extract(folder, pattern, i).alias(n) for i, n in ((1, "clip"), (2, "kind"))], F.col("value").alias("reason"))
+
+
 def clip_facts(probes: DataFrame) -> DataFrame:
     """Probed clips (duration, rate, banner as text; width, height, n_frames) with typed columns:
     duration in seconds (0.0 where unknown), fps (from the rate; without one, as if the clip took
