@@ -17,22 +17,21 @@ from boxframe.streaming import shared_path
 
 @query(f"""with {NESTED}, lo as (select video_id, min(frame_idx) lo from dense group by 1) select n.video_id::varchar clip_id, "key", class_name, track_id, (frame_idx - lo)::int frame_idx, x1, y1, x2, y2 from n join lo using (video_id)""")
 def track_files(spark, sf):
-    """Track documents, one file a clip, written twice and read back."""
+    """Track documents, one file a clip, written and read back."""
     docs = K.nest(tracks(spark, sf).where("has_box"), 1920, 1080)
     folder = shared_path(spark, "tracks")
-    for _ in range(2):
-        writers.write_tracks(docs, folder)
+    writers.write_tracks(docs, folder)
     return readers.read_tracks(spark, folder).select("clip_id", "key", "class_name", "track_id", "frame_idx", "x1", "y1", "x2", "y2")
 
 
-@query(f"select video_id::varchar clip_id, track_id, start_f::int start_f, end_f::int end_f, array_to_string(actions, ',') actions from (with {ACTIONS} select * from ov)")
+@query(f"select video_id::varchar clip_id, track_id, start_f::int start_f, end_f::int end_f, array_to_string(list_sort(actions), ',') actions from (with {ACTIONS} select * from ov)")
 def action_files(spark, sf):
     """Action logs, one file a person, empty ones too; what is read back are all windows."""
     rows = _actions(spark, sf).withColumnRenamed("video_id", "clip_id")
     people = tracks(spark, sf).select(F.col("video_id").alias("clip_id"), "track_id").distinct()
     folder = shared_path(spark, "actions")
     writers.write_actions(rows, folder, people)
-    return readers.read_actions(spark, folder).select("clip_id", "track_id", "start_f", "end_f", F.array_join("actions", ",").alias("actions"))
+    return readers.read_actions(spark, folder).select("clip_id", "track_id", "start_f", "end_f", F.array_join(F.array_sort("actions"), ",").alias("actions"))
 
 
 @query("""select 'clip' || s_suppkey as name, case when s_suppkey % 11 = 0 then 0.0 else (s_suppkey % 5000) / 1000.0::double end duration, case when s_suppkey % 11 = 0 then null else (640 + s_nationkey)::int end width,

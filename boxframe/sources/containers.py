@@ -162,7 +162,7 @@ class HeaderReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.path, self.recursive = options["path"], options.get("recursive", "true").lower() == "true"
         self.patterns = options.get("pattern", "*.mp4,*.avi,*.mov").split(",")
-        self.per_task = int(options.get("filesPerTask", 64))
+        self.per_task = int(options.get("filespertask", 64))
 
     def partitions(self) -> Sequence[InputPartition]:
         store, root = fs.FileSystem.from_uri(self.path)
@@ -196,9 +196,9 @@ class ClipHeaders(DataSource):
 
 
 def uri(options: dict) -> dict:
-    """`options` with an absolute path or a URI of a store."""
+    """The options, their names in lower case, with an absolute path or a URI of a store."""
     path = options["path"]
-    return {**options, "path": path if "://" in path or path.startswith("/") else path.replace("file:", "", 1)}
+    return {**{k.lower(): v for k, v in options.items()}, "path": path if "://" in path or path.startswith("/") else path.replace("file:", "", 1)}
 
 
 def box_bytes(kind: bytes, *parts: bytes) -> bytes:
