@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from boxframe.operators.batches import grouped
+
 BOX = ["x1", "y1", "x2", "y2"]
 
 
@@ -70,26 +73,45 @@ def matched(tracks: np.ndarray, dets: np.ndarray, max_cost: float) -> list[tuple
 def assign(tracks: DataFrame, dets: DataFrame, keys: list[str], max_cost: float = 0.85) -> DataFrame:
     """(keys, track_id, det_id): least total 1 - IoU per group, pairs over `max_cost` dropped.
 
-    A group is one clip at one chunk border, so its size is the number of boxes in a frame.
+    A group is one clip at one chunk border, so its size is the number of boxes in a frame. Both
+    sides are dealt by the keys and sorted together; a task goes through its groups in one pass
+    and holds one at a time, however small they are.
     """
-
-    def solve(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left, right = left.sort_values("track_id"), right.sort_values("det_id")
-        pairs = matched(left[BOX].to_numpy(float), right[BOX].to_numpy(float), max_cost)
-        out = pd.DataFrame({k: [v] * len(pairs) for k, v in zip(keys, key)})
-        out["track_id"] = left.track_id.to_numpy()[[r for r, _ in pairs]].astype("int64")
-        out["det_id"] = right.det_id.to_numpy()[[c for _, c in pairs]].astype("int64")
-        return out
-
-    kinds = ", ".join(f"{k} {dict(dets.dtypes)[k]}" for k in keys)
-    return tracks.groupBy(*keys).cogroup(dets.groupBy(*keys)).applyInPandas(solve, f"{kinds}, track_id long, det_id long")
-
-
-def stitch(dets: DataFrame, clip: str, max_cost: float = 0.85, first_id: int = 1000, propagate: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    kinds = ", ".join(f"`{k}` {t}" for k, t in dets.dtypes if k in keys)
+    side = lambda rows, i, name: rows.select(*keys, F.lit(i).alias("side"), F.col(name).cast("long").alias("id"), *[F.col(c).cast("double").alias(c) for c in BOX])
+    both = side(tracks, 0, "track_id").unionByName(side(dets, 1, "det_id")).dropna(subset=BOX)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema, groups, left, right = None, [], [], []
+
+        def flush() -> pa.RecordBatch:
+            columns = [pa.array(c, schema.field(k).type) for k, c in zip(keys, zip(*groups))]
+            out = pa.RecordBatch.from_arrays([*columns, pa.array(left), pa.array(right)], [*keys, "track_id", "det_id"])
+            groups.clear(), left.clear(), right.clear()
+            return out
+
+        for key, rows in grouped(batches, keys):
+            schema = rows.schema
+            boxes = np.stack([rows.column(c).to_numpy() for c in BOX], axis=1)
+            ids, n = rows.column("id").to_numpy(), int((rows.column("side").to_numpy() == 0).sum())
+            for r, c in matched(boxes[:n], boxes[n:], max_cost):
+                groups.append(key)
+                left.append(ids[r])
+                right.append(ids[n + c])
+            if len(groups) >= 8192:
+                yield flush()
+        if groups:
+            yield flush()
+
+    return both.repartition(*keys).sortWithinPartitions(*keys, "side", "id").mapInArrow(run, f"{kinds}, track_id long, det_id long")
+
+
+def stitch(dets: DataFrame, clip: str, max_cost: float = 0.85, first_id: int = 1000, propagate: Callable[[object, int, np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """(clip, chunk, det_id, track_id, class_name): ids carried from chunk to chunk of a clip.
 
-    All ids met so far stay active: where they stand at the end of a chunk is what `propagate`
-    makes of their boxes there (rows of nan: lost from sight), or where they were seen last. A chunk's
+    All ids met so far stay active: where they stand at the end of a chunk is what
+    `propagate(clip, chunk, ids, boxes)` makes of their boxes there (rows of nan: lost from sight),
+    or where they were seen last. `loop.track_clips` is the form for a tracker with frames. A chunk's
     detections are matched with these; a match takes over the id and moves it, others get the
     next ids in order. A chunk without detections (its number is absent) is not propagated, so
     the chunk after it finds nothing to match and mints new ids, beside the old ones. class_name is
@@ -111,7 +133,8 @@ def stitch(dets: DataFrame, clip: str, max_cost: float = 0.85, first_id: int = 1
             next_id += int(fresh.sum())
             boxes = np.concatenate([boxes, np.full((next_id - first_id - len(boxes), 4), np.nan)])
             boxes[mine] = here
-            boxes, last = propagate(boxes) if propagate else boxes, chunk
+            ids = first_id + np.arange(len(boxes))
+            boxes, last = propagate(key[0], int(chunk), ids, boxes) if propagate else boxes, chunk
             found.append(mine + first_id)
         out = rows[[clip, "chunk", "det_id", "class_name"]].copy()
         out["track_id"] = np.concatenate(found)

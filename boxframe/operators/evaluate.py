@@ -30,6 +30,19 @@ def single_scores(tracks: DataFrame, hidden_with_preds: str = "miss") -> DataFra
     return frame_scores(tracks, iou(p, g, "eval"), center_distance(p, g), has, visible, hidden_with_preds)
 
 
+def truth_status(frames: DataFrame, truth: DataFrame, keys: list[str]) -> DataFrame:
+    """`frames` with what is known of the truth there: `status` (out of view goes before occluded,
+    frames beyond the truth's end have no data) and `drawn`, whether its box is shown. truth: (keys,
+    x1..y2, occ, oov), a box without size being null or empty."""
+    known = truth.select(*keys, *["x1", "y1", "x2", "y2"], "occ", "oov", F.lit(True).alias("known"))
+    met = frames.join(known, keys, "left")
+    status = (
+        F.when(F.col("known").isNull(), "NO GT DATA").when(F.col("oov") != 0, "OUT OF VIEW").when(F.col("occ") != 0, "FULL OCCLUSION").otherwise("VISIBLE")
+    )
+    shown = F.col("known").isNotNull() & (F.col("oov") == 0) & (F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1"))
+    return met.select(*frames.columns, status.alias("status"), F.coalesce(shown, F.lit(False)).alias("drawn"))
+
+
 def best_scores(truth: DataFrame, preds: DataFrame, keys: list[str], hidden_with_preds: str = "miss", processed: DataFrame | None = None) -> DataFrame:
     """Many predictions a frame: the best overlap counts, the later box at a tie. Frames that are
     not in `processed` (keys; none: all are) are left out rather than missed."""

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from boxframe.functions.geometry import area, box
 from boxframe.operators import dedupe
 from boxframe.operators.assign import BOX, matched
+from boxframe.operators.batches import grouped
 
 #: Rows that a task gathers before they go on.
 FLUSH_ROWS = 8192
@@ -29,15 +30,19 @@ class Tracker(Protocol):
         sight has no box."""
 
 
+def persons(detections: DataFrame, person: int = 0, sure: float = 0.7, least_area: float = 50.0) -> DataFrame:
+    """Detections of the class `person` over the score `sure` whose box is over `least_area`."""
+    return detections.where((F.col("class_id") == person) & (F.col("confidence") > sure) & (area(box()) > least_area))
+
+
 def chunk_detections(people: DataFrame, objects: DataFrame, keys: list[str], *, person: int = 0, sure: float = 0.7, least_area: float = 50.0, floor: float = 0.15) -> DataFrame:
     """The detections that seed a chunk: persons (class_id `person`, over `sure`) and, after one
     class-aware suppression over all prompts, objects; then without near copies and contained
     boxes. Both have (keys, det_id, class_name, confidence, x1..y2) with det_id unique in a group;
     people also class_id. Classes of objects are trimmed and in lower case."""
-    big = area(box()) > least_area
     columns = [*keys, "det_id", "class_name", "confidence", *BOX]
-    first = people.where((F.col("class_id") == person) & (F.col("confidence") > sure) & big).withColumn("class_name", F.lit("person"))
-    named = objects.where(big).withColumn("class_name", F.lower(F.trim("class_name")))
+    first = persons(people, person, sure, least_area).withColumn("class_name", F.lit("person"))
+    named = objects.where(area(box()) > least_area).withColumn("class_name", F.lower(F.trim("class_name")))
     both = first.select(*columns).unionByName(dedupe.nms_by_class(named.select(*columns), keys=keys).select(*columns))
     return dedupe.drop_contained(dedupe.dedupe_by_confidence(both, floor, 0.45, keys=keys), keys=keys).select(*columns)
 
@@ -65,27 +70,6 @@ class Clip:
         return found
 
 
-def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
-    """Runs of rows with equal `keys`, of batches sorted by them; one run is held at a time."""
-    held: list[pa.RecordBatch] = []
-    now: tuple | None = None
-    for batch in batches:
-        values = list(zip(*(batch.column(k).to_pylist() for k in keys)))
-        start = 0
-        for i in range(len(values) + 1):
-            if i == len(values) or values[i] != values[start]:
-                if i == start:
-                    continue
-                if values[start] != now:
-                    if held:
-                        yield now, pa.Table.from_batches(held)
-                    held, now = [], values[start]
-                held.append(batch.slice(start, i - start))
-                start = i
-    if held:
-        yield now, pa.Table.from_batches(held)
-
-
 def track_clips(dets: DataFrame, clip: str, make_tracker: Callable[[], Tracker], *, size: int = 30, max_cost: float = 0.85, first_id: int = 1000) -> DataFrame:
     """(clip, chunk, frame_idx, track_id, class_name, x1, y1, x2, y2): boxes of all frames.
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+#: The kinds of reasons that `skip_reasons` gives.
+KINDS = ["camera_motion", "too_long"]
 
 
 def merge_markers(status: DataFrame, clip: str) -> DataFrame:
@@ -49,15 +53,31 @@ def missing(names: DataFrame, work: DataFrame, key: str) -> DataFrame:
     return names.select(key).distinct().join(work.select(key), key, "left_anti")
 
 
-def longest_contained(texts: DataFrame, parts: DataFrame, text: str, part: str, joint: int = 3) -> DataFrame:
-    """(text, part): the longest part that the text contains, ties by name; none: null.
+def counts_of(kinds: list[str]) -> list[Column]:
+    """Counts over clips with a `reason` (null: processed): total, processed, skipped, each kind."""
+    kind = F.split_part("reason", F.lit(":"), F.lit(1))
+    skipped = F.count("reason")
+    named = [F.count_if(F.coalesce(kind == k, F.lit(False))).alias(k) for k in kinds]
+    return [F.count("*").alias("total"), (F.count("*") - skipped).alias("processed"), skipped.alias("skipped"), *named]
+
+
+def observed(clips: DataFrame, kinds: list[str] = KINDS, name: str = "clips") -> tuple[DataFrame, Observation]:
+    """`clips`, a row each with its `reason`, and an observation that has the run's counts once the
+    first action on them is done: the summary needs no second pass."""
+    observation = Observation(name)
+    return clips.observe(observation, *counts_of(kinds)), observation
+
+
+def observed_stream(clips: DataFrame, kinds: list[str] = KINDS, name: str = "clips") -> DataFrame:
+    """A stream of clips whose counts stand in the query's progress; `observed_total` adds them."""
+    return clips.observe(name, *counts_of(kinds))
+
 
-    Instead of comparing all with all, texts emit their runs of `joint` characters and parts
-    their first ones, so only likely pairs meet. Parts must have `joint` characters or more.
-    """
-    runs = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (joint - 1), F.lit(1))), lambda i: F.substring(F.col(text), i, F.lit(joint)))))
-    keyed = texts.select(text).distinct().withColumn("run", runs)
-    heads = parts.select(part).distinct().where(F.length(part) >= joint).withColumn("run", F.substring(part, 1, joint))
-    hits = keyed.join(heads, "run").where(F.col(text).contains(F.col(part)))
-    best = hits.groupBy(text).agg(F.max_by(part, F.struct(F.length(part), part)).alias(part))
-    return texts.select(text).distinct().join(best, text, "left")
+def observed_total(query: StreamingQuery, name: str = "clips") -> dict[str, int]:
+    """The counts of all batches that the query's progress still holds."""
+    total: dict[str, int] = {}
+    for progress in query.recentProgress:
+        counts = progress["observedMetrics"].get(name)
+        for key, n in counts.asDict().items() if counts else ():
+            total[key] = total.get(key, 0) + n
+    return total

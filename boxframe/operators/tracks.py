@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boxframe.functions.geometry import area, box, normalised
-from boxframe.functions.text import samples
+from boxframe.functions.text import natural_key, samples
+from boxframe.operators.ranks import ranked
 
 BOX = ("x1", "y1", "x2", "y2")
 
@@ -74,6 +75,29 @@ def seed_override(dense: DataFrame, seeds: DataFrame, keys: list[str], least_are
     return dense.join(s, keys, "left").select(*keys, "frame_idx", *chosen)
 
 
+def seeded_tracks(segments: DataFrame, seeds: DataFrame, clips: DataFrame, class_ids: DataFrame, clip: str = "video_id", least_area: float = 50.0) -> DataFrame:
+    """(clip, track_id, class_name, class_id, frame_idx, x1..y2): the tracks of clips whose objects
+    are detected once, in frame 0, and followed from there; frames 0 to n_frames - 1 of each.
+
+    segments (clip, track_id, class_name, frame_idx, x1..y2) are the tracker's boxes, seeds (clip,
+    track_id, class_name, class_id, x1..y2) the detector's. A seeded track has the seed's box in
+    frame 0; else boxes over `least_area` count. A track that is first seen later has nulls before
+    that and the class_id of `class_ids` (class_name, class_id), 999 if that has none; one without
+    any such box is no track. clips: (clip, n_frames).
+    """
+    seeded = seeds.select(clip, "track_id", "class_name", "class_id", *[F.col(c).alias("s_" + c) for c in BOX])
+    boxes = segments.where(area(box()) > least_area)
+    late = boxes.groupBy(clip, "track_id").agg(F.min("class_name").alias("class_name")).join(seeded, [clip, "track_id"], "left_anti")
+    late = late.join(class_ids.select("class_name", "class_id"), "class_name", "left").withColumn("class_id", F.coalesce("class_id", F.lit(999)))
+    every = seeded.unionByName(late, allowMissingColumns=True).withColumn("seeded", F.col("s_x1").isNotNull())
+    grid = every.join(clips.where("n_frames > 0").select(clip, "n_frames"), clip)
+    grid = grid.withColumn("frame_idx", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_frames").cast("long") - 1)))
+    met = grid.join(boxes.select(clip, "track_id", "frame_idx", *BOX), [clip, "track_id", "frame_idx"], "left")
+    own = F.col("seeded") & (F.col("frame_idx") == 0)
+    chosen = [F.when(own, F.col("s_" + c)).otherwise(F.col(c)).alias(c) for c in BOX]
+    return met.select(clip, "track_id", "class_name", F.col("class_id").cast("int").alias("class_id"), "frame_idx", *chosen)
+
+
 def sliding_windows(tracks: DataFrame, keys: list[str], size: int = 30, stride: int = 15) -> DataFrame:
     """(keys, start_f, end_f): whole windows only; shorter tracks have none."""
     n = tracks.groupBy(*keys).agg((F.max("frame_idx") + 1).alias("n")).where(F.col("n") >= size)
@@ -129,27 +153,25 @@ def clip_offset_frames(start_sec: Column, part: Column, fps: Column, seconds: fl
 
 def even_chunks(rows: DataFrame, order: list[str], n: int) -> DataFrame:
     """Contiguous chunks 0 to n - 1 of the rows in order; the first (count mod n) have one more.
-
-    Ranks come from range partitions and their counts, so no task sees all rows.
-    """
-    dealt = rows.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()).persist()
-    sizes = {p: c for p, c in dealt.groupBy("_p").count().collect()}
-    offsets, total = {}, 0
-    for p in sorted(sizes):
-        offsets[p], total = total, total + sizes[p]
-    start = F.create_map(*[F.lit(v) for kv in offsets.items() for v in kv]) if offsets else F.create_map(F.lit(0), F.lit(0))
-    rank = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1 + start[F.col("_p")]
-    large, size = total % n, total // n
+    Rows have their places from `ranks.ranked`, so no task sees all of them."""
+    total = rows.agg(F.count("*").alias("total of rows"))  # one row
+    placed = ranked(rows, order, "place of row").join(F.broadcast(total))
+    place, large, size = F.col("place of row"), F.col("total of rows") % n, F.floor(F.col("total of rows") / n)
     edge = large * (size + 1)
-    chunk = F.when(rank < edge, F.floor(rank / (size + 1))).otherwise(large + F.floor((rank - edge) / max(size, 1)))
-    return dealt.withColumn("chunk", chunk.cast("long")).drop("_p")
+    chunk = F.when(place < edge, F.floor(place / (size + 1))).otherwise(large + F.floor((place - edge) / F.greatest(size, F.lit(1))))
+    return placed.select(*rows.columns, chunk.cast("long").alias("chunk"))
 
 
 def first_seen_ids(rows: DataFrame, label: str, order: list[str]) -> DataFrame:
-    """(label, label_id): numbers from 1 in the order in which the labels first appear. The rank
-    runs over the different labels only."""
+    """(label, label_id): numbers from 1 in the order in which the labels first appear."""
     first = rows.groupBy(label).agg(F.min(F.struct(*order)).alias("first"))
-    return first.select(label, F.row_number().over(Window.orderBy("first")).cast("long").alias("label_id"))
+    return ranked(first, ["first"], "place").select(label, (F.col("place") + 1).alias("label_id"))
+
+
+def in_natural_order(files: DataFrame, name: str) -> DataFrame:
+    """`files` with `place`, from 0 in natural order of their names; equal keys by name."""
+    keyed = files.withColumn("natural key", natural_key(F.col(name)))
+    return ranked(keyed, ["natural key", name], "place").drop("natural key")
 
 
 def keyframe(start: Column, end: Column, last: Column) -> Column:

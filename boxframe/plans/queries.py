@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from boxframe import streaming
 from boxframe.functions import geometry as G
 from boxframe.functions import text as X
-from boxframe.operators import assign, dedupe, evaluate, kalman, status
+from boxframe.operators import assign, dedupe, evaluate, kalman, names, spatial, status
 from boxframe.operators import tracks as K
 from boxframe.sources import readers
 from boxframe.plans.views import DET, TRACKS, detections, distance_sql, inter_sql, iou_sql, table, tracks
@@ -104,7 +104,7 @@ w as (select *, row_number() over (partition by video_id, track_id order by roun
 def _matched(spark, sf):
     t = tracks(spark, sf)
     truth = t.select("video_id", F.col("track_id").alias("gt_id"), "frame_idx", "gx1", "gy1", "gx2", "gy2")
-    return evaluate.match_tracks(t.select("video_id", "track_id", "frame_idx", *BOX), truth)
+    return spatial.match_overlapping(t.select("video_id", "track_id", "frame_idx", *BOX), truth, cell=256.0)
 
 
 @query(f"with {MATCHED} select video_id, track_id, gt_id, round(mean_iou, 6) mean_iou from best")
@@ -182,9 +182,11 @@ def _pairs(spark, sf, condition):
 
 @query(f"with {DET} select video_id, a.det_id a_id, b.det_id b_id, round({iou_sql('a.', 'b.')}, 6) iou from det a join det b using (video_id) where a.det_id < b.det_id and {inter_sql('a.', 'b.')} > 0")
 def bbox_iou_pairs(spark, sf):
-    """Pairs of boxes of one frame, as the cost matrix of the assignment has them."""
-    both = _pairs(spark, sf, "adet_id < bdet_id").withColumn("iou", G.iou(G.box("a"), G.box("b")))
-    return both.where("iou > 0").select("video_id", F.col("adet_id").alias("a_id"), F.col("bdet_id").alias("b_id"), *rounded(["iou"]))
+    """Pairs of overlapping boxes of one frame, met by a grid."""
+    d = detections(spark, sf)
+    other = d.select("video_id", F.col("det_id").alias("b_id"), *[F.col(c).alias("b" + c) for c in BOX])
+    met = spatial.overlapping_pairs(d.select("video_id", F.col("det_id").alias("a_id"), *BOX), other, ["video_id"], 256.0, "b").where("a_id < b_id")
+    return met.select("video_id", "a_id", "b_id", F.round(G.iou(G.box(), G.box("b")), 6).alias("iou"))
 
 
 @query(f"with {DET} select video_id, a.det_id a_id, b.det_id b_id, round({inter_sql('a.', 'b.')} / ((a.x2-a.x1)*(a.y2-a.y1)) + 1e-9, 6) containment from det a join det b using (video_id) where a.det_id <> b.det_id and {inter_sql('a.', 'b.')} / ((a.x2-a.x1)*(a.y2-a.y1)) > 0.5")
@@ -512,14 +514,14 @@ def label_dictionary(spark, sf):
     return K.first_seen_ids(tracks(spark, sf), "class_name", ["frame_idx", "event_id"])
 
 
-@query("""with h as (select distinct p_name, left(p_type, len) frag from part, (select unnest([3, 5, 7]) len) union select distinct p_name, substring(p_name, 2, l) from part, (select unnest([3, 4, 6]) l)),
-f as (select distinct frag from h where length(frag) >= 3), n as (select distinct p_name from part), m as (select p_name, frag, row_number() over (partition by p_name order by length(frag) desc, frag desc) r from n join f on contains(p_name, frag))
+@query("""with h as (select distinct p_name, left(p_type, len) frag from part, (select unnest([1, 2, 5, 7]) len) union select distinct p_name, substring(p_name, 2, l) from part, (select unnest([1, 4, 6]) l) where p_partkey % 3 = 0),
+f as (select distinct frag from h where frag <> ''), n as (select distinct p_name from part), m as (select p_name, frag, row_number() over (partition by p_name order by length(frag) desc, frag desc) r from n join f on contains(p_name, frag))
 select n.p_name, m.frag from n left join m on m.p_name = n.p_name and m.r = 1""")
 def longest_substring_match(spark, sf):
-    parts = table(spark, sf, "part").select("p_name", "p_type")
-    types = parts.select(F.explode(F.array(*[F.substring("p_type", 1, n) for n in (3, 5, 7)])).alias("frag"))
-    names = parts.select(F.explode(F.array(*[F.substring("p_name", 2, n) for n in (3, 4, 6)])).alias("frag"))
-    return status.longest_contained(parts, types.union(names), "p_name", "frag")
+    parts = table(spark, sf, "part").select("p_partkey", "p_name", "p_type")
+    types = parts.select(F.explode(F.array(*[F.substring("p_type", 1, n) for n in (1, 2, 5, 7)])).alias("frag"))
+    inner = parts.where("p_partkey % 3 = 0").select(F.explode(F.array(*[F.substring("p_name", 2, n) for n in (1, 4, 6)])).alias("frag"))
+    return names.longest_contained(parts, types.union(inner), "p_name", "frag")
 
 
 # ---- actions

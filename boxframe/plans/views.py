@@ -20,7 +20,7 @@ def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     has = k % 10 != 0
     d = lambda c: c.cast("double")
     return e.select(
-        (F.col("user_id") % 15).alias("video_id"),
+        F.floor(F.col("user_id") / 10).cast("long").alias("video_id"),
         F.col("user_id").alias("track_id"),
         F.col("event_type").alias("class_name"),
         "event_id",
@@ -43,7 +43,7 @@ def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TRACKS = """e0 as (select *, cast(row_number() over (partition by user_id order by ts, event_id) - 1 as bigint) f,
   cast(json_extract_string(props, '$.k') as bigint) k from events),
-tracks as (select user_id % 15 video_id, user_id track_id, event_type class_name, event_id, ts, f frame_idx, k, k % 10 <> 0 has_box,
+tracks as (select user_id // 10 video_id, user_id track_id, event_type class_name, event_id, ts, f frame_idx, k, k % 10 <> 0 has_box,
   case when k % 10 <> 0 then cast(200+5*f+k as double) end x1, case when k % 10 <> 0 then cast(100+3*f+(k*7)%50 as double) end y1,
   case when k % 10 <> 0 then cast(200+5*f+k+80+k%40 as double) end x2, case when k % 10 <> 0 then cast(100+3*f+(k*7)%50+120+(k*3)%60 as double) end y2,
   cast(205+5*f+event_id%30 as double) gx1, cast(104+3*f+event_id%20 as double) gy1,

@@ -124,7 +124,7 @@ def test_stitched_tracks_stay_active(spark):
     assert [got["v", 2, i] for i in (0, 1)] == [(1000, "z"), (1001, "y")] and got["v", 0, 0] == (1000, "z")
     gap = stitched(spark, [("v", 0, 0, "x", *a), ("v", 2, 0, "x", *a), ("v", 3, 0, "x", *a), ("v", 3, 1, "x", *a)])
     assert gap["v", 2, 0][0] == 1001 and {gap["v", 3, i][0] for i in (0, 1)} == {1000, 1001}
-    lost = assign.stitch(spark.createDataFrame([("v", c, 0, "x", *a) for c in (0, 1)], CHUNKS), "clip", propagate=lambda boxes: boxes * np.nan)
+    lost = assign.stitch(spark.createDataFrame([("v", c, 0, "x", *a) for c in (0, 1)], CHUNKS), "clip", propagate=lambda clip, chunk, ids, boxes: boxes * np.nan)
     assert sorted(r.track_id for r in lost.collect()) == [1000, 1001]
 
 
@@ -253,11 +253,6 @@ def test_even_chunks_match_ntile(spark):
     assert [r.chunk for r in got] == [0] * 5 + [1] * 5 + [2] * 5 + [3] * 4 + [4] * 4
 
 
-def test_longest_contained(spark):
-    texts, parts = spark.createDataFrame([("abcdefg",), ("zzz",)], "t string"), spark.createDataFrame([("cde",), ("bcdef",), ("efgh",)], "p string")
-    assert {r.t: r.p for r in status.longest_contained(texts, parts, "t", "p").collect()} == {"abcdefg": "bcdef", "zzz": None}
-
-
 def test_files_round_trip(spark, tmp_path):
     from boxframe.sources import readers, writers
 
