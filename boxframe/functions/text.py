@@ -14,18 +14,23 @@ def part(text: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit("")).cast("int")
 
 
+#: The shapes of names of clips, of keys of windows and of names of action logs.
+SCENE, SCENE_PART = r"scene(\d+)(?:_part(\d+))?", r"scene\d+_part(\d+)"
+WINDOW_KEY = r"frames_(\d+)_to_(\d+)"
+ACTION_FILE = r"(.*)_person_(\d+)_actions\.json"
+
+
 def clip_parts(name: Column) -> tuple[Column, Column]:
     """(scene, part) of `{video}_scene{i}[_part{j}]`."""
-    return part(name, r"scene(\d+)(?:_part(\d+))?"), part(name, r"scene\d+_part(\d+)")
+    return part(name, SCENE), part(name, SCENE_PART)
 
 
 def window_range(key: Column) -> tuple[Column, Column]:
-    return part(key, r"frames_(\d+)_to_(\d+)"), part(key, r"frames_(\d+)_to_(\d+)", 2)
+    return part(key, WINDOW_KEY), part(key, WINDOW_KEY, 2)
 
 
 def action_file(name: Column) -> tuple[Column, Column]:
-    pattern = r"(.*)_person_(\d+)_actions\.json"
-    return F.nullif(F.regexp_extract(name, pattern, 1), F.lit("")), part(name, pattern, 2)
+    return F.nullif(F.regexp_extract(name, ACTION_FILE, 1), F.lit("")), part(name, ACTION_FILE, 2)
 
 
 def video_of(name: Column) -> Column:

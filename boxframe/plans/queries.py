@@ -47,10 +47,12 @@ SCORES = f"""{TRACKS}, s as (select *, case when occ = 0 and oov = 0 then case w
 @query(f"""with {SCORES}, c as (select t, t * 0.05::double th, avg((iou >= t * 0.05::double)::int::double) rate from s, (select unnest(range(21)) t) group by t)
 select round((select avg(iou) from s), 6) mean_score, round(0.05 * (sum(rate) - sum(case when t in (0, 20) then rate else 0 end) / 2), 6) success_auc from c""")
 def success_auc(spark, sf):
-    scores = evaluate.single_scores(tracks(spark, sf))
-    auc = evaluate.area_under(evaluate.success_curve(scores))
-    mean = scores.agg(F.avg("iou").alias("mean_score"))
-    return mean.crossJoin(auc).select(*rounded(["mean_score", "success_auc"]))  # one row each
+    return evaluate.success(evaluate.single_scores(tracks(spark, sf))).select(*rounded(["mean_score", "success_auc"]))
+
+
+@query(f"with {SCORES} select t::int t, t * 0.05::double threshold, round(avg((iou >= t * 0.05::double)::int::double), 6) rate from s, (select unnest(range(21)) t) group by t")
+def success_curve_21(spark, sf):
+    return evaluate.success_curve(evaluate.single_scores(tracks(spark, sf))).select("t", "threshold", *rounded(["rate"]))
 
 
 @query(f"with {SCORES} select t::int t, round(avg((ce <= t)::int::double), 6) rate from s, (select unnest(range(51)) t) group by t")
@@ -264,6 +266,19 @@ def nms_classic(spark, sf):
     return dedupe.nms(detections(spark, sf), keys=["video_id"]).select("video_id", "det_id")
 
 
+@query(_fold_sql("", "confidence desc", f"{_IOU} >= 0.5").replace("l_orderkey video_id", "l_orderkey * 4 + l_linenumber % 4 video_id").replace("partition by l_orderkey", "partition by l_orderkey * 4 + l_linenumber % 4").replace("select video_id, k.det_id det_id from u", "select video_id // 4 video_id, video_id % 4 frame_idx, k.det_id det_id from u"))
+def nms_by_frame(spark, sf):
+    """Clips of four frames each: boxes compete within a frame, which is what the operators do unless other keys are named."""
+    frame = F.col("l_linenumber").cast("long") % 4
+    rank = F.row_number().over(Window.partitionBy("l_orderkey", frame).orderBy("l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_quantity"))
+    p, s = F.col("l_partkey") * 13 % 200, F.col("l_suppkey") * 17 % 200
+    d = table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("video_id"), frame.alias("frame_idx"), rank.cast("long").alias("det_id"), F.col("l_returnflag").alias("class_name"), (F.lit(1.0) - 5 * F.col("l_discount")).alias("confidence"),
+        p.cast("double").alias("x1"), s.cast("double").alias("y1"), (p + 60 + F.col("l_linenumber") * 20).cast("double").alias("x2"), (s + 60 + F.col("l_quantity")).cast("double").alias("y2"),
+    )
+    return dedupe.nms(d).select("video_id", "frame_idx", "det_id")
+
+
 @query(f"with {DET}, {TRACKS} select video_id, 'object' origin, class_name, count(*) n from det group by all union all select video_id, 'person', class_name, count(*) from tracks where has_box group by all")
 def detection_union(spark, sf):
     objects = detections(spark, sf).select("video_id", F.lit("object").alias("origin"), "class_name", "confidence", *BOX)
@@ -568,7 +583,7 @@ def ava_rows(spark, sf):
     top = _actions(spark, sf).select(*KEYS, "start_f", "end_f", F.posexplode(F.slice("actions", 1, 2)).alias("pos", "label"))
     ids = K.first_seen_ids(top, "label", ["video_id", "track_id", "start_f", "pos"])
     mid = K.keyframe(F.col("start_f"), F.col("end_f"), F.col("end_f")).cast("long")
-    rows = top.withColumn("frame_idx", mid).join(F.broadcast(ids), "label").join(t.where("x1 is not null").select(*KEYS, "frame_idx", *BOX), [*KEYS, "frame_idx"])
+    rows = top.withColumn("frame_idx", mid).join(ids, "label").join(t.where("x1 is not null").select(*KEYS, "frame_idx", *BOX), [*KEYS, "frame_idx"])
     b = G.normalised(G.box(), 1920, 1080)
     return rows.select("video_id", fixed(F.col("frame_idx") / 30).alias("timestamp"), *[fixed(c).alias(n) for n, c in zip(BOX, b)], F.col("label_id").alias("action_id"), F.col("track_id").alias("person_id"))
 

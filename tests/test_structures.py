@@ -117,7 +117,7 @@ def test_automaton_equals_search(spark):
 def test_table_function_in_a_join(spark):
     hooks.table_function(spark, "twice", lambda: lambda b: b[["clip_id", "i"]].assign(half=b["i"] / 2), "clip_id string, i long, half double", block=2)
     clips = spark.createDataFrame([("a", 3), ("b", 1), ("c", 0)], "clip_id string, n int")
-    frames = clips.where("n > 0").select("clip_id", F.explode(F.sequence(F.lit(1), "n")).cast("long").alias("i"))
+    frames = clips.where("n > 0").select("clip_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n").cast("long"))).alias("i"))
     got = spark.sql("select c.clip_id, c.n, t.i, t.half from {clips} c join twice(table({frames}) partition by clip_id order by i) t on t.clip_id = c.clip_id", clips=clips, frames=frames)
     assert sorted(map(tuple, got.collect())) == [("a", 3, 1, 0.5), ("a", 3, 2, 1.0), ("a", 3, 3, 1.5), ("b", 1, 1, 0.5)]
 
