@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 from boxframe.llm.common import connected_components, settle
 
 DEGREE = 16
-SHARD_ROWS = 8192
+#: A shard of this size takes some 300 MB in its task, most of it a bit for each pair.
+SHARD_ROWS = 16384
 BEAM = 48
-#: An audit holds at least so many queries with links, and so many links, a query's self left out.
-AUDIT_ROWS, AUDIT_LINKS, AUDIT_RECALL = 64, 256, 0.98
+#: An audit meets so many queries, and so many probes, with all nodes.
+AUDIT_ROWS, AUDIT_RECALL = 128, 0.98
 
 
 class Graph:
@@ -25,6 +26,7 @@ class Graph:
     def __init__(self, vectors: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]] | None = None):
         self.vectors = vectors
         self.kind = np.uint16 if len(vectors) <= 1 << 16 else np.int32  # results of a dense shard are large
+        self.by_graph = self.by_product = 0  # queries met by each way
         self.layers = layers if layers is not None else self._build()  # (nodes, neighbours as node numbers, -1: none)
 
     def _build(self) -> list:
@@ -131,60 +133,65 @@ class Graph:
             opened[live] = np.concatenate([opened[live], ~fresh], axis=1)[at, order]
             sims[live] = all_sims[at, order]
 
+    def probes(self, n: int, least: float, rng: np.random.Generator) -> np.ndarray:
+        """Vectors that have a cosine just over `least` with a random node each: links at the edge."""
+        near = self.vectors[rng.permutation(len(self.vectors))[:n]].astype(np.float64)
+        away = rng.standard_normal(near.shape)
+        away -= np.einsum("ij,ij->i", away, near)[:, None] * near
+        away /= np.maximum(np.sqrt((away * away).sum(1, keepdims=True)), 1e-12)
+        # In one dimension nothing is orthogonal, and the node is its own probe.
+        cosine = least + 0.1 * (1 - least) if near.shape[1] > 1 else 1.0
+        return (cosine * near + math.sqrt(1 - cosine * cosine) * away).astype(np.float32)
+
+    def audited_width(self, queries: np.ndarray, least: float, rng: np.random.Generator) -> int:
+        """The beam that finds enough of the links of `AUDIT_ROWS` queries and as many probes, over
+        all links and on average over those that have any. Probes have a link each, so the audit
+        has something to find however few links the queries have."""
+        tried = np.concatenate([queries[rng.permutation(len(queries))[:AUDIT_ROWS]], self.probes(AUDIT_ROWS, least, rng)])
+        truth = [np.flatnonzero(s >= least) for s in tried @ self.vectors.T]
+        some = [i for i, t in enumerate(truth) if len(t)]
+        width = min(BEAM, len(self.vectors))
+        while some and width < len(self.vectors):
+            found = self._search(tried[some], least, width, np.full(len(some), -1))
+            hits = np.array([np.isin(truth[i], f).sum() for i, f in zip(some, found)])
+            sizes = np.array([len(truth[i]) for i in some])
+            if min(hits.sum() / sizes.sum(), (hits / sizes).mean()) >= AUDIT_RECALL:
+                break
+            width = min(2 * width, len(self.vectors))
+        return width
+
     def near_enough(self, queries: np.ndarray, least: float, own: np.ndarray | None = None) -> list[np.ndarray]:
         """Nodes at `least` or more; `own` is each query's own node, -1 if it is not in this graph.
 
-        Queries in random order meet all nodes by brute force until enough of them have links to
-        others; where all together have too few, these exact results are the answer. Else the audited
-        queries are searched, with wider beams until they find enough of their links, over all
-        links and on average over queries, and then all are, with that beam. A query whose beam holds nothing else, or lacks its own
-        node, is searched again with a wider one. Where a beam meets as many nodes as the shard has
-        (its width times the degree) the product with all is cheaper and exact, so small shards bypass
-        the graph.
+        All queries are searched with the audited beam. One whose beam holds nothing else, or lacks its
+        own node, is searched again with a wider one; where that would meet as many nodes as the
+        shard has (its width times the degree), the product with all is cheaper and exact.
         """
         own = np.full(len(queries), -1) if own is None else own
-        order, truth, linked = np.random.default_rng(13).permutation(len(queries)), {}, {}
-        for i in range(0, len(order), 256):
-            part = order[i : i + 256]
-            for j, s in zip(part.tolist(), queries[part] @ self.vectors.T):
-                truth[j] = np.flatnonzero(s >= least)
-                others = truth[j][truth[j] != own[j]]
-                if len(others):
-                    linked[j] = others
-            if len(linked) >= AUDIT_ROWS and sum(map(len, linked.values())) >= AUDIT_LINKS:
-                break
-        else:
-            return [truth[j].astype(self.kind) for j in range(len(queries))]
-        width, sizes = min(BEAM, len(self.vectors)), np.array([len(t) for t in linked.values()])
-        audited = np.array(list(linked))
-        while width < len(self.vectors):
-            tried = self._search(queries[audited], least, width, own[audited])
-            hits = np.array([np.isin(t, found).sum() for t, found in zip(linked.values(), tried)])
-            if min(hits.sum() / sizes.sum(), (hits / sizes).mean()) >= AUDIT_RECALL:
-                break
-            width = min(2 * width, len(self.vectors))
-        out = self._search(queries, least, width, own)
-        return [truth.get(j, found).astype(self.kind) for j, found in enumerate(out)]
+        width = self.audited_width(queries, least, np.random.default_rng(13))
+        return self._search(queries, least, width, own)
 
     def _search(self, queries: np.ndarray, least: float, width: int, own: np.ndarray) -> list[np.ndarray]:
         nodes, near = self.layers[-1]
         out: list = [None] * len(queries)
-        todo = np.arange(len(queries))
+        todo, first = np.arange(len(queries)), True
         while len(todo):
             again = []
             for i in range(0, len(todo), 256):
                 part = todo[i : i + 256]
-                if 2 * DEGREE * width > len(self.vectors):  # a beam that meets as many nodes as there are is one product
+                if width >= len(self.vectors) or (not (first and width <= BEAM) and 2 * DEGREE * width > len(self.vectors)):
                     for j, s in zip(part, queries[part] @ self.vectors.T):
                         out[j] = np.flatnonzero(s >= least).astype(self.kind)
+                    self.by_product += len(part)
                     continue
+                self.by_graph += len(part)
                 ids, sims = self._beam(queries[part], self._entry_of(queries[part]), near, width)
                 for j, (a, s) in enumerate(zip(ids, sims)):
                     good = a[(s >= least) & (a >= 0)]
                     if width < len(self.vectors) and (len(good) >= width or (own[part[j]] >= 0 and own[part[j]] not in good)):
                         again.append(part[j])
                     out[part[j]] = good.astype(self.kind)
-            todo, width = np.array(again, int), min(2 * width, len(self.vectors))
+            todo, width, first = np.array(again, int), min(2 * width, len(self.vectors)), False
         return out
 
     def _entry_of(self, queries: np.ndarray) -> np.ndarray:
@@ -275,7 +282,8 @@ def link_embeddings(
     `shard_rows` by label and hash; each shard's graph is built in a task of its own and written.
     Then every two shards of a label meet once, in a task of their own: the one's nodes search the
     other's graph (so bytes and work grow with the square of a label's shards, as every shard is
-    queried). The float search takes a small margin; pairs are verified in double precision on
+    queried; larger shards are fewer). Beams widen until an audit finds 0.98 of the links of some
+    queries and of probes made to have links. The float search takes a small margin; pairs are verified in double precision on
     scaled vectors, and only sums and one link per node leave the task. Spark unions components.
 
     Vectors that are null, zero, or hold nulls or non-finite numbers, and rows whose label is null,

@@ -387,6 +387,25 @@ def test_embedding_audit_counts_links_to_others():
         assert sum(want[i, f].sum() for i, f in enumerate(found)) >= 0.98 * want.sum()
 
 
+def test_few_links_are_found_through_the_graph():
+    """Some planted pairs among many vectors without links: the graph finds them, not a product."""
+    rng = np.random.default_rng(1)
+    x = hnsw.unit(rng.standard_normal((3000, 64)))
+    away = hnsw.unit(rng.standard_normal((40, 64)))
+    x = hnsw.unit(np.concatenate([x, 0.94 * x[:40] + 0.34 * away])).astype(np.float32)
+    graph = hnsw.Graph(x)
+    found, want = graph.near_enough(x, 0.93, np.arange(len(x))), x @ x.T >= 0.93
+    assert sum(want[i, f].sum() for i, f in enumerate(found)) >= 0.99 * want.sum() and want.sum() > len(x)
+    assert graph.by_graph >= len(x) and graph.by_product < 0.02 * len(x)
+
+
+def test_probes_stand_at_the_edge():
+    x = hnsw.unit(np.random.default_rng(2).standard_normal((200, 32))).astype(np.float32)
+    probes = hnsw.Graph(x).probes(50, 0.93, np.random.default_rng(3))
+    best = (probes @ x.T).max(1)
+    assert len(probes) == 50 and (best >= 0.93).all() and (best < 0.95).all()
+
+
 def test_embeddings_in_large_shards(spark):
     rng = np.random.default_rng(15)
     x, a = rng.normal(size=(1400, 16)), 0
