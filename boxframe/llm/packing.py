@@ -12,9 +12,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxframe.llm.common import text_of
+from boxframe.llm.common import settle, text_of
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+#: So many partitions' open windows go to one second packer.
+FAN_BITS = 4
 #: Kept words, by number and by characters.
 CACHE_WORDS, CACHE_CHARS = 800_000, 50_000_000
 #: More open windows than this are poured together early, so a packer's memory is bounded.
@@ -187,65 +189,100 @@ def pack_documents(
 ) -> DataFrame:
     """One row per piece (`PIECES`): every document's ids, then `end_id`, in windows of `capacity`.
 
-    Each input partition has its own online packer, so nothing is shuffled and a lost task is
-    redone alone; a sequence's id holds the partition's number above bit 32. Documents longer
-    than a window give full windows first; the rest is placed whole by the sum-of-squares rule.
-    When a partition ends, its open windows are poured together and cut, and the last ids go
-    into sequences whose lengths are powers of two, so no sequence needs padding.
+    Each input partition has its own online packer, so texts are not shuffled and a lost task is
+    redone alone. Documents longer than a window give full windows first; the rest is placed whole
+    by the sum-of-squares rule. When a partition ends, the pieces of its open windows (a fixed
+    number at most, so a small share of a large partition) go on to a second packer for every 16
+    partitions, which places them by the same rule. What that leaves open is poured together and
+    cut, and the last ids go into sequences whose lengths are powers of two, so no sequence needs
+    padding. A sequence's id holds its packer's number above bit 32, second ones above bit 62.
 
     Null and empty texts give one piece that holds `end_id`. Repeated rows are packed each time.
     An empty table gives no rows. Extra columns of the input are not carried. A null id stays null.
     """
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
-        context = TaskContext.get()
-        first = (context.partitionId() if context else 0) << 32
-        encode, packer, n = encoder(tokenizer).encode, SumOfSquares(capacity), 0
-        end = np.array([end_id], "<u4").tobytes()
-        schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
+    class Rows:
+        """Numbered windows as rows."""
+
+        def __init__(self, first: int):
+            self.next = first
 
-        def batch(done: list[list]) -> pa.RecordBatch:
-            nonlocal n
+        def of(self, windows: list[list]) -> pa.RecordBatch:
             columns: list[list] = [[] for _ in schema]
-            for window in done:
+            for window in windows:
                 offset = 0
                 for doc, start, ids, total in window:
                     size = len(ids) // 4
-                    for c, v in zip(columns, (doc, start, size, ids, total, first + n, offset)):
+                    for c, v in zip(columns, (doc, start, size, ids, total, self.next, offset)):
                         c.append(v)
                     offset += size
-                n += 1
+                self.next += 1
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
+    def placed(packer: SumOfSquares, piece: tuple, done: list[list]) -> None:
+        """Place a piece; too many open windows are poured, and what is no full window placed again."""
+        if window := packer.place(piece, len(piece[2]) // 4):
+            done.append(window)
+        if packer.open <= OPEN_WINDOWS:
+            return
+        for window in _pour(packer.drain(), capacity, False):
+            if sum(len(p[2]) // 4 for p in window) == capacity:
+                done.append(window)
+            else:
+                for p in window:
+                    if full := packer.place(p, len(p[2]) // 4):
+                        done.append(full)
+
+    def marked(batch: pa.RecordBatch, left: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array([left] * batch.num_rows, pa.bool_())], [*batch.schema.names, "left"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        context = TaskContext.get()
+        rows_of = Rows((context.partitionId() if context else 0) << 32)
+        encode, packer, end = encoder(tokenizer).encode, SumOfSquares(capacity), np.array([end_id], "<u4").tobytes()
         for rows in batches:
-            done = []
+            done: list[list] = []
             for doc, text in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
                 ids = encode(text) + end
-                total, at = len(ids) // 4, 0
-                while at < total:
-                    piece = (doc, at, ids[4 * at : 4 * (at + capacity)], total)
-                    size = len(piece[2]) // 4
-                    if window := packer.place(piece, size):
-                        done.append(window)
-                    at += size
-                if packer.open > OPEN_WINDOWS:
-                    *full, rest = [*_pour(packer.drain(), capacity, False), []]
-                    for window in full:
-                        if sum(len(p[2]) // 4 for p in window) == capacity:
-                            done.append(window)
-                        else:
-                            rest = window
-                    for piece in rest:
-                        if window := packer.place(piece, len(piece[2]) // 4):
-                            done.append(window)
+                for at in range(0, len(ids) // 4, capacity):
+                    placed(packer, (doc, at, ids[4 * at : 4 * (at + capacity)], len(ids) // 4), done)
+                if len(done) > 256:
+                    yield marked(rows_of.of(done), False)
+                    done = []
+            if done:
+                yield marked(rows_of.of(done), False)
+        left = packer.drain()
+        for i in range(0, len(left), 256):
+            yield marked(rows_of.of(left[i : i + 256]), True)
+
+    def pack_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pieces come sorted by group, window and offset; each group has a packer of its own."""
+        packer, group, rows_of = SumOfSquares(capacity), None, Rows(0)
+        for rows in batches:
+            done: list[list] = []
+            groups = rows.column(0).to_pylist()
+            for now, *piece in zip(groups, *(rows.column(c).to_pylist() for c in ("doc_id", "start", "ids", "doc_tokens"))):
+                if now != group:
+                    done += _pour(packer.drain(), capacity, True)
+                    if done:
+                        yield rows_of.of(done)
+                        done = []
+                    group, rows_of = now, Rows((1 << 62) + (now << 32))
+                placed(packer, tuple(piece), done)
                 if len(done) > 256:
-                    yield batch(done)
+                    yield rows_of.of(done)
                     done = []
             if done:
-                yield batch(done)
+                yield rows_of.of(done)
         if done := list(_pour(packer.drain(), capacity, True)):
-            yield batch(done)
+            yield rows_of.of(done)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(pack, PIECES)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+    first = settle(texts.mapInArrow(pack, f"{PIECES}, left boolean"))
+    open_ = first.where("left").withColumn("group", F.shiftright("sequence_id", 32 + FAN_BITS))
+    again = open_.select("group", "doc_id", "start", "ids", "doc_tokens", "sequence_id", "offset").repartition("group").sortWithinPartitions("group", "sequence_id", "offset")
+    return first.where("not left").drop("left").unionByName(again.mapInArrow(pack_again, PIECES))
