@@ -46,7 +46,8 @@ def part_keys(line: Column, parts: int) -> Column:
 
 def sharing(keyed: DataFrame) -> DataFrame:
     """The h of rows (h, key) that share a key with another h."""
-    shared = keyed.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high").select("key")
+    ends = [f(f"h.{c}").alias(f"{c}_{f.__name__}") for c in "ab" for f in (F.min, F.max)]
+    shared = keyed.groupBy("key").agg(*ends).where("a_min <> a_max or b_min <> b_max").select("key")
     return keyed.join(shared, "key", "left_semi").select("h").distinct()
 
 
