@@ -6,10 +6,11 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxframe.llm.common import text_of
+from boxframe.operators.ranks import ranked
 
 
 def ring(n_shards: int, vnodes: int, cells: int) -> tuple[np.ndarray, np.ndarray]:
@@ -68,12 +69,14 @@ def ring_shards(
     A document's place on the ring is the hash of its id. Bounded loads at load factor 1: the
     law is `rows` (counts at most one apart). Only the counts of the ring's cells (at most
     `cells` numbers) reach the driver, which walks them round the ring; documents then take
-    their shard by their rank within their cell. The plan joined back has at most
+    their shard by their rank within their cell. Ranks come from range partitions over all rows,
+    so rows that repeat one id, and so share a cell, are dealt over tasks. The plan joined back has at most
     cells + shards^2 rows, so it is broadcast. Use more cells for more than about 10^10 rows.
 
     `shard_if_grown` is the shard by the same ring with one more shard; `grown_shard` is null
     under this law. Null texts have size 1 and checksum 0; documents without id are placed by
-    their text; equal rows get slots of their own; an empty table gives no rows.
+    their text; equal rows get slots of their own; an empty table gives no rows. Very long texts
+    are read in the first scan only; other columns are not carried.
     """
     spark = docs.sparkSession
     raw = text_of(text_col).cast("binary")
@@ -86,12 +89,13 @@ def ring_shards(
     counts = np.zeros(cells, np.int64)
     for cell, n in rows.groupBy("cell").count().collect():
         counts[cell] = n
-    now = F.broadcast(spark.createDataFrame(fill(counts, n_shards, vnodes)))
+    plan = fill(counts, n_shards, vnodes)
+    begins = np.cumsum(counts) - counts  # cells follow each other in the order of places
+    plan = plan.append_column("begin", pa.array(begins[plan.column("cell").to_numpy()], pa.int64()))
+    now = F.broadcast(spark.createDataFrame(plan))
     grown = fill(counts, n_shards + 1, vnodes).select(["cell", "low", "high", "shard"]).rename_columns(["cell", "low_g", "high_g", "shard_if_grown"])
-    ranked = rows.withColumn(
-        "rank", (F.row_number().over(Window.partitionBy("cell").orderBy("place", "doc_id", "text_crc32", "size")) - 1).cast("long")
-    )
-    within = ranked.join(now, "cell").where("rank >= low and rank < high")
+    placed = ranked(rows, ["cell", "place", "doc_id", "text_crc32", "size"], "whole place")
+    within = placed.join(now, "cell").withColumn("rank", F.col("whole place") - F.col("begin")).where("rank >= low and rank < high")
     within = within.join(F.broadcast(spark.createDataFrame(grown)), "cell").where("rank >= low_g and rank < high_g")
     return within.select(
         "doc_id",

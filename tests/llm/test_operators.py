@@ -117,6 +117,25 @@ def test_sharding(spark, docs, odd, none):
     assert sharding.ring_shards(none).count() == 0
 
 
+def test_one_more_shard_moves_few_rows(spark):
+    """Least is one in 17 rows, into the new shard; bounded loads move some between old shards too."""
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
+    rows = sharding.ring_shards(docs, 16).select("shard", "shard_if_grown").collect()
+    moved = [r for r in rows if r.shard != r.shard_if_grown]
+    sizes = Counter(r.shard_if_grown for r in rows)
+    assert 1 / 17 - 0.001 < len(moved) / len(rows) < 0.13 and sum(r.shard_if_grown < 16 for r in moved) / len(rows) < 0.06
+    assert max(sizes.values()) - min(sizes.values()) <= 1 and len(sizes) == 17
+
+
+def test_one_id_may_repeat_in_many_rows(spark):
+    docs = spark.range(5_000).select(F.when(F.col("id") % 3 > 0, 7).otherwise(F.col("id")).alias("doc_id"), F.concat(F.lit("t"), F.col("id") % 5).alias("text"))
+    slots = defaultdict(list)
+    for r in sharding.ring_shards(docs, 16).collect():
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert {len(s) for s in slots.values()} == {312, 313} and len(slots) == 16
+
+
 def test_ring_overflow_is_a_walk():
     counts = np.random.default_rng(2).integers(0, 9, 256)
     plan = sharding.fill(counts, 5, 8).to_pylist()
