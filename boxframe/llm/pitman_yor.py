@@ -20,7 +20,8 @@ CONTEXTS = 1 << 16
 #: their exact conditional for any c.
 DISCOUNT = 0.5
 STRENGTH, ROOT_STRENGTH = 30.0, 100.0
-BURN_IN, KEPT_SWEEPS = 2, 3
+#: Sweeps on a bucket's own totals, sweeps on those of all before any counts, and those that count.
+BURN_IN, SETTLING, KEPT_SWEEPS = 2, 2, 3
 #: Table counts that are looked at for one draw: all of up to so many, else a window at the mode.
 FEW_TABLES, WINDOW = (4, 12, 32, 128), 512
 #: Words that make up more than one in so many tokens are spread over all buckets by context.
@@ -243,12 +244,13 @@ class Bucket:
         return np.concatenate([self.per_context(self.count), self.per_context(tables), self.per_hot(self.word_count), self.per_hot(self.per_word(tables)), ends]).astype(np.int64)
 
     def sweeps(self, seed: int, start: tuple[np.ndarray, np.ndarray], totals: Totals) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(tables, root tables) after each kept sweep. Other buckets' tables stand as when they
-        were summed, this bucket's own are its latest; every task that repeats this gets the same."""
+        """(tables, root tables) after each kept sweep; the first ones settle what began on the
+        bucket's own totals and are not kept. Other buckets' tables stand as when they were summed,
+        this bucket's own are its latest; every task that repeats this gets the same."""
         rng, (tables, root) = np.random.default_rng(seed), (x.copy() for x in start)
         before, before_root, before_hot = self.per_context(tables), root[self.cold].sum(), self.per_hot(self.per_word(tables))
-        for k in range(KEPT_SWEEPS):
-            hot_root = totals.hot_root(k)
+        for k in range(-SETTLING, KEPT_SWEEPS):
+            hot_root = totals.hot_root(k if k >= 0 else KEPT_SWEEPS - k)
             root[self.hot] = hot_root[self.place]
             customers, change = self.per_word(tables), self.per_hot(self.per_word(tables)) - before_hot
             all_customers = totals.customers + self.per_context(tables).sum() - before.sum()
@@ -259,7 +261,8 @@ class Bucket:
             others = (here[self.context] - tables)[self.many].astype(float)
             tables[self.many] = seat(self.count[self.many], others, base[self.word[self.many]], STRENGTH, rng)
             self._seat_root(tables, root, float(all_tables), totals.types, rng)
-            yield tables, root
+            if k >= 0:
+                yield tables, root
 
     def closing(self, tables: np.ndarray, root: np.ndarray) -> np.ndarray:
         """This bucket's share of one of `Totals.kept`."""
@@ -280,7 +283,7 @@ class Bucket:
 
 
 def score_language(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_fold: int = 2
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_fold: int = 2, buckets: int | None = None
 ) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every whole text.
 
@@ -293,19 +296,19 @@ def score_language(
     Plan: a first pass finds the words that are a large share of all tokens. Then tasks turn
     blocks of documents into pairs (word, context), combined per block, and send each to its
     bucket: a word has one, but the contexts of a hot word are dealt to all, so no task holds
-    one word whole. The number of buckets grows with the text. Buckets seat their words, their
+    one word whole. The number of buckets grows with the text, unless it is given. Buckets seat their words, their
     table totals (a fixed size: 2^16 contexts, at most 2^15 hot words) are summed as streams and
     broadcast, and the kept sweeps are drawn given these. Tasks that need a seating again repeat
     its draws, so seatings are not stored. Then each bucket gives every block its documents' sums.
 
-    Null and empty texts are one end token. Documents without id are held out. Repeated rows are
+    Null and empty texts are one end token; very long ones are hashed in parts. Documents without id are held out. Repeated rows are
     scored and learnt each time; an empty table gives no rows; other columns are not carried.
     """
     spark = docs.sparkSession
     fold = F.crc32(F.col(id_col).cast("string").cast("binary")) % folds
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(fold == held_fold, F.lit(True)).alias("held"), text_of(text_col).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(8, math.ceil(size / BUCKET_BYTES))
+    buckets = buckets or max(8, math.ceil(size / BUCKET_BYTES))
     hot = hot_words(rows.select("text"))
     shared_hot = spark.sparkContext.broadcast(hot)
 
