@@ -362,7 +362,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     different components are compared, in blocks, so every similar pair of a bucket ends in one
     class.
 
-    Null texts are classes of their own; empty texts are equal to each other. Texts of fewer than
+    Null texts are classes of their own; empty texts are equal to each other; very long ones are
+    hashed in parts. Texts of fewer than
     five words are one shingle. Rows that repeat an id are one document with the smallest of its
     texts' classes; ties go to the smallest id. Rows without id are returned one by one, kept and
     without class. An empty table gives no rows; other columns are not carried. Ids must be integers.

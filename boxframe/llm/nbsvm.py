@@ -199,7 +199,8 @@ def score_quality(
     but the whole text enters a score. Ratios count all labelled rows; the linear model is
     fitted on at most `fit_rows` of them. Model size is fixed (2^18 features), so it is broadcast.
 
-    Null and empty texts have no features and get the score of the bias. Labels that are null,
+    Null and empty texts have no features and get the score of the bias; a very long text is read
+    whole, in a block of its own. Labels that are null,
     not 0 or 1, or of unknown documents are ignored; with one class only all scores lean to it,
     without labels they are 0.5. Repeated rows and ties are scored row by row; an empty table
     gives no rows. Other columns stay; ones named held_out, score or predicted are replaced.

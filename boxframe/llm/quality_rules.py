@@ -101,7 +101,7 @@ def judge_by_host(docs: DataFrame, *, text_col: str = "text", host_col: str = "s
     are joined back on (host, salt), each host's row being repeated for the salts, so a host
     with a third of all rows is dealt over many tasks.
 
-    Null and empty texts have no words and fail. A null host is a host of its own. Repeated rows
+    Null and empty texts have no words and fail; a very long text is one row of its task. A null host is a host of its own. Repeated rows
     and ties are judged row by row; an empty table gives no rows; other columns are not carried.
     """
     counts = settle(rule_counts(docs, text_col=text_col, host_col=host_col, id_col=id_col))
