@@ -21,13 +21,16 @@ MASK = "[{}]"
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the naive Bayes support vectors predict to be of quality."""
+    """Documents that the naive Bayes support vectors predict to be of quality. Null texts are scored
+    as empty ones; rows that repeat an id, and rows without one, are judged row by row."""
     scored = nbsvm.score_quality(docs, table(spark, sf_dir, "labels"))
     return scored.where("predicted = 1").select(*docs.columns)
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines leave all documents but the first; a document that loses all its words leaves."""
+    """Repeated lines leave all documents but the first; a document that loses all its words leaves.
+    Null texts stay null; rows that repeat an id count as one document for order, and those
+    without id come before all."""
     kept = line_dedup.dedup_lines(docs)
     has_words = F.coalesce(F.col("text").rlike("[^ \\t\\n\\x0B\\f\\r]"), F.lit(False))
     return with_length(kept.where((F.col("n_dropped") == 0) | has_words), docs)
@@ -48,7 +51,8 @@ def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def secret_masking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Found secrets are masked in the text; the documents stay. Only documents whose weak
-    candidates wait for their complements are shuffled."""
+    candidates wait for their complements are shuffled. Null texts stay null; repeated rows and
+    rows without id are masked row by row."""
     found = secrets.scan_secrets(docs, carry=True).select("row.*", F.col("spans").alias("spans of secrets"))
     masked = F.when(F.size("spans of secrets") > 0, mask_spans(F.col("text"), F.col("spans of secrets"))).otherwise(F.col("text"))
     return with_length(found.withColumn("text", masked), docs)
@@ -75,7 +79,8 @@ def with_length(docs: DataFrame, like: DataFrame) -> DataFrame:
 
 
 def sum_of_squares_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The kept documents' tokens in windows of 4096."""
+    """The kept documents' tokens in windows of 4096. A null text is one end token; repeated rows
+    are packed each time, and a null id stays null."""
     pieces = packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
