@@ -16,7 +16,7 @@ from boxframe.llm.common import settle, text_of
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 #: So many partitions' open windows go to one second packer.
-FAN_BITS = 4
+FAN_BITS = 3
 #: Kept words, by number and by characters.
 CACHE_WORDS, CACHE_CHARS = 800_000, 50_000_000
 #: More open windows than this are poured together early, so a packer's memory is bounded.
@@ -192,7 +192,7 @@ def pack_documents(
     Each input partition has its own online packer, so texts are not shuffled and a lost task is
     redone alone. Documents longer than a window give full windows first; the rest is placed whole
     by the sum-of-squares rule. When a partition ends, the pieces of its open windows (a fixed
-    number at most, so a small share of a large partition) go on to a second packer for every 16
+    number at most, so a small share of a large partition) go on to a second packer for every 8
     partitions, which places them by the same rule. What that leaves open is poured together and
     cut, and the last ids go into sequences whose lengths are powers of two, so no sequence needs
     padding. A sequence's id holds its packer's number above bit 32, second ones above bit 62.
