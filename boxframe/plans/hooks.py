@@ -89,4 +89,4 @@ def table_function(spark: SparkSession, name: str, make_model: Callable[[], Call
             if self.rows:
                 yield from self.given()
 
-    spark.udtf.register(name, F.udtf(Blocks, returnType=schema))
+    spark.udtf.register(name, F.udtf(Blocks, returnType=schema, useArrow=True))

@@ -106,7 +106,7 @@ w as (select *, row_number() over (partition by video_id, track_id order by roun
 def _matched(spark, sf):
     t = tracks(spark, sf)
     truth = t.select("video_id", F.col("track_id").alias("gt_id"), "frame_idx", "gx1", "gy1", "gx2", "gy2")
-    return spatial.match_overlapping(t.select("video_id", "track_id", "frame_idx", *BOX), truth, cell=256.0)
+    return spatial.match_overlapping(t.select("video_id", "track_id", "frame_idx", *BOX), truth, cell=512.0)
 
 
 @query(f"with {MATCHED} select video_id, track_id, gt_id, round(mean_iou, 6) mean_iou from best")
@@ -187,7 +187,7 @@ def bbox_iou_pairs(spark, sf):
     """Pairs of overlapping boxes of one frame, met by a grid."""
     d = detections(spark, sf)
     other = d.select("video_id", F.col("det_id").alias("b_id"), *[F.col(c).alias("b" + c) for c in BOX])
-    met = spatial.overlapping_pairs(d.select("video_id", F.col("det_id").alias("a_id"), *BOX), other, ["video_id"], 256.0, "b").where("a_id < b_id")
+    met = spatial.overlapping_pairs(d.select("video_id", F.col("det_id").alias("a_id"), *BOX), other, ["video_id"], 512.0, "b").where("a_id < b_id")
     return met.select("video_id", "a_id", "b_id", F.round(G.iou(G.box(), G.box("b")), 6).alias("iou"))
 
 
