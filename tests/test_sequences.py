@@ -196,10 +196,10 @@ def test_stream_smoother_equals_batch(spark):
 
 def test_late_rows_are_counted(spark, tmp_path):
     rows = [(1, 0), (1, 5000), (2, 9000), (1, 10), (1, 9001)]
-    batches(spark, str(tmp_path), [(u, t) for u, t in rows], "user_id long, t long", [[0, 1, 2], [3, 4]])
+    batches(spark, str(tmp_path), [(u, t) for u, t in rows], "user_id long, t long", [[0, 1, 2], [4], [3]])
     schema = spark.read.parquet(f"{tmp_path}/b0").schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/b*")
     counts = streaming.session_counts(stream, "user_id", "10 minutes", "1 minute")
-    query = counts.writeStream.outputMode("append").option("checkpointLocation", f"{tmp_path}/checkpoint").trigger(availableNow=True).foreachBatch(lambda b, k: None).start()
+    query = counts.writeStream.outputMode("append").option("checkpointLocation", f"{tmp_path}/checkpoint").trigger(availableNow=True).foreachBatch(lambda b, k: b.collect()).start()
     query.awaitTermination()
     assert streaming.dropped_rows(query) == 1
