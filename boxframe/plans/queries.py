@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from boxframe import streaming
 from boxframe.functions import geometry as G
 from boxframe.functions import text as X
-from boxframe.operators import assign, dedupe, evaluate, kalman, names, spatial, status
+from boxframe.operators import assign, dedupe, evaluate, kalman, matching, names, spatial, status
 from boxframe.operators import tracks as K
 from boxframe.sources import readers
-from boxframe.plans.views import DET, TRACKS, detections, distance_sql, inter_sql, iou_sql, table, tracks
+from boxframe.plans.views import CROWDED, DET, TRACKS, crowded, detections, distance_sql, inter_sql, iou_sql, table, tracks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -99,14 +99,15 @@ def gt_status(spark, sf):
     return tracks(spark, sf).select("video_id", "track_id", "frame_idx", state.alias("status"), drawn.alias("drawn"))
 
 
-MATCHED = f"""{TRACKS}, m as (select p.video_id, p.track_id, g.track_id gt_id, avg({iou_sql('p.', 'g.g')}) mean_iou from tracks p join tracks g using (video_id, frame_idx) where p.has_box group by all),
+MATCHED = f"""{CROWDED}, m as (select p.video_id, p.track_id, g.track_id gt_id, avg({iou_sql('p.', 'g.g')}) mean_iou from tracks p join tracks g using (video_id, frame_idx) where p.has_box group by all),
 w as (select *, row_number() over (partition by video_id, track_id order by round(mean_iou, 9) desc, gt_id) r from m), best as (select video_id, track_id, gt_id, mean_iou from w where r = 1 and mean_iou > 0.2)"""
 
 
 def _matched(spark, sf):
-    t = tracks(spark, sf)
+    """In crowded videos almost all tracks meet, so they are matched by blocks."""
+    t = crowded(spark, sf)
     truth = t.select("video_id", F.col("track_id").alias("gt_id"), "frame_idx", "gx1", "gy1", "gx2", "gy2")
-    return spatial.match_overlapping(t.select("video_id", "track_id", "frame_idx", *BOX), truth, cell=512.0)
+    return matching.match_in_blocks(t.select("video_id", "track_id", "frame_idx", *BOX), truth)
 
 
 @query(f"with {MATCHED} select video_id, track_id, gt_id, round(mean_iou, 6) mean_iou from best")

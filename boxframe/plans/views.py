@@ -51,6 +51,14 @@ tracks as (select user_id // 10 video_id, user_id track_id, event_type class_nam
   cast(event_type='error' as int) occ, cast(event_type='signup' and k<20 as int) oov from e0)"""
 
 
+def crowded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same tracks in fifteen videos, each with a fifteenth of all tracks."""
+    return tracks(spark, sf_dir).withColumn("video_id", F.col("track_id") % 15)
+
+
+CROWDED = TRACKS.replace("user_id // 10 video_id", "user_id % 15 video_id")
+
+
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_quantity"))
     p, s = F.col("l_partkey") * 13 % 200, F.col("l_suppkey") * 17 % 200
