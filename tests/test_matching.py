@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 import __spark_entry__  # noqa: F401  registers all queries
 from boxframe.operators import evaluate, matching
 from boxframe.operators import tracks as K
+from boxframe.plans import queries
 from boxframe.plans.queries import QUERIES
+from boxframe.plans.views import tracks
 
 SF = "/root/testdata/sf0.001"
 
@@ -47,3 +49,18 @@ def test_matches_of_crowded_videos(spark):
     """Fifteen videos, each with all tracks of its remainder."""
     rows = QUERIES["track_match_best"](spark, SF).collect()
     assert rows and all(r.video_id == r.track_id % 15 == r.gt_id % 15 for r in rows)
+
+
+def crowded_matches(spark, monkeypatch):
+    """Mean IoUs by the plain form; queries then see the same videos, of three tracks, as this
+    scale has one in each of fifteen."""
+    t = tracks(spark, SF).withColumn("video_id", F.col("track_id") % 5)
+    monkeypatch.setattr(queries, "crowded", lambda spark, sf: t)
+    truth = t.select("video_id", F.col("track_id").alias("gt_id"), "frame_idx", "gx1", "gy1", "gx2", "gy2")
+    return [r.mean_iou for r in evaluate.match_tracks(t.select("video_id", "track_id", "frame_idx", *K.BOX), truth).collect()]
+
+
+def test_histogram_of_crowded_videos(spark, monkeypatch):
+    values = crowded_matches(spark, monkeypatch)
+    want = [sum(min(int((v - 0.2) / 0.04), 19) == i for v in values) for i in range(20)]
+    assert [r.n for r in QUERIES["iou_histogram"](spark, SF).orderBy("bin").collect()] == want and sum(want) == 15
