@@ -64,3 +64,9 @@ def test_histogram_of_crowded_videos(spark, monkeypatch):
     values = crowded_matches(spark, monkeypatch)
     want = [sum(min(int((v - 0.2) / 0.04), 19) == i for v in values) for i in range(20)]
     assert [r.n for r in QUERIES["iou_histogram"](spark, SF).orderBy("bin").collect()] == want and sum(want) == 15
+
+
+def test_mean_of_crowded_videos(spark, monkeypatch):
+    values = crowded_matches(spark, monkeypatch)
+    (row,) = QUERIES["od_mean_iou"](spark, SF).collect()
+    assert row.n_matched == len(values) == 15 and row.mean_iou == pytest.approx(sum(values) / 15, abs=1e-6)
