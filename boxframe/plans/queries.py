@@ -126,20 +126,21 @@ def od_mean_iou(spark, sf):
     return evaluate.mean_overlap(_matched(spark, sf)).select("n_matched", *rounded(["mean_iou"]))
 
 
-@query(f"""with {TRACKS}, p as (select video_id, frame_idx // 10 + 1 part, track_id, frame_idx, x1, y1, x2, y2 from tracks where has_box and class_name = 'click'),
+@query(f"""with {CROWDED}, p as (select video_id, frame_idx // 10 + 1 part, track_id, frame_idx, x1, y1, x2, y2 from tracks where has_box and class_name = 'click'),
 m as (select p.video_id, p.part, p.track_id, g.track_id gt_id, avg({iou_sql('p.', 'g.g')}) mean_iou from p join tracks g using (video_id, frame_idx) group by all),
 w as (select *, row_number() over (partition by video_id, part, track_id order by round(mean_iou, 9) desc, gt_id) r from m)
 select video_id, part, track_id, gt_id, round(mean_iou, 6) mean_iou from w where r = 1 and mean_iou > 0.2""")
 def vidor_offset_match(spark, sf):
     """Clips of ten frames, numbered from 0 in each, against the truth of the whole video; one class only."""
-    t = tracks(spark, sf)
+    t = crowded(spark, sf)
     part = (F.floor(F.col("frame_idx") / 10) + 1).cast("long")
     clips = t.select("video_id", part.alias("part")).distinct()
     clips = clips.withColumn("frame_offset", K.clip_offset_frames(F.lit(0.0), F.col("part"), F.lit(1.0)))
     preds = t.withColumn("part", part).withColumn("frame_idx", F.col("frame_idx") % 10)
     preds = evaluate.shifted(evaluate.of_class(preds, "click"), clips, ["video_id", "part"])
     truth = t.select("video_id", F.col("track_id").alias("gt_id"), "frame_idx", "gx1", "gy1", "gx2", "gy2")
-    found = evaluate.match_tracks(preds.select("video_id", "part", "track_id", "frame_idx", *BOX), truth, track=["part", "track_id"])
+    seen = preds.select("video_id", "part", "frame_idx").distinct()
+    found = matching.match_in_blocks(preds, truth.join(seen, ["video_id", "frame_idx"]), ["video_id", "part"])
     return found.select("video_id", "part", "track_id", "gt_id", *rounded(["mean_iou"]))
 
 

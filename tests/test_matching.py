@@ -70,3 +70,14 @@ def test_mean_of_crowded_videos(spark, monkeypatch):
     values = crowded_matches(spark, monkeypatch)
     (row,) = QUERIES["od_mean_iou"](spark, SF).collect()
     assert row.n_matched == len(values) == 15 and row.mean_iou == pytest.approx(sum(values) / 15, abs=1e-6)
+
+
+def test_parts_against_the_whole_truth(spark):
+    """Clips of ten frames of fifteen videos, by the plain form."""
+    rows = QUERIES["vidor_offset_match"](spark, SF).collect()
+    t = tracks(spark, SF).withColumn("video_id", F.col("track_id") % 15)
+    preds = t.where("class_name = 'click'").withColumn("part", (F.floor(F.col("frame_idx") / 10) + 1).cast("long"))
+    truth = t.select("video_id", F.col("track_id").alias("gt_id"), "frame_idx", "gx1", "gy1", "gx2", "gy2")
+    want = evaluate.match_tracks(preds.select("video_id", "part", "track_id", "frame_idx", *K.BOX), truth, track=["part", "track_id"]).collect()
+    assert sorted((r.video_id, r.part, r.track_id, r.gt_id) for r in rows) == sorted((r.video_id, r.part, r.track_id, r.gt_id) for r in want)
+    assert rows and all(r.video_id == r.track_id % 15 for r in rows)
