@@ -115,9 +115,16 @@ def window_samples(tracks: DataFrame, keys: list[str], size: int = 30, stride: i
 
 def relevant_objects(sampled: DataFrame, boxes: DataFrame, clip: str, keys: list[str], person: str = "person_") -> DataFrame:
     """(keys, start_f, other): objects with a box in a sampled frame of the window. boxes: (clip,
-    frame_idx, key, x1); keys that begin with `person` are no objects."""
+    frame_idx, key, x1); keys that begin with `person` are no objects.
+
+    Windows of a clip with the same sampled frames have the same objects: these are sought once for
+    each such set of frames and then given to its windows, so no row is met twice.
+    """
     things = boxes.where(F.col("x1").isNotNull() & ~F.col("key").startswith(person)).select(clip, "frame_idx", F.col("key").alias("other"))
-    return sampled.select(*keys, "start_f", "frame_idx").join(things, [clip, "frame_idx"]).select(*keys, "start_f", "other").distinct()
+    windows = sampled.groupBy(clip, *[k for k in keys if k != clip], "start_f").agg(F.array_sort(F.collect_set("frame_idx")).alias("frames"))
+    sets = windows.select(clip, "frames").distinct()
+    found = sets.withColumn("frame_idx", F.explode("frames")).join(things, [clip, "frame_idx"]).select(clip, "frames", "other").distinct()
+    return windows.join(found, [clip, "frames"]).select(*keys, "start_f", "other")
 
 
 def present_windows(sampled: DataFrame, keys: list[str], missing: float = 7.5) -> DataFrame:

@@ -423,11 +423,11 @@ def window_objects(spark, sf):
     return found.groupBy(*KEYS, "start_f").agg(F.count_distinct("other").alias("n_objects"))
 
 
-@query(f"""with {WINDOWS} select distinct p.video_id, p.track_id, p.start_f::int start_f, t.class_name || '_' || t.track_id other from pres p join smp using (video_id, track_id, start_f)
+@query(f"""with {WINDOWS.replace(TRACKS, CROWDED)} select distinct p.video_id, p.track_id, p.start_f::int start_f, t.class_name || '_' || t.track_id other from pres p join smp using (video_id, track_id, start_f)
 join tracks t on t.video_id = p.video_id and t.frame_idx = smp.frame_idx and t.x1 is not null and t.class_name <> 'view'""")
 def relevant_objects(spark, sf):
     """What has a box in a sampled frame of a window and is no person (views stand for persons)."""
-    t = tracks(spark, sf)
+    t = crowded(spark, sf)
     sampled = K.window_samples(t, KEYS)
     sampled = sampled.join(K.present_windows(sampled, KEYS).select(*KEYS, "start_f"), [*KEYS, "start_f"])
     boxes = t.select("video_id", "frame_idx", "x1", F.concat_ws("_", "class_name", "track_id").alias("key"))

@@ -81,3 +81,16 @@ def test_parts_against_the_whole_truth(spark):
     want = evaluate.match_tracks(preds.select("video_id", "part", "track_id", "frame_idx", *K.BOX), truth, track=["part", "track_id"]).collect()
     assert sorted((r.video_id, r.part, r.track_id, r.gt_id) for r in rows) == sorted((r.video_id, r.part, r.track_id, r.gt_id) for r in want)
     assert rows and all(r.video_id == r.track_id % 15 for r in rows)
+
+
+def test_objects_of_windows_with_like_and_other_frames(spark):
+    """Each window's objects, where windows share their frames, part of them or none."""
+    rng = random.Random(3)
+    sampled = [(rng.randrange(2), w, 0, f) for w in range(8) for f in ([0, 2, 4] if w < 4 else rng.sample(range(9), 3))]
+    boxes = [(rng.randrange(2), f, f"{'person' if i % 3 == 0 else 'cup'}_{i}", 1.0 if rng.random() < 0.7 else None) for f in range(9) for i in range(6)]
+    s = spark.createDataFrame(sampled, "video_id int, track_id int, start_f int, frame_idx long")
+    b = spark.createDataFrame(boxes, "video_id int, frame_idx long, key string, x1 double")
+    got = sorted(map(tuple, K.relevant_objects(s, b, "video_id", ["video_id", "track_id"]).collect()))
+    want = {(v, w, start, key) for v, w, start, f in sampled for c, frame, key, x in boxes if (c, frame) == (v, f) and x is not None and not key.startswith("person_")}
+    assert got == sorted(want) and want
+    assert all(r.video_id == r.track_id % 15 for r in QUERIES["relevant_objects"](spark, SF).collect())
