@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -20,19 +21,20 @@ STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 
 
 class InOrder(StatefulProcessor):
-    """Rows of a key wait in a list state until the watermark passes their time; then `advance` gets
-    them in order of time and `order`, so late rows within the watermark's delay change nothing.
-
-    A row that is `idle` milliseconds or more after the one before it begins a new state. One timer
-    a key stands at the earliest waiting time, or, while nothing waits, `idle` milliseconds after
-    the newest row taken: then all of the key is cleared. State is in the checkpoint, so a query
-    that starts again goes on where it stood.
+    """Rows wait in a list state until the watermark passes their time; then `advance` gets those of
+    each key in order of time and `order`, so late rows within the watermark's delay change nothing.
+
+    Keys are dealt to buckets by their hash, and state and timers are a bucket's: calls and reads of
+    state go with buckets and batches, not with keys. A row that is `idle` milliseconds or more
+    after its key's one before begins a new state. One timer a bucket stands at the earliest waiting
+    time, or at the earliest end of a key's `idle` milliseconds if that is sooner: then such keys
+    are cleared. State is in the checkpoint, so a query that starts again goes on where it stood.
     """
 
-    #: (name, type) of the waiting rows; `at` is the time in milliseconds.
-    waits: str
-    #: The schema of the state that `advance` carries, and what gives ties an order.
-    carries: str
+    #: What waits of each row; `at` is the time in milliseconds. Then what `advance` carries.
+    waits: list[str]
+    carries: list[str]
+    #: What gives ties an order, and the columns of the output.
     order: list[str]
     gives: list[str]
 
@@ -41,72 +43,82 @@ class InOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.waits)
-        self.carried = handle.getValueState("carried", self.carries)
-        self.clock = handle.getValueState("clock", "timer long, newest long")
+        self.waiting = handle.getListState("waiting", "rows binary")
+        self.carried = handle.getValueState("carried", "rows binary")
+        self.clock = handle.getValueState("clock", "timer long")
 
     @abstractmethod
-    def advance(self, key: tuple, state: tuple | None, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
-        """The next state and the output of rows that come in order."""
-
-    def columns(self) -> list[str]:
-        return [c.split()[0] for c in self.waits.split(", ")]
+    def advance(self, state: pd.DataFrame, number: np.ndarray, fresh: np.ndarray, rows: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+        """The next state and the output of rows that come in order, key by key. number: each row's
+        key, as a place in `state`; fresh: rows before which the state is forgotten, or was none."""
 
-    def set_timer(self, at: int, newest: int) -> None:
-        old = self.clock.get()[0] if self.clock.exists() else None
-        if old != at:
-            if old is not None:
-                self.handle.deleteTimer(old)
-            self.handle.registerTimer(at)
-        self.clock.update((at, newest))
+    def set_timer(self, at: int) -> None:
+        self.handle.registerTimer(at)
+        self.clock.update((at,))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows))
-        taken = new[self.columns()].astype(object).where(new[self.columns()].notna(), None)
-        self.waiting.appendList([tuple(r) for r in taken.itertuples(index=False, name=None)])
-        first = int(new["at"].min())
-        timer, newest = self.clock.get() if self.clock.exists() else (None, -1)
-        # An idle key's timer gives way to the first row's, an earlier one stays.
-        self.set_timer(first if timer is None or timer == newest + self.idle else min(first, timer), newest)
+        new = pd.concat([r[[*self.keys, *self.waits]] for r in rows])
+        self.waiting.appendList([(packed(new),)])
+        first, timer = int(new["at"].min()), self.clock.get()[0] if self.clock.exists() else None
+        if timer is None or first < timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.set_timer(first)
         return iter([])
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs()
-        rows = pd.DataFrame(list(self.waiting.get()) if self.waiting.exists() else [], columns=self.columns())
-        ripe = rows["at"] <= passed if len(rows) else np.zeros(0, bool)
-        newest = self.clock.get()[1]
+        rows = unpacked([r[0] for r in self.waiting.get()] if self.waiting.exists() else [], [*self.keys, *self.waits])
+        carried = unpacked([self.carried.get()[0]] if self.carried.exists() else [], [*self.keys, "newest", *self.carries])
         self.clock.clear()  # the timer that fired is gone
-        if not len(rows):
-            self.carried.clear()
-            return
-        now, later = rows[ripe].sort_values(["at", *self.order], kind="stable"), rows[~ripe]
+        ripe = (rows["at"] <= passed).to_numpy(bool)
+        now, later = rows[ripe].sort_values([*self.keys, "at", *self.order], kind="stable", ignore_index=True), rows[~ripe]
         if len(now):
-            at = now["at"].to_numpy("int64")
-            silent = np.flatnonzero(np.diff(at, prepend=newest if newest >= 0 else at[0]) >= self.idle)
-            state = self.carried.get() if self.carried.exists() else None
-            for start, end in itertools.pairwise([0, *silent, len(now)]):
-                state = None if start in silent else state
-                if start < end:
-                    state, out = self.advance(key, state, now.iloc[start:end])
-                    yield out.assign(**dict(zip(self.keys, key)))[[*self.keys, *self.gives]]
-            self.carried.update(state)
-            newest = int(at[-1])
-        if len(later):
-            self.waiting.put([tuple(r) for r in later.astype(object).where(later.notna(), None).itertuples(index=False, name=None)])
-            self.set_timer(int(later["at"].min()), newest)
-        else:
-            self.waiting.clear()
-            self.set_timer(newest + self.idle, newest)
+            first = ~now.duplicated(self.keys).to_numpy()
+            heads = now.loc[first, self.keys].reset_index(drop=True)
+            before = heads.merge(carried, on=self.keys, how="left") if len(carried) else heads.reindex(columns=carried.columns)
+            number, at = np.cumsum(first) - 1, now["at"].to_numpy("float64")
+            newest = before["newest"].to_numpy("float64")
+            gap = at - np.where(first, newest[number], np.roll(at, 1))
+            state, out = self.advance(before, number, ~(gap < self.idle), now)
+            yield pd.concat([now[self.keys], out[self.gives]], axis=1)
+            ends = np.append(np.flatnonzero(first)[1:], len(now)) - 1
+            state = pd.concat([heads, pd.Series(now["at"].to_numpy("int64")[ends], name="newest"), state[self.carries]], axis=1)
+            carried = pd.concat([carried[absent(carried, heads, self.keys)], state]) if len(carried) else state
+        carried = carried[(carried["newest"] + self.idle > passed).to_numpy(bool)]
+        self.waiting.put([(packed(later),)]) if len(later) else self.waiting.clear()
+        self.carried.update((packed(carried),)) if len(carried) else self.carried.clear()
+        times = [*([later["at"].min()] if len(later) else []), *([carried["newest"].min() + self.idle] if len(carried) else [])]
+        if times:
+            self.set_timer(int(min(times)))
 
     def close(self) -> None:
         pass
 
 
+def packed(rows: pd.DataFrame) -> bytes:
+    """Rows as an Arrow stream."""
+    table, sink = pa.Table.from_pandas(rows, preserve_index=False).replace_schema_metadata(), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(parts: list[bytes], columns: list[str]) -> pd.DataFrame:
+    tables = [pa.ipc.open_stream(bytes(p)).read_all() for p in parts]
+    return pa.concat_tables(tables, promote_options="permissive").to_pandas() if tables else pd.DataFrame(columns=columns)
+
+
+def absent(carried: pd.DataFrame, heads: pd.DataFrame, keys: list[str]) -> np.ndarray:
+    """Which keys of `carried` have no row in `heads`."""
+    return (carried[keys].merge(heads, on=keys, how="left", indicator=True)["_merge"] == "left_only").to_numpy()
+
+
 class Stitcher(InOrder):
     """The ids of `assign.stitch`, chunk by chunk; a clip's active boxes are its state."""
 
-    waits = "at long, chunk long, det_id long, class_name string, x1 double, y1 double, x2 double, y2 double"
-    carries = "next_id long, chunk long, boxes array<array<double>>"
+    waits = ["at", "chunk", "det_id", "class_name", "x1", "y1", "x2", "y2"]
+    carries = ["next_id", "chunk", "boxes"]
     order = ["chunk", "det_id"]
     gives = ["chunk", "det_id", "track_id", "class_name"]
 
@@ -114,8 +126,19 @@ class Stitcher(InOrder):
         super().__init__(keys, idle)
         self.max_cost, self.first_id = max_cost, first_id
 
-    def advance(self, key: tuple, state: tuple | None, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
-        next_id, last, held = state if state is not None else (self.first_id, -2, [])
+    def advance(self, state: pd.DataFrame, number: np.ndarray, fresh: np.ndarray, rows: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+        cuts = np.flatnonzero(fresh | (np.diff(number, prepend=-1) > 0))
+        ids, after = [], {}
+        for start, end in itertools.pairwise([*cuts, len(rows)]):
+            k = int(number[start])
+            next_id, last, held = (self.first_id, -2, []) if fresh[start] else state.loc[k, self.carries]
+            after[k], found = self.stitched((int(next_id), int(last), held), rows.iloc[start:end])
+            ids.append(found)
+        done = pd.DataFrame([after[k] for k in range(len(state))], columns=self.carries)
+        return done, rows[["chunk", "det_id", "class_name"]].assign(track_id=np.concatenate(ids))
+
+    def stitched(self, state: tuple, rows: pd.DataFrame) -> tuple[tuple, np.ndarray]:
+        next_id, last, held = state
         boxes, ids = np.array([list(b) for b in held], float).reshape(-1, 4), []
         for chunk, now in rows.groupby("chunk", sort=True):
             here = now[BOX].to_numpy(float)
@@ -129,15 +152,15 @@ class Stitcher(InOrder):
             boxes = np.concatenate([boxes, np.zeros((next_id - self.first_id - len(boxes), 4))])
             boxes[mine], last = here, int(chunk)
             ids.append(mine + self.first_id)
-        out = rows[["chunk", "det_id", "class_name"]].assign(track_id=np.concatenate(ids))
-        return (int(next_id), last, boxes.tolist()), out
+        return (int(next_id), last, boxes.tolist()), np.concatenate(ids)
 
 
 class Smoother(InOrder):
-    """The filter of `kalman.smooth_tracks`; frames without a box move the filter and stay null."""
+    """The filter of `kalman.smooth_tracks`; frames without a box move the filter and stay null. All
+    keys of a bucket take their first rows at once, then their second ones, and so on."""
 
-    waits = "at long, frame_idx long, cx double, cy double, w double, h double"
-    carries = "p array<double>, v array<double>, a double, b double, c double"
+    waits = ["at", "frame_idx", "cx", "cy", "w", "h"]
+    carries = ["p0", "p1", "p2", "p3", "v0", "v1", "v2", "v3", "a", "b", "c"]
     order = ["frame_idx"]
     gives = ["frame_idx", "cx", "cy", "w", "h"]
 
@@ -145,36 +168,42 @@ class Smoother(InOrder):
         super().__init__(keys, idle)
         self.dt = dt
 
-    def advance(self, key: tuple, state: tuple | None, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
-        p, v, a, b, c = state if state is not None else ([0.0] * 4, [0.0] * 4, P0, 0.0, P0)
-        p, v, dt, out = np.array(p, float), np.array(v, float), self.dt, []
-        for frame, *z in rows[["frame_idx", "cx", "cy", "w", "h"]].itertuples(index=False, name=None):
+    def advance(self, state: pd.DataFrame, number: np.ndarray, fresh: np.ndarray, rows: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+        held, dt = state[self.carries].to_numpy("float64"), self.dt
+        z, out = rows[self.gives[1:]].to_numpy("float64"), np.full((len(rows), 4), np.nan)
+        turn = np.arange(len(rows)) - np.searchsorted(number, number)
+        order = np.argsort(turn, kind="stable")
+        for at in np.split(order, np.searchsorted(turn[order], np.arange(1, turn.max() + 1))):
+            k = number[at]
+            held[k[fresh[at]]] = [0.0] * 8 + [P0, 0.0, P0]
+            p, v, (a, b, c) = held[k, :4], held[k, 4:8], held[k, 8:].T
             p = p + dt * v
             a, b, c = a + 2 * dt * b + dt * dt * c + Q, b + dt * c, c + Q
-            if pd.isna(z[0]):
-                out.append((frame, None, None, None, None))
-                continue
             k1, k2 = a / (a + R), b / (a + R)
-            gap = np.array(z, float) - p
-            p, v = p + k1 * gap, v + k2 * gap
-            a, b, c = a * (1 - k1), b * (1 - k1), c - k2 * b
-            out.append((frame, *p.tolist()))
-        done = pd.DataFrame(out, columns=self.gives).astype({"frame_idx": "int64", **dict.fromkeys(self.gives[1:], "float64")})
-        return (p.tolist(), v.tolist(), float(a), float(b), float(c)), done
-
-
-def with_state(stream: DataFrame, keys: list[str], time: str, late: str, processor: InOrder, gives: str) -> DataFrame:
-    """The rows that `processor` gives of a stream with the event time `time`. Rows without a key
-    or a time belong to no state and are left out."""
+            gap = z[at] - p
+            moved = np.column_stack([p, v, a, b, c])
+            met = np.column_stack([p + k1[:, None] * gap, v + k2[:, None] * gap, a * (1 - k1), b * (1 - k1), c - k2 * b])
+            seen = ~np.isnan(z[at, 0])
+            held[k] = np.where(seen[:, None], met, moved)
+            out[at[seen]] = met[seen, :4]
+        done = rows[["frame_idx"]].assign(**{c: out[:, i] for i, c in enumerate(self.gives[1:])})
+        return pd.DataFrame(held, columns=self.carries), done
+
+
+def with_state(stream: DataFrame, keys: list[str], time: str, late: str, processor: InOrder, gives: str, buckets: int) -> DataFrame:
+    """The rows that `processor` gives of a stream with the event time `time`, its keys dealt to
+    `buckets` buckets, a number that must stay with a checkpoint. Rows without a key or a time
+    belong to no state and are left out."""
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
-    names = [c for c in processor.columns() if c != "at"]
+    names = [c for c in processor.waits if c != "at"]
     kinds = ", ".join(f"`{k}` {t}" for k, t in stream.dtypes if k in keys)
     whole = stream.dropna(subset=[*keys, time, *processor.order])
-    rows = whole.withWatermark(time, late).select(*keys, time, F.unix_millis(time).alias("at"), *names)
-    return rows.groupBy(*keys).transformWithStateInPandas(processor, f"{kinds}, {gives}", "append", "eventTime")
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+    rows = whole.withWatermark(time, late).select(bucket.alias("bucket_of_keys"), *keys, time, F.unix_millis(time).alias("at"), *names)
+    return rows.groupBy("bucket_of_keys").transformWithStateInPandas(processor, f"{kinds}, {gives}", "append", "eventTime")
 
 
-def stitch_stream(dets: DataFrame, clip: str, time: str = "ts", *, late: str = "1 minute", idle: int = 3_600_000, max_cost: float = 0.85, first_id: int = 1000) -> DataFrame:
+def stitch_stream(dets: DataFrame, clip: str, time: str = "ts", *, late: str = "1 minute", idle: int = 3_600_000, max_cost: float = 0.85, first_id: int = 1000, buckets: int = 256) -> DataFrame:
     """(clip, chunk, det_id, track_id, class_name) of a stream of detections (clip, chunk, det_id,
     class_name, x1..y2, time), with the ids that `assign.stitch` gives without a tracker.
 
@@ -183,11 +212,11 @@ def stitch_stream(dets: DataFrame, clip: str, time: str = "ts", *, late: str = "
     `late`. class_name is the detection's own. A clip that is silent for `idle` milliseconds of
     event time is forgotten, and its ids begin again.
     """
-    return with_state(dets, [clip], time, late, Stitcher([clip], idle, max_cost, first_id), "chunk long, det_id long, track_id long, class_name string")
+    return with_state(dets, [clip], time, late, Stitcher([clip], idle, max_cost, first_id), "chunk long, det_id long, track_id long, class_name string", buckets)
 
 
-def smooth_stream(boxes: DataFrame, key: str, time: str = "ts", *, late: str = "1 minute", idle: int = 3_600_000, dt: float = 1.0) -> DataFrame:
+def smooth_stream(boxes: DataFrame, key: str, time: str = "ts", *, late: str = "1 minute", idle: int = 3_600_000, dt: float = 1.0, buckets: int = 256) -> DataFrame:
     """Kalman smoothing of a stream of boxes (key, frame_idx, cx, cy, w, h, time), as the batch form
     gives it: frames in order of time, also where they come out of order within `late`; null boxes
     stay null and move the filter. A track that is silent for `idle` milliseconds is forgotten."""
-    return with_state(boxes, [key], time, late, Smoother([key], idle, dt), "frame_idx long, cx double, cy double, w double, h double")
+    return with_state(boxes, [key], time, late, Smoother([key], idle, dt), "frame_idx long, cx double, cy double, w double, h double", buckets)
