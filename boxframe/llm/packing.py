@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import os
-import re
+import string
 from collections.abc import Iterator
 from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from boxframe.llm.bpe import byte_letters
 from boxframe.llm.common import settle, text_of
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -22,10 +24,10 @@ CACHE_WORDS, CACHE_CHARS = 800_000, 50_000_000
 #: More open windows than this are poured together early, so a packer's memory is bounded.
 OPEN_WINDOWS = 4096
 
-#: A "." or "," with no other mark beside it.
-LONE_MARK = re.compile(r"([.,])(?<![^\w\s][.,])(?<![_\x1c-\x1f][.,])(?![^\w\s]|[_\x1c-\x1f])")
+#: Texts of about so many characters are encoded at once.
+BLOCK_CHARS = 4_000_000
 #: Letters whose lower case depends on their neighbours, or is another in the library.
-ODD_CASE = re.compile("[\u03a3\u0130]")
+ODD_CASE = ("\u03a3", "\u0130")
 
 _encoders: dict[str, "WordEncoder"] = {}
 
@@ -34,18 +36,23 @@ class WordEncoder:
     """Ids of whole texts, by a cache over words and marks.
 
     The tokenizer lowers letters, drops white space and never joins across it or across a border
-    between letters and a mark, so a text's ids are those of its pieces in a row, in lower case
-    and with a lone "." or "," as a piece of its own. Only texts that hold a special token's
-    string go to the library whole.
+    between letters and the marks after them, so a text's ids are those of its pieces between
+    spaces in a row, in lower case, and a word with marks at its end has those of the word, then
+    those of the marks. Each different piece of a block of texts is looked up once. Only texts that
+    hold a special token's string go to the library whole.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.words_only = Tokenizer(self.tokenizer.model)  # for words that need no other step of the tokenizer
+        self.words_only.pre_tokenizer = CharDelimiterSplit(" ")
+        self.letters = {b: letter for letter, b in byte_letters().items() if b != 32}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         ends = [i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]
         self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
@@ -56,47 +63,84 @@ class WordEncoder:
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
+    def _word_ids(self, text: str) -> np.ndarray:
+        """Ids of words between spaces: letters only, normalised and in lower case, so that bytes are all that is left to do."""
+        text = text.encode().decode("latin-1").translate(self.letters)
+        return np.array(self.words_only.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
     def _split(self, ids: np.ndarray, begins: list[int], ends: list[int]) -> list[bytes]:
         raw = ids.tobytes()
         return [raw[4 * a : 4 * b] for a, b in zip(begins, ends)]
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Ids of new pieces, many a call: words of letters only are one token run each, which ends
-        at a token that ends a word; a special token parts the others."""
-        words = [p for p in pieces if p.isalpha()]
+    def _learn(self, words: list[str], others: list[str]) -> None:
+        """Ids of new pieces, many a call: plain words are one token run each, which ends at a token
+        that ends a word; a special token parts the others."""
         for i in range(0, len(words), 2000):
             part = words[i : i + 2000]
-            ids = self._ids(" ".join(part))
-            ends = np.flatnonzero(self.ends_word[ids]) + 1
-            if len(ends) != len(part):  # letters that another step of the tokenizer takes for none
-                pieces = [*pieces, *part]
-                words[i : i + 2000] = [""] * len(part)
-                continue
-            self.cache.update(zip(part, self._split(ids, [0, *ends[:-1].tolist()], ends.tolist())))
-        others, mark = list(set(pieces).difference(words)), self.special[-1]
+            ids = self._word_ids(" ".join(part))
+            ends = (np.flatnonzero(self.ends_word[ids]) + 1).tolist()
+            self.cache.update(zip(part, self._split(ids, [0, *ends[:-1]], ends), strict=True))
+        mark = self.special[-1]
         for i in range(0, len(others), 2000):
             part = others[i : i + 2000]
             ids = self._ids(mark.join(part))
             cuts = np.flatnonzero(ids == self.tokenizer.token_to_id(mark)).tolist()
-            self.cache.update(zip(part, self._split(ids, [0, *(c + 1 for c in cuts)], [*cuts, len(ids)])))
+            self.cache.update(zip(part, self._split(ids, [0, *(c + 1 for c in cuts)], [*cuts, len(ids)]), strict=True))
+
+    def _look_up(self, pieces: list[str], plain: bool) -> list[bytes]:
+        """Ids of different pieces; in plain ones a word is looked up without the marks at its end."""
+        found = list(map(self.cache.get, pieces))
+        absent = [i for i, ids in enumerate(found) if ids is None]
+        if not absent:
+            return found
+        words = [pieces[i].rstrip(string.punctuation) if plain else "" for i in absent]
+        words = [w if w.isalpha() else "" for w in words]
+        marks = [pieces[i][len(w) :] for i, w in zip(absent, words)]
+        needed = {*words, *marks}
+        missing = needed.difference(self.cache)
+        chars = sum(map(len, missing))
+        if len(self.cache) + len(missing) > CACHE_WORDS or self.cached_chars + chars > CACHE_CHARS:
+            self.cache.clear()
+            missing, self.cached_chars = needed, 0
+            chars = sum(map(len, missing))
+        self.cached_chars += chars
+        known = missing.intersection(words)
+        known.discard("")
+        self._learn(list(known), list(missing - known))
+        for i, w, m in zip(absent, words, marks):
+            found[i] = self.cache[w] + self.cache[m]
+        return found
+
+    def _encode(self, texts: list[str], plain: bool) -> list[bytes]:
+        lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        pieces = lists.values.dictionary_encode()
+        different = pa.ListArray.from_arrays(pa.array([0, len(pieces.dictionary)], pa.int32()), pieces.dictionary)
+        names = pc.binary_join(different, pa.scalar(" ", pa.large_string()))[0].as_py().split(" ")  # faster than one by one
+        most = max(1, CACHE_WORDS // 8)  # with the marks apart twice as many at most, so the cache keeps its bound
+        known = [ids for i in range(0, len(names), most) for ids in self._look_up(names[i : i + most], plain)]
+        ids = pa.array(known, pa.large_binary()).take(pieces.indices)
+        at = np.frombuffer(ids.buffers()[1], np.int64)[lists.offsets.to_numpy()].tolist()
+        raw = memoryview(ids.buffers()[2] or b"")
+        return [bytes(raw[a:b]) for a, b in zip(at, at[1:])]
+
+    def encode_batch(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        out = [b""] * len(texts)
+        groups: dict[bool, list[tuple[int, str]]] = {True: [], False: []}
+        for i, text in enumerate(texts):
+            if any(s in text for s in self.special):
+                out[i] = self._ids(text).tobytes()
+                continue
+            plain = is_normalized("NFC", text) and not any(c in text for c in ODD_CASE) and is_normalized("NFC", low := text.lower())
+            groups[plain].append((i, (low if plain else text).replace("\n", " ")))
+        for plain, group in groups.items():
+            if group:
+                for (i, _), ids in zip(group, self._encode([t for _, t in group], plain)):
+                    out[i] = ids
+        return out
 
     def encode(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
-            return self._ids(text).tobytes()
-        if is_normalized("NFC", text) and not ODD_CASE.search(text) and is_normalized("NFC", low := text.lower()):
-            text = LONE_MARK.sub(r" \1 ", low)
-        pieces = text.replace("\n", " ").split(" ")
-        cache = self.cache
-        missing = set(pieces).difference(cache)
-        if missing:
-            chars = sum(map(len, missing))
-            if len(cache) + len(missing) > CACHE_WORDS or self.cached_chars + chars > CACHE_CHARS:
-                cache.clear()
-                missing, self.cached_chars = set(pieces), 0
-                chars = sum(map(len, missing))
-            self.cached_chars += chars
-            self._learn(list(missing))
-        return b"".join(map(cache.__getitem__, pieces))
+        return self.encode_batch([text])[0]
 
 
 def encoder(path: str) -> WordEncoder:
@@ -238,16 +282,28 @@ def pack_documents(
     def marked(batch: pa.RecordBatch, left: bool) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array([left] * batch.num_rows, pa.bool_())], [*batch.schema.names, "left"])
 
+    def encoded(rows: pa.RecordBatch) -> Iterator[tuple]:
+        """Each row's id and ids, encoded in blocks of about `BLOCK_CHARS` characters."""
+        encode, ids, texts, size = encoder(tokenizer).encode_batch, [], [], 0
+        for i, text in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
+            ids.append(i)
+            texts.append(text)
+            size += len(text)
+            if size >= BLOCK_CHARS:
+                yield from zip(ids, encode(texts))
+                ids, texts, size = [], [], 0
+        yield from zip(ids, encode(texts))
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         context = TaskContext.get()
         rows_of = Rows((context.partitionId() if context else 0) << 32)
-        encode, packer, end = encoder(tokenizer).encode, SumOfSquares(capacity), np.array([end_id], "<u4").tobytes()
+        packer, end = SumOfSquares(capacity), np.array([end_id], "<u4").tobytes()
         for rows in batches:
             done: list[list] = []
-            for doc, text in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
-                ids = encode(text) + end
+            for doc, ids in encoded(rows):
+                ids += end
                 for at in range(0, len(ids) // 4, capacity):
                     placed(packer, (doc, at, ids[4 * at : 4 * (at + capacity)], len(ids) // 4), done)
                 if len(done) > 256:

@@ -103,6 +103,50 @@ def test_words_whose_lower_case_composes():
         assert np.frombuffer(words.encode(text), "<u4").tolist() == exact.encode(text, add_special_tokens=False).ids
 
 
+def test_plain_words_need_no_other_step_of_the_tokenizer(monkeypatch):
+    """The library's steps before merging see marks and odd pieces only, and each new one once."""
+    words, seen = packing.WordEncoder(tokenizer_path("word_bpe_49k.json")), []
+    whole = words._ids
+    monkeypatch.setattr(words, "_ids", lambda text: seen.append(text) or whole(text))
+    text = "The house, the HOUSE. the garden!! Gärten, élan$$$ house!! garden."
+    assert np.frombuffer(words.encode(text), "<u4").tolist() == whole(text).tolist()
+    assert not any(c.isalpha() for piece in seen for c in piece.replace(words.special[-1], ""))
+    words.encode("élan! garden, the house")
+    assert words.cache.keys() == {"", "the", "house", "garden", "gärten", "élan", ",", ".", "!!", "$$$", "!"}
+
+
+def test_word_ids_of_all_letters():
+    """Every letter that lower case leaves as it is stands in words for the library, too."""
+    from unicodedata import is_normalized
+
+    words = packing.WordEncoder(tokenizer_path("word_bpe_49k.json"))
+    every = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    low = {c for x in every if x not in packing.ODD_CASE for c in x.lower()}
+    assert all(c.lower() == c for c in low)
+    letters = sorted(c for c in low if c.isalpha() and is_normalized("NFC", c))
+    for i in range(0, len(letters), 1000):
+        text = " ".join(f"x{c}x {c}" for c in letters[i : i + 1000])
+        assert words._word_ids(text).tolist() == words._ids(text).tolist()
+
+
+def test_blocks_of_odd_texts_equal_the_library(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("word_bpe_49k.json")
+    exact, words = Tokenizer.from_file(path), packing.WordEncoder(path)
+    parts = """word word, don't. s' 's, 't! x_. _x, it's, \u0130, \u0958, \u03a3, e\u0301! \ufb01, a\u00a0b, a\tb. =\u0338 a=\u0338 \u00b2, \u2167. \uff13,
+    12, a1. <|endoftext|> x<| |>, \x1c, a\x1c. \x00 \u4e2d\u6587, \u1100\u1161. \uac00, \u00aa! \u0301 a, \u0e01\u0e33. \u01c5, (word) -- ., !!, word!,""".split(" ")
+    rng = np.random.default_rng(8)
+    texts = ["", " ", "\n\n", *parts, *(" ".join(rng.choice(parts, 6)) for _ in range(600)), *("\n".join(rng.choice(parts, 3)) for _ in range(200))]
+    want = [exact.encode(t, add_special_tokens=False).ids for t in texts]
+    for name, kept in (("CACHE_CHARS", packing.CACHE_CHARS), ("CACHE_CHARS", 40), ("CACHE_WORDS", 8)):
+        monkeypatch.setattr(packing, name, kept)
+        for block in (1, 50, len(texts)):
+            got = [x for i in range(0, len(texts), block) for x in words.encode_batch(texts[i : i + block])]
+            assert [np.frombuffer(x, "<u4").tolist() for x in got] == want
+    assert len(words.cache) <= 8
+
+
 def test_sharding(spark, docs, odd, none):
     for d, n in ((docs, 200), (odd, len(ODD))):
         rows = sharding.ring_shards(d, 16).collect()
