@@ -10,6 +10,9 @@ from boxframe.functions.text import natural_key, samples
 from boxframe.operators.ranks import ranked
 
 BOX = ("x1", "y1", "x2", "y2")
+#: So many objects of windows with the same sampled frames stand in a block; a multiple of 8, as files pack
+#: numbers by eights, so that a list's repetitions are the same bytes.
+BLOCK_OBJECTS = 1008
 
 
 def densify(tracks: DataFrame, clip: str = "video_id", track: str = "track_id") -> DataFrame:
@@ -118,13 +121,27 @@ def relevant_objects(sampled: DataFrame, boxes: DataFrame, clip: str, keys: list
     frame_idx, key, x1); keys that begin with `person` are no objects.
 
     Windows of a clip with the same sampled frames have the same objects: these are sought once for
-    each such set of frames and then given to its windows, so no row is met twice.
+    each such set of frames and then given to its windows, so no row is met twice. As the result has
+    a row for every window and object of it, a set's objects are dealt to blocks of `BLOCK_OBJECTS`
+    (places within parts by hash) and its windows meet one block after the other, in tasks by block:
+    no task has all of a set, a window's rows of a block are few enough for memory, and files store
+    the repeated list of objects in a small part of a byte a row.
     """
     things = boxes.where(F.col("x1").isNotNull() & ~F.col("key").startswith(person)).select(clip, "frame_idx", F.col("key").alias("other"))
     windows = sampled.groupBy(clip, *[k for k in keys if k != clip], "start_f").agg(F.array_sort(F.collect_set("frame_idx")).alias("frames"))
-    sets = windows.select(clip, "frames").distinct()
-    found = sets.withColumn("frame_idx", F.explode("frames")).join(things, [clip, "frame_idx"]).select(clip, "frames", "other").distinct()
-    return windows.join(found, [clip, "frames"]).select(*keys, "start_f", "other")
+    each = [clip, "frames"]
+    sets = windows.select(*each).distinct()
+    found = sets.withColumn("frame_idx", F.explode("frames")).join(things, [clip, "frame_idx"]).select(*each, "other").distinct()
+    sizes = found.groupBy(*each).agg(F.ceil(F.count("*") / (64 * BLOCK_OBJECTS)).alias("parts"))
+    parted = found.join(sizes, each).select(*each, F.pmod(F.xxhash64("other"), "parts").alias("part"), "other")
+    place = F.row_number().over(Window.partitionBy(*each, "part").orderBy("other")) - 1
+    objects = parted.withColumn("block", F.floor(place / BLOCK_OBJECTS))
+    block = [*each, "part", "block"]
+    dealt = windows.join(objects.select(*block).distinct(), each)
+    # Both sides are small beside the result: a number of tasks by their bytes would be too low.
+    tasks = int(sampled.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = dealt.repartition(tasks, *block).join(objects.repartition(tasks, *block), block)
+    return met.select(*keys, "start_f", "other")
 
 
 def present_windows(sampled: DataFrame, keys: list[str], missing: float = 7.5) -> DataFrame:
@@ -132,6 +149,12 @@ def present_windows(sampled: DataFrame, keys: list[str], missing: float = 7.5) -
     return grouped.where(F.col("n_missing") <= missing)
 
 
+def present_samples(sampled: DataFrame, keys: list[str], missing: float = 7.5) -> DataFrame:
+    """The sampled rows of the windows that `present_windows` keeps, without a join with these."""
+    absent = F.count_if(F.col("x1").isNull()).over(Window.partitionBy(*keys, "start_f"))
+    return sampled.withColumn("n_missing", absent).where(F.col("n_missing") <= missing)
+
+
 def chunk_of(frame: Column, size: int = 30) -> Column:
     return F.floor(frame / size).cast("long")
 

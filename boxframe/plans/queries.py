@@ -428,8 +428,7 @@ join tracks t on t.video_id = p.video_id and t.frame_idx = smp.frame_idx and t.x
 def relevant_objects(spark, sf):
     """What has a box in a sampled frame of a window and is no person (views stand for persons)."""
     t = crowded(spark, sf)
-    sampled = K.window_samples(t, KEYS)
-    sampled = sampled.join(K.present_windows(sampled, KEYS).select(*KEYS, "start_f"), [*KEYS, "start_f"])
+    sampled = K.present_samples(K.window_samples(t, KEYS), KEYS)
     boxes = t.select("video_id", "frame_idx", "x1", F.concat_ws("_", "class_name", "track_id").alias("key"))
     return K.relevant_objects(sampled, boxes, "video_id", KEYS, "view_")
 

@@ -94,3 +94,41 @@ def test_objects_of_windows_with_like_and_other_frames(spark):
     want = {(v, w, start, key) for v, w, start, f in sampled for c, frame, key, x in boxes if (c, frame) == (v, f) and x is not None and not key.startswith("person_")}
     assert got == sorted(want) and want
     assert all(r.video_id == r.track_id % 15 for r in QUERIES["relevant_objects"](spark, SF).collect())
+
+
+def test_objects_of_a_set_are_dealt_to_blocks_and_tasks(spark, monkeypatch, tmp_path):
+    """Many windows with the same frames: every object once, no task has all, and little disk."""
+    monkeypatch.setattr(K, "BLOCK_OBJECTS", 8, raising=False)
+    one = F.floor(F.col("id") / 10000)
+    sampled = spark.range(40).select(one.alias("video_id"), F.col("id").alias("track_id"), F.lit(0).alias("start_f"), F.explode(F.array(F.lit(0), F.lit(2)).cast("array<bigint>")).alias("frame_idx"))
+    key = F.when(F.col("id") % 7 == 0, F.concat(F.lit("person_"), "id")).otherwise(F.concat(F.lit("cup_"), "id"))
+    boxes = spark.range(900).select(one.alias("video_id"), F.explode(F.sequence(F.lit(0), F.lit(3)).cast("array<bigint>")).alias("frame_idx"), key.alias("key"), F.lit(1.0).alias("x1"))
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, "-1")
+    try:
+        found = K.relevant_objects(sampled, boxes, "video_id", ["video_id", "track_id"])
+        rows = found.withColumn("task", F.spark_partition_id()).collect()
+        monkeypatch.setattr(K, "BLOCK_OBJECTS", 1008, raising=False)
+        many = boxes.unionByName(spark.range(900, 8000).select(one.alias("video_id"), F.lit(2).cast("long").alias("frame_idx"), F.concat(F.lit("cup_"), "id").alias("key"), F.lit(1.0).alias("x1")))
+        K.relevant_objects(sampled, many, "video_id", ["video_id", "track_id"]).write.parquet(str(tmp_path / "out"))
+    finally:
+        spark.conf.set(threshold, before)
+    want = {(0, w, 0, f"cup_{i}") for w in range(40) for i in range(900) if i % 7}
+    assert len(rows) == len(want) and {tuple(r)[:4] for r in rows} == want
+    tasks = [sum(r.task == t for r in rows) for t in {r.task for r in rows}]
+    assert len(tasks) > 1 and max(tasks) < len(rows) / 2
+    n = spark.read.parquet(str(tmp_path / "out")).count()
+    size = sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet"))
+    assert n == 40 * (8000 - 129) and size / n < 0.6, size / n
+
+
+def test_samples_of_present_windows(spark):
+    """The same rows as a join with the windows that are present, also at the limit and of one row."""
+    rng = random.Random(5)
+    rows = [(w % 3, w, 15 * (w % 2), f, None if rng.random() < 0.5 else 1.0) for w in range(60) for f in range(rng.choice([1, 15, 15, 16]))]
+    s = spark.createDataFrame(rows, "video_id int, track_id int, start_f int, frame_idx long, x1 double")
+    keys = ["video_id", "track_id"]
+    want = s.join(K.present_windows(s, keys).select(*keys, "start_f"), [*keys, "start_f"])
+    got = sorted(map(tuple, K.present_samples(s, keys).drop("n_missing", "x1").collect()))
+    assert got == sorted(tuple(r) for r in want.select(*keys, "start_f", "frame_idx").collect()) and 0 < len(got) < len(rows)
